@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bit_sliced, bpe_tree, exact_dedup, language_id, packing, pii, simhash, training_order
+from fathomline.llm import bit_sliced, bpe_tree, exact_dedup, fm_index, language_id, packing, pii, simhash, suffix_dedup, training_order
 from fathomline.llm.storage import documents, new_path
 from fathomline.llm.tokens import DocumentIds
 
@@ -16,6 +16,10 @@ def document_ids() -> DocumentIds:
     return DocumentIds(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
 
 
+def op1_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeated(documents(spark, sf_dir), want_text=False)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), document_ids())
 
@@ -47,6 +51,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), profiles).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(documents(spark, sf_dir), want_text=False)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -59,17 +67,29 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fm_index": op1_fm_index,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_topk": op5_topk,
     "op6_training_order": op6_training_order,
     "op7_language": op7_language,
+    "op8_suffix": op8_suffix,
     "op9_bpe": op9_bpe,
     "op10_exact": op10_exact,
 }
 
 ORACLE_SQL = {
+    "op1_fm_index": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM p) WHERE n > 1),
+        c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(0, 35)) AS k)),
+        e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        k AS (SELECT e.doc_id, count(*) AS n_words, count(c.i) AS n_removed, coalesce(string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE c.i IS NULL), '') AS kept
+              FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
+        SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+    """,
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
