@@ -1,4 +1,6 @@
 """All queries of the engine, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from fathomline.plans import search
+
+QUERIES = {**search.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL}
