@@ -22,9 +22,13 @@ def cosine(a: Column, b: Column, mismatch: float = -1.0) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), F.lit(mismatch)).when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, where it would be once an element inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalised(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+    return _bound(F.struct(a.alias("a"), norm(a).alias("n")), lambda s: F.when(s["n"] == 0, s["a"]).otherwise(F.transform(s["a"], lambda x: x / s["n"])))
 
 
 def fold_sign(i: Column) -> Column:
@@ -34,7 +38,13 @@ def fold_sign(i: Column) -> Column:
 def folded(a: Column, width: int = FOLD) -> Column:
     """Signed fold of a vector into ``width`` dimensions, normalised."""
     signed = F.transform(a, lambda x, i: x * fold_sign(i))
-    return normalised(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.aggregate(F.filter(signed, lambda x, i: i % width == k), F.lit(0.0), lambda s, v: s + v)))
+    dims = F.sequence(F.lit(0), F.lit(width - 1))
+
+    def fold(v: Column) -> Column:
+        # element k, k + width, ...: as many as the vector has
+        return F.transform(dims, lambda k: F.aggregate(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), F.lit(0.0), lambda s, j: s + F.coalesce(F.get(v, (k + j * width).cast("int")), F.lit(0.0))))
+
+    return _bound(_bound(signed, fold), normalised)
 
 
 def as_double(a: Column) -> Column:

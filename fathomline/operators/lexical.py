@@ -14,13 +14,9 @@ from fathomline.functions.text import words
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
-def _phrase_count(tokens: Column, phrase: list[str]) -> Column:
-    """How often the words of ``phrase`` stand next to one another."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    starts = F.sequence(F.lit(0), F.size(tokens) - len(phrase))
-    same = lambda i: F.forall(F.sequence(F.lit(0), F.lit(len(phrase) - 1)), lambda j: F.get(tokens, (i + j).cast("int")) == F.get(F.array(*map(F.lit, phrase)), j.cast("int")))
-    return F.when(F.size(tokens) < len(phrase), 0).otherwise(F.size(F.filter(starts, same)))
+def _phrase_count(joined: Column, phrase: list[str]) -> Column:
+    """How often the words of ``phrase`` stand next to one another in a text of words that have a space on both sides each."""
+    return F.regexp_count(joined, F.lit("(?= " + "  ".join(phrase) + " )"))
 
 
 def idf(total: Column, matching: Column) -> Column:
@@ -28,13 +24,6 @@ def idf(total: Column, matching: Column) -> Column:
     return F.when(raw <= 0, F.lit(FLOOR)).otherwise(raw)
 
 
-def tokenised(rows: DataFrame, fields: dict[str, float]) -> DataFrame:
-    out = rows
-    for name in fields:
-        out = out.withColumn(f"__t_{name}", words(F.col(name)))
-    return out.withColumn("__len", sum((F.size(f"__t_{n}") for n in fields), F.lit(0)))
-
-
 def scored(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *, every: bool = False) -> DataFrame:
     """``rows`` that match, with ``score``: any item, or ``every`` one. Items are phrases of one word or more; a repeated item counts again, an empty one never matches.
 
@@ -42,8 +31,21 @@ def scored(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *,
     items = [i for i in items if i]
     if not items:
         return rows.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    base = tokenised(rows, fields)
-    weight = [sum((F.lit(float(w)) * _phrase_count(F.col(f"__t_{n}"), item) for n, w in fields.items()), F.lit(0.0)) for item in items]
+    base = rows
+    asked = sorted({x for i in items for x in i})
+    for n in fields:
+        base = base.withColumn(f"__t_{n}", words(F.col(n)))
+    base = base.withColumn("__len", sum((F.size(f"__t_{n}") for n in fields), F.lit(0)))
+    if all(len(i) == 1 for i in items):
+        # one pass leaves the few words that are asked for
+        for n in fields:
+            base = base.withColumn(f"__t_{n}", F.filter(f"__t_{n}", lambda t: t.isin(asked)))
+        count = lambda n, item: F.size(F.filter(f"__t_{n}", lambda t: t == item[0]))
+    else:
+        for n in fields:
+            base = base.withColumn(f"__t_{n}", F.concat(F.lit(" "), F.array_join(f"__t_{n}", "  "), F.lit(" ")))
+        count = lambda n, item: _phrase_count(F.col(f"__t_{n}"), item)
+    weight = [sum((F.lit(float(w)) * count(n, item) for n, w in fields.items()), F.lit(0.0)) for item in items]
     counted = base.withColumn("__tf", F.array(*weight)).drop(*[f"__t_{n}" for n in fields])
     stats = counted.agg(
         F.count(F.lit(1)).alias("__n"),

@@ -1,6 +1,6 @@
 """All queries of the engine, and the SQL that checks them."""
 
-from fathomline.plans import search
+from fathomline.plans import relational, relational_sql, search
 
-QUERIES = {**search.QUERIES}
-ORACLE_SQL = {**search.ORACLE_SQL}
+QUERIES = {**search.QUERIES, **relational.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL, **relational_sql.ORACLE_SQL}

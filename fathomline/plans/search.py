@@ -129,11 +129,11 @@ W = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 _COS = "list_sum(list_transform(list_zip(a.v, q.v), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(q.v, lambda x: x * x))))"
 
 
-def _bm25(rows: str, id: str, fields: dict[str, float], items: str, limit: int, keep: str = "TRUE", every: bool = False, extra: str = "") -> str:
+def _bm25(rows: str, id: str, fields: dict[str, float], items: str, limit: int, keep: str = "TRUE", every: bool = False, extra: str = "", phrases: bool = False) -> str:
     """SQL of a BM25 search. items: a subquery with (k, item), item a list of words."""
     tokens = ", ".join(f"{W.format(n)} AS t_{n}" for n in fields)
     length = " + ".join(f"len(t_{n})" for n in fields)
-    count = " + ".join(f"{w} * len(list_filter(range(1, len(t_{n}) - len(item) + 2), lambda i: list_slice(t_{n}, i, i + len(item) - 1) = item))" for n, w in fields.items())
+    count = " + ".join(f"{w} * len(list_filter(t_{n}, lambda x: x = item[1]))" if not phrases else f"{w} * len(list_filter(range(1, len(t_{n}) - len(item) + 2), lambda i: list_slice(t_{n}, i, i + len(item) - 1) = item))" for n, w in fields.items())
     return f"""
         base AS (SELECT *, {tokens} FROM {rows}),
         sized AS (SELECT *, {length} AS dl FROM base),
@@ -166,7 +166,7 @@ _RELATED = f"list_slice(list_filter({_RELATED}, lambda x, i: x NOT IN ('this','t
 ORACLE_SQL = {
     "bm25_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 3}, _words(0, 20), 20, keep='''r.source_class <> 'synthetic' ''')} SELECT * FROM hits",
     "bm25_and_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 4, 'abstract': 1}, _words(0, 3), 20, every=True)} SELECT * FROM hits",
-    "bm25_phrase_search": f"WITH {_bm25('documents', 'doc_id', {'text': 1}, f'''SELECT i AS k, [w[i], w[i + 1]] AS item FROM (SELECT {W.format('text')} AS w FROM benchmark ORDER BY item_id LIMIT 1), (SELECT unnest([1, 3, 5]) AS i)''', 20)} SELECT * FROM hits",
+    "bm25_phrase_search": f"WITH {_bm25('documents', 'doc_id', {'text': 1}, f'''SELECT i AS k, [w[i], w[i + 1]] AS item FROM (SELECT {W.format('text')} AS w FROM benchmark ORDER BY item_id LIMIT 1), (SELECT unnest([1, 3, 5]) AS i)''', 20, phrases=True)} SELECT * FROM hits",
     "catalog_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 2, 'lang': 0.2}, _words(0, 8), 20, keep='''r.lang = 'en' AND r.published_date >= '2024-02-01' AND r.published_date <= '2025-06-30' ''', extra=', r.published_date')} SELECT * FROM hits",
     "batch_search": f"""
         WITH asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_slice({W.format('text')}, 1, 20)) AS term FROM benchmark) GROUP BY ALL),
@@ -214,5 +214,5 @@ ORACLE_SQL = {
         SELECT cluster, term, CAST(rank AS INTEGER) AS rank, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, term) AS rank FROM s) WHERE rank <= 6""",
     "theme_overlap": f"""
         WITH {PAPERS}, k AS (SELECT paper_id, {sql_tokens('title', 'RANKING_STOP')} AS k FROM papers)
-        SELECT paper_id, CAST(len(k) AS INTEGER) AS tokens, CAST(len(list_filter(k, lambda x: list_contains((SELECT k FROM k WHERE paper_id = 0), x))) AS INTEGER) AS shared, array_to_string(list_slice(k, 1, 3), ' ') AS first_tokens FROM k""",
+        SELECT paper_id, CAST(len(k) AS INTEGER) AS tokens, CAST(len(list_filter(k, lambda x: list_contains(k0, x))) AS INTEGER) AS shared, array_to_string(list_slice(k, 1, 3), ' ') AS first_tokens FROM k, (SELECT k AS k0 FROM k WHERE paper_id = 0)""",
 }
