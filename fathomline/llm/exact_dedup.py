@@ -210,7 +210,7 @@ def _global_owners(memory_bytes: int):
 def exact_groups(docs: DataFrame, *, text: str = "text", id: str = "doc_id", memory_bytes: int = 256 << 20) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     source = docs.select(F.col(id).cast("long").alias("id"), normalised(F.col(text)).alias("norm"))
-    local = stage(source.withColumn("sha", F.sha2("norm", 256)).mapInArrow(_local_owners(memory_bytes), LOCAL), "exact-local")
+    local = stage(source.withColumn("sha", F.sha2("norm", 256)).mapInArrow(_local_owners(memory_bytes), LOCAL), "exact-local", "zstd")
     todo, owned, round_no = local.filter("first").select("owner", "least", "rows", "norm"), None, 0
     while True:
         dealt = todo.repartition(F.octet_length("norm"), F.xxhash64("norm", F.lit(round_no)))

@@ -26,11 +26,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table: lineage is cut, a lost executor costs no recomputation."""
+def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table: lineage is cut, a lost executor costs no recomputation.
+
+    zstd is for tables of whole texts; its writers hold much memory outside the heap, which adds up over many small files."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -99,7 +99,7 @@ def materialise(docs: DataFrame, encode: Callable[[str], list[int]], target: str
     """Write the shards to ``target``; returns the layout (sequences, stride, ...)."""
     spark = docs.sparkSession
     width = 2 if vocabulary <= 1 << 16 else 4
-    records = stage(sequences(docs, encode, text=text, length=length, width=width, end_id=end_id), "sequences")
+    records = stage(sequences(docs, encode, text=text, length=length, width=width, end_id=end_id), "sequences", "zstd")
     # one row for each input partition; its sequences are numbered after those of the partitions before it
     parts = records.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
