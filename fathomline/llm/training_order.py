@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.storage import release, stage
 
 ROUNDS = 6
+#: Input partitions (rows of 16 bytes) whose offsets are broadcast; with more, they are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -102,11 +104,13 @@ def materialise(docs: DataFrame, encode: Callable[[str], list[int]], target: str
     records = stage(sequences(docs, encode, text=text, length=length, width=width, end_id=end_id), "sequences", "zstd")
     # one row for each input partition; its sequences are numbered after those of the partitions before it
     parts = records.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, n_parts = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     layout = {"sequences": total, "length": length, "width": width, "stride": 4 + width * length, "shard_records": shard_records, "key": key}
     if not total:
         return layout
     before = parts.withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("base", F.lit(0)).alias("base"))
+    if n_parts <= MOST_BROADCAST:
+        before = F.broadcast(before)
     order = Feistel(total, key)
 
     @F.pandas_udf("long")
