@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,13 @@ def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now, not at the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished jobs now, not at the driver's next full collection.
+
+    The first collection frees what Python held, the second what that had held in turn; the cleaner works beside them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

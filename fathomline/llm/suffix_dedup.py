@@ -22,6 +22,7 @@ from fathomline.llm import windows as w
 from fathomline.llm.storage import release, stage
 
 WINDOW, GRAM = 50, 16
+FINER = 8
 _TABLE = w.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -195,8 +196,9 @@ def remove_repeated(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     first = stage(w.dealt(w.segment_blobs(keyed, Bytes(), WINDOW, GRAM, buckets), buckets).applyInArrow(_settle(buckets), w.BLOB), "suffix-settled")
     release(spark)
     asked = first.filter("part = 1")
-    bodies = w.with_documents(keyed, asked, buckets, _contents(buckets), w.BLOB)
-    second = stage(w.dealt(bodies, buckets).applyInArrow(_double(buckets), w.BLOB), "suffix-doubled")
+    # ranking holds a dozen numbers a position, so that the positions are dealt more finely than the segments were
+    bodies = w.with_documents(keyed, asked, buckets, _contents(FINER * buckets), w.BLOB)
+    second = stage(w.dealt(bodies, FINER * buckets).applyInArrow(_double(buckets), w.BLOB), "suffix-doubled")
     del bodies
     release(spark)
     ranges = first.filter("part = 0").unionByName(second)
