@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from fathomline.llm.storage import stage
 
 
+#: Units of work have tasks of their own up to this number of tasks.
+MOST_TASKS = 20_000
+
+
 def quantised(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(id, dim, q array<int>) of the vectors that take part."""
     ok = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
@@ -135,6 +139,7 @@ def top_k(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
         return pa.table([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     # each pair of blocks is one group of bounded size: the stated query set goes past every block of the index
-    found = work.join(index, ["dim", "block"]).groupBy("dim", "block", "part").applyInArrow(run, "query_id long, vec_id long, score long")
+    units = sum(-(-r["n"] // block_rows) * -(-r["n"] // (every * query_rows)) for r in sizes.collect())
+    found = work.join(index, ["dim", "block"]).repartition(max(1, min(units, MOST_TASKS)), "dim", "block", "part").groupBy("dim", "block", "part").applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
