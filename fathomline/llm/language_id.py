@@ -73,8 +73,11 @@ class Profiles:
 
 def fit(labelled: DataFrame, *, rows_per_language: int = 1000, profile_size: int = 400) -> Profiles:
     """labelled(id, text, lang), all non-null. What reaches the driver is ``profile_size`` n-grams a language."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    thin = labelled.join(counts, "lang").withColumn("h", F.xxhash64("id")).filter(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") <= 1.5 * rows_per_language + 50)
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    share = F.lit(0.0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, min(1.0, (1.5 * rows_per_language + 50) / n)).otherwise(share)
+    thin = labelled.withColumn("h", F.xxhash64("id")).filter(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) <= share)
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
     sample = thin.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows_per_language).select("lang", "text")
 
