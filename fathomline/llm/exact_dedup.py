@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.storage import stage
+from fathomline.llm.storage import discard, release, stage
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 LAST = 1 << 63  # sorts after every identifier
@@ -209,29 +209,40 @@ def _global_owners(memory_bytes: int):
 
 def exact_groups(docs: DataFrame, *, text: str = "text", id: str = "doc_id", memory_bytes: int = 256 << 20) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs, text, id, memory_bytes)[0]
+
+
+def _groups(docs: DataFrame, text: str, id: str, memory_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The groups, and the staged tables they are read from."""
     source = docs.select(F.col(id).cast("long").alias("id"), normalised(F.col(text)).alias("norm"))
     local = stage(source.withColumn("sha", F.sha2("norm", 256)).mapInArrow(_local_owners(memory_bytes), LOCAL), "exact-local", "zstd")
-    todo, owned, round_no = local.filter("first").select("owner", "least", "rows", "norm"), None, 0
+    todo, owned, round_no, tables = local.filter("first").select("owner", "least", "rows", "norm"), None, 0, [local]
     while True:
         dealt = todo.repartition(F.octet_length("norm"), F.xxhash64("norm", F.lit(round_no)))
         got = stage(dealt.mapInArrow(_global_owners(memory_bytes), OWNED), "exact-owned")
+        tables.append(got)
         done = got.filter("norm is null").select("owner", "keep_owner", "keep_id", "size")
         owned = done if owned is None else owned.unionByName(done)
         todo, round_no = got.filter("norm is not null").select("owner", "least", "rows", "norm"), round_no + 1
         if todo.isEmpty():
             break
-    return local.select("owner", "id", "first", "sha").join(owned, "owner").select(
+    groups = local.select("owner", "id", "first", "sha").join(owned, "owner").select(
         F.col("id"),
         "keep_id",
         F.col("size").alias("group_size"),
         (F.col("first") & (F.col("owner") == F.col("keep_owner"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+    return groups, tables
 
 
 def keep_first_copies(docs: DataFrame, *, text: str = "text", id: str = "doc_id", memory_bytes: int = 256 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows equal in identifier and text one stays."""
-    groups = stage(exact_groups(docs, text=text, id=id, memory_bytes=memory_bytes).filter("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")), "exact-kept")
+    found, tables = _groups(docs, text, id, memory_bytes)
+    groups = stage(found.filter("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")), "exact-kept")
+    discard(*tables)
+    del found
+    release(docs.sparkSession)
     joined = docs.withColumn("__own", F.sha2(normalised(F.col(text)), 256)).join(groups, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
     # a kept text is in one row unless identifiers repeat; only then is another pass needed
     repeated = docs.groupBy(F.col(id).alias("__id")).count().filter("count > 1")
