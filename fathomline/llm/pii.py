@@ -78,7 +78,7 @@ def _stream(key: str, kind: Column, canon: Column, attempt: Column, strength: in
     """512 bits in hexadecimal, keyed; ``strength`` (digits kept) is for tests that need collisions."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
     if strength < 64:
-        seed = F.concat_ws("\x1f", F.lit(key), kind, F.length(canon).cast("string"), F.substring(F.sha2(seed, 256), 1, strength))
+        seed = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), F.substring(F.sha2(seed, 256), 1, strength))
     return F.concat(F.sha2(F.concat(F.lit("1"), seed), 256), F.sha2(F.concat(F.lit("2"), seed), 256))
 
 
