@@ -17,8 +17,8 @@ SECRETS = [
     r"\b[A-Za-z0-9+/]{40,}={0,2}\b",
 ]
 RESEARCH_HINT = r"(?i)\b(paper|research|arxiv|study|hypothesis|experiment|evaluation|benchmark|dataset|model|agent|algorithm|method|architecture|training|inference|embedding|retrieval|reasoning|scientific|literature|theorem|proof|simulation|biology|protein|medicine|physics|chemistry|economics|robot|vision|language|learning)\b"
-NEGATIVE_CUE = r"(?i)\b(avoid|exclude|not interested|less|without|dislike|ignore)\b"
-LEAD_IN = r"(?i)^(i am interested in|i'm interested in|i want|please|avoid|exclude|ignore|not interested in|less)\s+"
+NEGATIVE_CUE = r"(?i)\b(avoid|de-emphasize|deemphasize|less of|not interested|exclude)\b"
+LEAD_IN = r"(?i)^(?:i\s+(?:care about|am interested in|want|prefer)|please|focus on)\s+"
 WORD = r"[\p{L}\p{N}]+"
 PLAIN_TOKEN = r"[a-z][a-z0-9-]{2,}"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import LEAD_IN, NEGATIVE_CUE, RESEARCH_HINT, clean_label, redact
+from fathomline.functions.text import LEAD_IN, NEGATIVE_CUE, RESEARCH_HINT, redact, squeeze
 
 EVENT = "type string, role string, text string, session_id string, payload struct<type:string, role:string, content:array<struct<type:string, text:string>>>, message struct<role:string, content:string>"
 
@@ -46,7 +46,7 @@ def within_budget(turns: DataFrame, session: str, order: str, *, each: int = 400
 
 def stated_interests(notes: DataFrame, text: str, *keys: str, most: int = 12) -> DataFrame:
     """(keys, nth, label, kind): the first parts of a note, those with a negative cue apart."""
-    parts = F.slice(F.filter(F.transform(F.split(F.col(text), r"[\n.;]+"), F.trim), lambda p: p != ""), 1, most)
+    parts = F.slice(F.filter(F.transform(F.split(F.col(text), r"[\n.;]+"), squeeze), lambda p: p != ""), 1, most)
     each = notes.select(*keys, F.posexplode(parts).alias("nth", "part"))
-    label = F.substring(F.trim(F.regexp_replace("part", LEAD_IN, "")), 1, 160)
-    return each.select(*keys, "nth", clean_label(label).alias("label"), F.when(F.col("part").rlike(NEGATIVE_CUE), "negative").otherwise("topic").alias("kind")).filter(F.length("label") >= 3)
+    label = F.substring(F.regexp_replace(F.regexp_replace("part", LEAD_IN, ""), "^[ :-]+|[ :-]+$", ""), 1, 160)
+    return each.select(*keys, "nth", label.alias("label"), F.when(F.col("part").rlike(NEGATIVE_CUE), "negative").otherwise("positive").alias("kind")).filter(F.length("label") >= 3)

@@ -24,17 +24,19 @@ def idf(total: Column, matching: Column) -> Column:
     return F.when(raw <= 0, F.lit(FLOOR)).otherwise(raw)
 
 
-def scored(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *, every: bool = False) -> DataFrame:
+def scored(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *, every: bool = False, analyzer=words) -> DataFrame:
     """``rows`` that match, with ``score``: any item, or ``every`` one. Items are phrases of one word or more; a repeated item counts again, an empty one never matches.
 
     Statistics are those of all ``rows``; filter the result, not the input, to search a part of an index."""
+    if every and not all(items):
+        items = []
     items = [i for i in items if i]
     if not items:
         return rows.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     base = rows
     asked = sorted({x for i in items for x in i})
     for n in fields:
-        base = base.withColumn(f"__t_{n}", words(F.col(n)))
+        base = base.withColumn(f"__t_{n}", analyzer(F.col(n)))
     base = base.withColumn("__len", sum((F.size(f"__t_{n}") for n in fields), F.lit(0)))
     if all(len(i) == 1 for i in items):
         # one pass leaves the few words that are asked for
@@ -64,11 +66,11 @@ def scored(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *,
     return counted.filter(match).crossJoin(F.broadcast(stats)).withColumn("score", sum(parts[1:], parts[0])).drop("__tf", "__len", "__n", "__avg", "__df")
 
 
-def search(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *, id: str, limit: int, every: bool = False, keep=None) -> DataFrame:
+def search(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *, id: str, limit: int, every: bool = False, keep=None, analyzer=words) -> DataFrame:
     """The best ``limit`` rows by rounded score, ties by identifier; ``keep`` filters after scoring."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
-    found = scored(rows, fields, items, every=every)
+    found = scored(rows, fields, items, every=every, analyzer=analyzer)
     if keep is not None:
         found = found.filter(keep)
     return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), id).limit(limit)

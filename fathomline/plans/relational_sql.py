@@ -63,7 +63,7 @@ def _lane(name, order, count, before):
     return f"{name} AS (SELECT paper_id, '{name[2:]}' AS lane FROM pr WHERE {rest} ORDER BY {order} DESC, paper_id LIMIT {count})"
 
 
-_INTEREST = r"list_slice(list_filter(list_transform(regexp_split_to_array(note, '[\n.;]+'), lambda p: trim(p)), lambda p: p <> ''), 1, 12)"
+_INTEREST = r"list_slice(list_filter(list_transform(regexp_split_to_array(note, '[\n.;]+'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> ''), 1, 12)"
 _SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
@@ -149,8 +149,8 @@ ORACLE_SQL = {
     "research_filter": f"SELECT role, count(*) AS turns, count(*) FILTER (regexp_matches(text, '{t.RESEARCH_HINT}')) AS research FROM conversations GROUP BY role",
     "stated_interests": f"""WITH n AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Avoid ' ELSE 'I want ' END || text AS note FROM conversations WHERE role = 'user'),
         e AS (SELECT conv_id, turn, unnest({_INTEREST}) AS part, unnest(range(0, len({_INTEREST}))) AS nth FROM n),
-        l AS (SELECT *, regexp_replace(substr({_SQUEEZE.format("substr(trim(regexp_replace(part, '" + t.LEAD_IN.replace("'", "''") + "', '')), 1, 160)")}, 1, 120), '^[ .,:;-]+|[ .,:;-]+$', '', 'g') AS label FROM e)
-        SELECT conv_id, turn, CAST(nth AS INTEGER) AS nth, label, CASE WHEN regexp_matches(part, '{t.NEGATIVE_CUE}') THEN 'negative' ELSE 'topic' END AS kind FROM l WHERE length(label) >= 3""",
+        l AS (SELECT *, substr(regexp_replace(regexp_replace(part, '{t.LEAD_IN}', ''), '^[ :-]+|[ :-]+$', '', 'g'), 1, 160) AS label FROM e)
+        SELECT conv_id, turn, CAST(nth AS INTEGER) AS nth, label, CASE WHEN regexp_matches(part, '{t.NEGATIVE_CUE}') THEN 'negative' ELSE 'positive' END AS kind FROM l WHERE length(label) >= 3""",
     "evidence_validation": f"""WITH {_RECORDS}, x AS (SELECT record_id, ver, num, unnest(ev) AS e FROM rec WHERE trim(statement) <> ''),
         s AS (SELECT record_id, count(*) AS n, bool_or(contains(d.text, '4.0')) AS has FROM x JOIN documents d ON d.doc_id = x.e AND d.doc_id % 10 = x.ver GROUP BY record_id)
         SELECT record_id, CAST(len(ev) AS INTEGER) AS cited, round(least(1.0::DOUBLE, confidence), 6) AS confidence FROM rec JOIN s USING (record_id) WHERE n = len(ev) AND (NOT num OR has)""",
