@@ -13,6 +13,7 @@ name a component unless all are null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.components import connected_components
-from fathomline.llm.storage import stage
+from fathomline.llm.storage import release, stage
+from fathomline.llm.windows import mixed
 
 BITS, DISTANCE, SEED = 64, 3, 42
 
@@ -56,23 +58,38 @@ def with_fingerprints(docs: DataFrame, *, text: str, id: str, shingle: int) -> D
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _cut(mask: int, parts: int) -> list[int]:
+@lru_cache(maxsize=100_000)
+def _cut(mask: int, parts: int) -> tuple[int, ...]:
     """The bits set in ``mask``, cut into ``parts`` masks of nearly equal size."""
     bits = [b for b in range(BITS) if mask >> b & 1]
-    return [sum(1 << b for b in piece.tolist()) for piece in np.array_split(np.array(bits, dtype=object), parts) if len(piece)]
+    return tuple(sum(1 << b for b in piece.tolist()) for piece in np.array_split(np.array(bits, dtype=object), parts) if len(piece))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+EVERY = (1 << BITS) - 1
+#: Masks of a key with so few bits left have small buckets by themselves.
+WHOLE = 8
 
 
-def _keyed(fps: DataFrame, masks: list[int], parent: Column | None = None, children: list[list[int]] | None = None) -> DataFrame:
-    """(table, key, fp) for each mask; with ``parent``, for the children of the row's own table only."""
-    if parent is None:
-        tables = F.array(*[F.struct(F.lit(k).alias("table"), F.lit(_signed(m)).alias("mask")) for k, m in enumerate(masks)])
-    else:
-        tables = F.element_at(F.array(*[F.array(*[F.struct(F.lit(k).alias("table"), F.lit(_signed(masks[k])).alias("mask")) for k in own]) for own in children]), parent + 1)
-    return fps.select("fp", F.explode(tables).alias("t")).select(F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp")
+def _first_masks() -> list[int]:
+    """Each choice of 3 of the 6 blocks."""
+    return [a | b | c for a, b, c in combinations(_cut(EVERY, 6), 3)]
+
+
+def _finer_masks(mask: int) -> list[int]:
+    """The mask with each quarter of its free bits added."""
+    return [mask | piece for piece in _cut(~mask & EVERY, 4)]
+
+
+def _keyed(batches):
+    """(mask, fp), the mask null at first -> (mask, key, fp) for each finer mask; the key is what the mask leaves of the fingerprint."""
+    for batch in batches:
+        fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+        old = [None if m is None else m % (1 << BITS) for m in batch["mask"].to_pylist()]
+        for mask in set(old):
+            own = fp[np.array([m == mask for m in old])]
+            for finer in _first_masks() if mask is None else _finer_masks(mask):
+                m = np.uint64(finer)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), m).view(np.int64)), pa.array((own & m).view(np.int64)), pa.array(own.view(np.int64))], names=["mask", "key", "fp"])
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -90,13 +107,11 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-LINKS = "u long, v long, table int"
-
+LINKS = "u long, v long, mask long"
 
-def _verify(bucket_rows: int, whole: set[int]):
-    """Rows in order of (table, key) -> links (table null), and (v null) members of buckets that are too large.
 
-    ``whole``: tables whose keys leave so few free bits that a bucket is small by itself."""
+def _verify(bucket_rows: int):
+    """Rows in order of (mask, key) -> links (mask null), and (v null) members of buckets that are too large."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -118,27 +133,27 @@ def _verify(bucket_rows: int, whole: set[int]):
                     t.append(None)
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(np.array(u, np.uint64).view(np.int64)), pa.array([None if x is None else int(np.uint64(x).view(np.int64)) for x in v], pa.int64()), pa.array(t, pa.int32())], names=["u", "v", "table"])
+            batch = pa.RecordBatch.from_arrays([pa.array(np.array(u, np.uint64).view(np.int64)), pa.array([None if x is None else int(np.uint64(x).view(np.int64)) for x in v], pa.int64()), pa.array(t, pa.int64())], names=["u", "v", "mask"])
             u.clear(), v.clear(), t.clear()
             return batch
 
         for batch in batches:
-            table, key, fp = (batch[n].to_numpy(zero_copy_only=False) for n in ("table", "key", "fp"))
+            mask, key, fp = (batch[n].to_numpy(zero_copy_only=False) for n in ("mask", "key", "fp"))
             fp = fp.view(np.uint64)
-            change = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
+            change = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             cuts = np.concatenate(([0], change, [len(fp)]))
             # groups of one row inside the batch have no pair
             sizes = np.diff(cuts)
             for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
                 a, b = cuts[g], cuts[g + 1]
-                own = (int(table[a]), int(key[a]))
+                own = (int(mask[a]), int(key[a]))
                 if own != group:
                     if held_n > 1 and not flooded:
                         settle(np.concatenate(held))
                     held, held_n, group, flooded = [], 0, own, False
                 held.append(fp[a:b])
                 held_n += b - a
-                if flooded or held_n > bucket_rows and own[0] not in whole:
+                if flooded or held_n > bucket_rows and BITS - (own[0] % (1 << BITS)).bit_count() > WHOLE:
                     flooded = True
                     for x in np.concatenate(held):
                         u.append(x)
@@ -157,25 +172,15 @@ def _verify(bucket_rows: int, whole: set[int]):
 
 def close_links(fps: DataFrame, *, bucket_rows: int = 4096) -> DataFrame:
     """fps(fp long, distinct) -> links (u, v) with the connected parts of all pairs that differ in at most 3 bits."""
-    blocks = _cut((1 << BITS) - 1, 6)
-    masks = [a | b | c for a, b, c in combinations(blocks, 3)]
-    todo, links = _keyed(fps, masks), None
+    todo, links = fps.select(F.lit(None).cast("long").alias("mask"), "fp"), None
     while True:
-        whole = {k for k, m in enumerate(masks) if BITS - m.bit_count() <= 8}
-        dealt = todo.repartition("table", "key").sortWithinPartitions("table", "key")
-        got = stage(dealt.mapInArrow(_verify(bucket_rows, whole), LINKS), "simhash-links")
+        dealt = todo.mapInArrow(_keyed, "mask long, key long, fp long").repartition("mask", "key").sortWithinPartitions("mask", "key")
+        got = stage(dealt.mapInArrow(_verify(bucket_rows), LINKS), "simhash-links")
         part = got.filter("v is not null").select("u", "v")
         links = part if links is None else links.unionByName(part)
-        hot = got.filter("v is null")
-        if hot.isEmpty():
+        todo = got.filter("v is null").select("mask", F.col("u").alias("fp")).distinct()
+        if todo.isEmpty():
             return links.distinct()
-        finer, children = [], []
-        for m in masks:
-            own = [m | piece for piece in _cut(~m & ((1 << BITS) - 1), 4)]
-            children.append(list(range(len(finer), len(finer) + len(own))))
-            finer += own
-        todo = _keyed(hot.select(F.col("u").alias("fp"), "table").distinct(), finer, F.col("table"), children)
-        masks = finer
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 3, bucket_rows: int = 4096) -> DataFrame:
@@ -193,7 +198,139 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_of_each(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5) -> DataFrame:
+# Wide fingerprints: near copies down to a Jaccard similarity of 0.8 differ in about 15 % of the bits, far more than a few of 64.
+
+WIDE_BITS, BLOCK_BITS, BLOCKS = 512, 16, 48
+_LANES = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def distance_at(jaccard: float, bits: int = WIDE_BITS) -> int:
+    """The number of differing bits that is expected of two texts of equal size with this Jaccard similarity of shingles."""
+    return int(bits * np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """SimHash of WIDE_BITS bits; each shingle's 64-bit hash is mixed into as many lanes as needed."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    joined = b" ".join(words)
+    hashed = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        h = np.array([hashed(joined, SEED)], dtype=np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        h = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    votes = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(h), 1 << 13):
+        lanes = mixed(h[at : at + (1 << 13), None] ^ _LANES)
+        votes += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * votes > len(h), bitorder="little").tobytes()
+
+
+def block_choices(seed: int = SEED) -> np.ndarray:
+    """The bits of each block: BLOCKS choices of BLOCK_BITS bits."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(WIDE_BITS)[:BLOCK_BITS] for _ in range(BLOCKS)])
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _wide_keys(batches):
+    choices = block_choices()
+    power = (1 << np.arange(BLOCK_BITS)).astype(np.int32)
+    for batch in batches:
+        n = batch.num_rows
+        fps = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint8).reshape(n, -1)
+        bits = np.unpackbits(fps, axis=1, bitorder="little")
+        node = batch["node"].to_numpy(zero_copy_only=False)
+        for k, own in enumerate(choices):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(bits[:, own].astype(np.int32) @ power), pa.array(node), _binary(fps)], names=["table", "key", "node", "fp"])
+
+
+def _wide_links(most: int, batches):
+    """Rows in order of (table, key) -> verified links. Small buckets are compared by shifts, all at once; larger ones give a forest of links."""
+    u: list[np.ndarray] = []
+    v: list[np.ndarray] = []
+
+    def settle(name, node, fps):
+        edges = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1], [True])))
+        sizes = np.diff(edges)
+        for a, n in zip(edges[:-1][sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+            rest = np.arange(a, a + n)
+            while len(rest) > 1:
+                front, rest = [rest[0]], rest[1:]
+                while front and len(rest):
+                    x = front.pop()
+                    near = np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1, dtype=np.int64) <= most
+                    if near.any():
+                        u.append(np.full(near.sum(), node[x]))
+                        v.append(node[rest[near]])
+                        front += rest[near].tolist()
+                        rest = rest[~near]
+        size_of = np.repeat(sizes, sizes)
+        left = np.arange(len(name)) - np.repeat(edges[:-1], sizes)
+        for d in range(1, 16):
+            i = np.flatnonzero((size_of <= 16) & (left + d < size_of))
+            if not len(i):
+                break
+            near = np.bitwise_count(fps[i] ^ fps[i + d]).sum(axis=1, dtype=np.int64) <= most
+            u.append(node[i[near]])
+            v.append(node[i[near] + d])
+
+    def out():
+        a, b = np.concatenate([*u, np.empty(0, np.int64)]), np.concatenate([*v, np.empty(0, np.int64)])
+        u.clear(), v.clear()
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    held = None
+    for batch in batches:
+        name = batch["table"].to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch["key"].to_numpy(zero_copy_only=False)
+        now = (name, batch["node"].to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint64).reshape(len(name), -1))
+        if held is not None:
+            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+        cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last bucket may go on
+        settle(*(x[:cut] for x in now))
+        held = tuple(x[cut:] for x in now)
+        if sum(map(len, u)) > 200_000:
+            yield out()
+    if held is not None:
+        settle(*held)
+    yield out()
+
+
+def wide_near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """(id, component): rows whose wide fingerprints are as close as texts of this similarity are on average.
+
+    The block join finds a pair at the threshold with a probability of 0.97 and one at 0.9 with 0.9999; Hamming distance then decides.
+    Fingerprints of 512 bits place a pair's similarity to about 0.03."""
+    most = distance_at(jaccard)
+
+    def prints(batches):
+        for batch in batches:
+            rows = [wide_fingerprint(t, shingle) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(rows, pa.binary())], names=["id", "fp"])
+
+    own = stage(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(prints, "id long, fp binary"), "wide").withColumn("node", F.xxhash64("fp"))
+    classes = own.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"))
+    dealt = classes.select("node", "fp").mapInArrow(_wide_keys, "table int, key int, node long, fp binary").repartition("table", "key").sortWithinPartitions("table", "key")
+    links = stage(dealt.mapInArrow(lambda batches: _wide_links(most, batches), "u long, v long").distinct(), "wide-links")
+    del dealt
+    release(docs.sparkSession)
+    members = connected_components(links)
+    labelled = classes.select("node", "least").join(members.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
+    named = labelled.groupBy("part").agg(F.min("least").alias("component"))
+    lookup = stage(labelled.join(named, "part").select("node", "component"), "wide-classes")
+    return own.select("id", "node").join(lookup, "node").select("id", "component")
+
+
+def keep_one_of_each(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that are the smallest of their component; rows with a null identifier stay, since no link can name them."""
-    stays = near_duplicates(docs.filter(F.col(id).isNotNull()), text=text, id=id, shingle=shingle).filter("id = component").select(F.col("id").alias("__kept_id")).distinct()
-    return docs.join(stays, F.col(id) == F.col("__kept_id"), "left_semi").unionByName(docs.filter(F.col(id).isNull()))
+    named = docs.filter(F.col(id).isNotNull())
+    goes = stage(wide_near_duplicates(named, text=text, id=id, shingle=shingle, jaccard=jaccard).filter("id <> component").select(F.col("id").alias("__gone_id")).distinct(), "wide-gone")
+    return docs.join(goes, F.col(id) == F.col("__gone_id"), "left_anti")
