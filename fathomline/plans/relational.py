@@ -63,10 +63,10 @@ def carry_over(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    # two versions of each paper, the one with the larger hash acquired later
+    # a second version, acquired later, of the papers that aren't English
     d = table(spark, sf_dir, "documents")
     first = d.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("v1_"), "doc_id").alias("id"), F.lit(1).alias("seq"))
-    return first.unionByName(d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("v2_"), "doc_id").alias("id"), F.lit(2).alias("seq")))
+    return first.unionByName(d.filter("lang <> 'en'").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("v2_"), "doc_id").alias("id"), F.lit(2).alias("seq")))
 
 
 def version_current_flip(spark, sf_dir):
@@ -75,7 +75,7 @@ def version_current_flip(spark, sf_dir):
 
 def snapshot_members(spark, sf_dir):
     own = papers(spark, sf_dir).withColumnRenamed("paper_id", "id")
-    d = discoveries(spark, sf_dir).withColumn("paper_id", F.col("id") % 5000)
+    d = discoveries(spark, sf_dir).withColumn("paper_id", F.substring("source_id", 2, 20).cast("long"))
     current = upsert.flip_current(_versions(spark, sf_dir), order=[F.desc("seq")])
     return catalog.snapshot_members(own, current, start="2024-03-01", end="2025-12-31", discoveries=d, category="c1")
 
@@ -94,12 +94,12 @@ def snapshot_coverage_open(spark, sf_dir):
 
 def _stored(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("abstract"), F.col("c_nationkey").cast("string").alias("date"))
+    return c.filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_acctbal") < 2000, "").otherwise(F.col("c_mktsegment")).alias("abstract"), F.col("c_nationkey").cast("string").alias("date"))
 
 
 def _incoming(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("title"), F.when(F.col("c_custkey") % 9 == 0, "").otherwise(F.lower("c_mktsegment")).alias("abstract"), F.when(F.col("c_custkey") % 5 == 0, None).otherwise("2025").alias("date"))
+    return c.filter("c_nationkey < 12").select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("title"), F.when(F.col("c_acctbal") > 7000, "").otherwise(F.lower("c_mktsegment")).alias("abstract"), F.when(F.col("c_nationkey") < 4, None).otherwise("2025").alias("date"))
 
 
 def upsert_keep_nonempty(spark, sf_dir):
@@ -115,13 +115,13 @@ def insert_or_ignore(spark, sf_dir):
 
 
 def replace_group(spark, sf_dir):
-    e = events(spark, sf_dir).select("event_id", "session_fingerprint", "label")
-    return upsert.replace_group(e, e.filter("event_id % 97 = 0").withColumn("label", F.lit("new")), ["session_fingerprint"])
+    e = events(spark, sf_dir).select("event_id", "session_fingerprint", "label", "confidence")
+    return upsert.replace_group(e.drop("confidence"), e.filter("confidence > 0.97").drop("confidence").withColumn("label", F.lit("new")), ["session_fingerprint"])
 
 
 def cascade_delete(spark, sf_dir):
     e = events(spark, sf_dir)
-    return upsert.cascade_delete(e.select("event_id", "session_fingerprint"), e.filter("source = 'codex' AND event_id % 11 = 0"), ["session_fingerprint"])
+    return upsert.cascade_delete(e.select("event_id", "session_fingerprint"), e.filter("source = 'codex' AND confidence > 0.95"), ["session_fingerprint"])
 
 
 # identity and text
@@ -191,7 +191,7 @@ def citation_percentile(spark, sf_dir):
 
 
 def profile_weights(spark, sf_dir):
-    liked = papers(spark, sf_dir).filter("paper_id % 97 = 0").select("title", F.substring("abstract", 1, 200).alias("abstract"))
+    liked = papers(spark, sf_dir).join(table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("paper_id")), "paper_id", "left_semi")
     return profile.label_weights(events(spark, sf_dir), liked, F.lit("2024-02-01 00:00:00"))
 
 
@@ -243,7 +243,7 @@ def passage_pack_sql(spark, sf_dir):
 
 
 def figure_range_join(spark, sf_dir):
-    figures = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("version"), (F.col("o_custkey") % 40).cast("int").alias("page"), F.col("o_orderkey").cast("string").alias("label")).filter("cast(label as bigint) % 20 = 0")
+    figures = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("version"), (F.col("o_custkey") % 40).cast("int").alias("page"), F.col("o_orderkey").cast("string").alias("label"))
     d = table(spark, sf_dir, "documents")
     own = d.select((F.col("doc_id") % 50).alias("version"), F.concat(F.lit("e"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("evidence_id"), (F.col("doc_id") % 37).cast("int").alias("page_start"), (F.col("doc_id") % 37 + F.col("doc_id") % 5).cast("int").alias("page_end"), "text")
     return parse.nearby(figures, own).select("version", "page", "label", F.array_join("nearby_evidence_ids", ",").alias("nearby"))

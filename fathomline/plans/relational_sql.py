@@ -5,10 +5,10 @@ from fathomline.plans.relational import CATEGORY, DISLIKES, LIKES
 from fathomline.plans.search import sql_tokens
 from fathomline.plans.views import DISCOVERIES, EVENTS, PAPERS, TODAY
 
-_VERSIONS = "ver AS (SELECT doc_id AS paper_id, 'v1_' || doc_id AS id, 1 AS seq FROM documents UNION ALL SELECT doc_id, 'v2_' || doc_id, 2 FROM documents WHERE doc_id % 3 = 0)"
+_VERSIONS = "ver AS (SELECT doc_id AS paper_id, 'v1_' || doc_id AS id, 1 AS seq FROM documents UNION ALL SELECT doc_id, 'v2_' || doc_id, 2 FROM documents WHERE lang <> 'en')"
 _CURRENT = "cur AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY seq DESC) = 1 AS is_current FROM ver)"
-_STORED = "old AS (SELECT c_custkey AS id, c_name AS title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS abstract, CAST(c_nationkey AS VARCHAR) AS date FROM customer WHERE c_custkey % 2 = 0)"
-_INCOMING = "inc AS (SELECT c_custkey AS id, lower(c_name) AS title, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE lower(c_mktsegment) END AS abstract, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '2025' END AS date FROM customer WHERE c_custkey % 3 = 0)"
+_STORED = "old AS (SELECT c_custkey AS id, c_name AS title, CASE WHEN c_acctbal < 2000 THEN '' ELSE c_mktsegment END AS abstract, CAST(c_nationkey AS VARCHAR) AS date FROM customer WHERE c_mktsegment <> 'MACHINERY')"
+_INCOMING = "inc AS (SELECT c_custkey AS id, lower(c_name) AS title, CASE WHEN c_acctbal > 7000 THEN '' ELSE lower(c_mktsegment) END AS abstract, CASE WHEN c_nationkey < 4 THEN NULL ELSE '2025' END AS date FROM customer WHERE c_nationkey < 12)"
 _NORMAL = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
 _PAGES = r"""pages_ AS (
     SELECT doc_id AS id, 1 AS page, 'Preface line' || chr(10) || chr(10) || 'Abstract' || chr(10) || split_part(text, chr(10), 1) || chr(10) || chr(10) || chr(10) || '2. Results and more' || chr(10) || 'Figure ' || (doc_id % 9) || ': what the numbers show' || chr(10) || 'and one more line' || chr(10) AS text FROM documents
@@ -83,14 +83,14 @@ ORACLE_SQL = {
         SELECT *, primary_total - primary_acquired - primary_failed AS primary_pending FROM c""",
     "corpus_status": f"WITH {DISCOVERIES} SELECT (SELECT count(DISTINCT source_id) FROM disc) AS catalog_papers, (SELECT count(*) FROM documents) AS full_text_papers, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM labels) AS records, (SELECT count(*) FROM conversations) AS turns",
     "papers_per_day": f"WITH {DISCOVERIES} SELECT published_date AS day, count(*) AS papers FROM disc GROUP BY day ORDER BY day DESC LIMIT 30",
-    "theme_counts": f"WITH {PAPERS}, n AS (SELECT * FROM papers ORDER BY published_date DESC, paper_id DESC LIMIT 30) SELECT theme, count(*) AS n FROM (SELECT unnest(list_slice({sql_tokens('title', 'PROFILE_STOP')}, 1, 8)) AS theme FROM n) GROUP BY theme ORDER BY n DESC, theme LIMIT 12",
+    "theme_counts": f"WITH {PAPERS}, n AS (SELECT * FROM papers ORDER BY published_date DESC, paper_id DESC LIMIT 30) SELECT theme, count(*) AS n FROM (SELECT unnest(list_slice({sql_tokens('title', 'PROFILE_STOP', ordered=True)}, 1, 8)) AS theme FROM n) GROUP BY theme ORDER BY n DESC, theme LIMIT 12",
     "month_segments": "SELECT CAST(greatest(m, DATE '2024-11-17') AS DATE) AS segment_start, CAST(least(last_day(m), DATE '2025-03-05') AS DATE) AS segment_end FROM (SELECT CAST(unnest(generate_series(DATE '2024-11-01', DATE '2025-03-05', INTERVAL 1 MONTH)) AS DATE) AS m)",
     "topn_per_group": f"WITH {DISCOVERIES} SELECT source_id, status, id, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY source_id, status ORDER BY published_date DESC, id) AS position FROM disc) WHERE position <= 2",
     "carry_over": f"""WITH {DISCOVERIES}, e AS (SELECT source_id, max((published_date, 'p' || id)) AS m FROM disc WHERE published_date < '1999-01-01' AND status = 'acquired' GROUP BY source_id)
         SELECT d.id, d.source_id, CASE WHEN e.m IS NULL THEN 'discovered' ELSE 'acquired' END AS status, e.m[2] AS paper_id FROM disc d LEFT JOIN e USING (source_id) WHERE d.published_date >= '1999-01-01'""",
     "version_current_flip": f"WITH {_VERSIONS}, {_CURRENT} SELECT paper_id, id, is_current FROM cur",
     "snapshot_members": f"""WITH {PAPERS}, {DISCOVERIES}, {_VERSIONS}, {_CURRENT} SELECT p.paper_id, c.id AS paper_version_id FROM papers p JOIN cur c ON c.paper_id = p.paper_id AND c.is_current
-        WHERE p.source_class <> 'synthetic' AND p.published_date >= '2024-03-01' AND p.published_date <= '2025-12-31' AND EXISTS (SELECT 1 FROM disc d WHERE d.id % 5000 = p.paper_id AND (d.primary_category = 'c1' OR list_contains(d.categories, 'c1')))""",
+        WHERE p.source_class <> 'synthetic' AND p.published_date >= '2024-03-01' AND p.published_date <= '2025-12-31' AND EXISTS (SELECT 1 FROM disc d WHERE CAST(substr(d.source_id, 2) AS BIGINT) = p.paper_id AND (d.primary_category = 'c1' OR list_contains(d.categories, 'c1')))""",
     "snapshot_coverage": f"""WITH {DISCOVERIES}, r AS (SELECT status, row_number() OVER (PARTITION BY source_id ORDER BY CASE status WHEN 'acquired' THEN 0 ELSE 1 END, id DESC) AS n FROM disc WHERE published_date >= '1996-01-01' AND published_date <= '1999-12-31' AND (primary_category = 'c1' OR list_contains(categories, 'c1')))
         SELECT count(*) AS catalog_papers, count(*) FILTER (status = 'acquired') AS full_text_papers, count(*) FILTER (status = 'failed') AS unavailable_papers FROM r WHERE n = 1""",
     "snapshot_coverage_open": f"WITH {DISCOVERIES} SELECT count(*) AS catalog_papers, count(*) FILTER (status = 'acquired') AS full_text_papers, count(*) FILTER (status = 'failed') AS unavailable_papers FROM disc WHERE published_date >= NULL",
@@ -98,8 +98,8 @@ ORACLE_SQL = {
         CASE WHEN old.id IS NULL OR inc.abstract <> '' THEN inc.abstract ELSE old.abstract END AS abstract, CASE WHEN old.id IS NULL OR inc.date <> '' THEN inc.date ELSE old.date END AS date FROM old FULL JOIN inc ON old.id = inc.id""",
     "upsert_last_wins": f"WITH {_STORED}, {_INCOMING} SELECT * FROM inc UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM inc)",
     "insert_or_ignore": f"WITH {_STORED}, {_INCOMING} SELECT * FROM old UNION ALL SELECT * FROM inc WHERE id NOT IN (SELECT id FROM old)",
-    "replace_group": f"WITH {EVENTS} SELECT event_id, session_fingerprint, label FROM pref WHERE session_fingerprint NOT IN (SELECT session_fingerprint FROM pref WHERE event_id % 97 = 0) UNION ALL SELECT event_id, session_fingerprint, 'new' FROM pref WHERE event_id % 97 = 0",
-    "cascade_delete": f"WITH {EVENTS} SELECT event_id, session_fingerprint FROM pref WHERE session_fingerprint NOT IN (SELECT session_fingerprint FROM pref WHERE source = 'codex' AND event_id % 11 = 0)",
+    "replace_group": f"WITH {EVENTS} SELECT event_id, session_fingerprint, label FROM pref WHERE session_fingerprint NOT IN (SELECT session_fingerprint FROM pref WHERE confidence > 0.97) UNION ALL SELECT event_id, session_fingerprint, 'new' FROM pref WHERE confidence > 0.97",
+    "cascade_delete": f"WITH {EVENTS} SELECT event_id, session_fingerprint FROM pref WHERE session_fingerprint NOT IN (SELECT session_fingerprint FROM pref WHERE source = 'codex' AND confidence > 0.95)",
     "stable_ids": f"WITH {PAPERS}, s AS (SELECT paper_id, abstract, 'paper_' || substr(sha256({_NORMAL}), 1, 20) AS sp FROM papers) SELECT paper_id, sp AS stable_paper, 'version_' || substr(sha256(sp || chr(31) || sha256(abstract)), 1, 20) AS stable_version FROM s",
     "title_normalise": f"WITH {PAPERS} SELECT {_NORMAL} AS normal, count(*) AS papers FROM papers GROUP BY normal",
     "slugify": f"WITH {PAPERS} SELECT paper_id, published_date || '-' || substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM papers",
@@ -119,7 +119,7 @@ ORACLE_SQL = {
         SELECT cluster, paper_id, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score DESC, published_date DESC, similarity DESC, lower(title), CAST(paper_id AS VARCHAR)) AS INTEGER) AS position, score FROM s""",
     "citation_percentile": f"WITH {PAPERS}, src AS (SELECT * FROM papers), {_percentile('lang')} SELECT paper_id, round(citation, 6) AS citation FROM per",
     "profile_weights": f"""WITH {PAPERS}, {EVENTS}, {_WEIGHTS}
-        UNION ALL SELECT unnest(k) AS key, unnest(k) AS label, NULL, 1.5, 0.0, FALSE FROM (SELECT {sql_tokens("title || ' ' || substr(abstract, 1, 200)", 'PROFILE_STOP')} AS k FROM papers WHERE paper_id % 97 = 0)), {_NET} SELECT * FROM w""",
+        UNION ALL SELECT unnest(k) AS key, unnest(k) AS label, NULL, 1.5, 0.0, FALSE FROM (SELECT {sql_tokens("title || ' ' || abstract", 'PROFILE_STOP')} AS k FROM papers WHERE paper_id IN (SELECT doc_id FROM labels WHERE quality = 1))), {_NET} SELECT * FROM w""",
     "profile_concepts": f"""WITH {EVENTS}, {_WEIGHTS}), {_NET},
         o AS (SELECT *, row_number() OVER (ORDER BY source <> 'explicit', abs(weight) DESC, lower(label)) AS p, row_number() OVER (PARTITION BY polarity ORDER BY source <> 'explicit', abs(weight) DESC, lower(label)) AS q FROM w)
         SELECT label, weight, polarity, source, p <= 30 AS concept, CASE polarity WHEN 'positive' THEN q <= 24 ELSE q <= 12 END AS kept FROM o WHERE p <= 30 OR CASE polarity WHEN 'positive' THEN q <= 24 ELSE q <= 12 END""",
@@ -138,7 +138,7 @@ ORACLE_SQL = {
         SELECT n.id AS doc_id, CAST(row_number() OVER (PARTITION BY n.id ORDER BY n.s) - 1 AS INTEGER) AS ordinal, coalesce(heading, 'Document') AS heading, md5(text) AS digest, CASE WHEN heading IS NULL THEN 1 ELSE ps END AS page_start, coalesce(nx, 2) AS page_end FROM n JOIN t ON t.id = n.id AND t.s = n.s WHERE text <> ''""",
     "figure_captions": f"""WITH {_PAGES}, c AS (SELECT *, regexp_matches(line, '(?i)^(figure|fig\\.)\\s*([a-z]?[0-9]+[a-z]?)\\s*[:.]?\\s*(.*)$') AS c, lead(line, 1) OVER w AS one, lead(line, 2) OVER w AS two FROM lines_ WINDOW w AS (PARTITION BY id, page ORDER BY pos))
         SELECT id AS doc_id, page, 'Figure ' || regexp_extract(line, '(?i)^(figure|fig\\.)\\s*([a-z]?[0-9]+[a-z]?)', 2) AS label, regexp_extract(line, '(?i)^(figure|fig\\.)\\s*([a-z]?[0-9]+[a-z]?)\\s*[:.]?\\s*(.*)$', 3) || ' ' || one AS caption FROM c WHERE c AND page = 1""",
-    "figure_range_join": """WITH f AS (SELECT o_orderkey % 50 AS version, CAST(o_custkey % 40 AS INTEGER) AS page, CAST(o_orderkey AS VARCHAR) AS label FROM orders WHERE o_orderkey % 20 = 0),
+    "figure_range_join": """WITH f AS (SELECT o_orderkey % 50 AS version, CAST(o_custkey % 40 AS INTEGER) AS page, CAST(o_orderkey AS VARCHAR) AS label FROM orders),
         p AS (SELECT doc_id % 50 AS version, 'e' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS ev, doc_id % 37 AS ps, doc_id % 37 + doc_id % 5 AS pe FROM documents),
         j AS (SELECT f.*, ev, row_number() OVER (PARTITION BY f.version, page, label ORDER BY ev) AS n FROM f JOIN p ON p.version = f.version AND ps <= page AND pe >= page),
         a AS (SELECT version, page, label, string_agg(ev, ',' ORDER BY ev) AS nearby FROM j WHERE n <= 8 GROUP BY ALL) SELECT f.*, nearby FROM f LEFT JOIN a USING (version, page, label)""",

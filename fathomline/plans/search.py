@@ -154,14 +154,19 @@ def _words(start: int, stop: int) -> str:
 _STOP = {name: "[" + ", ".join(f"'{x}'" for x in getattr(t, name)) + "]" for name in ("RANKING_STOP", "PROFILE_STOP", "CLUSTER_STOP")}
 
 
-def sql_tokens(text: str, stop: str) -> str:
-    """Distinct tokens without stop words, in order of first occurrence."""
+def sql_tokens(text: str, stop: str, ordered: bool = False) -> str:
+    """Distinct tokens without stop words, if asked in order of first occurrence."""
     found = f"regexp_extract_all(lower(coalesce({text}, '')), '[a-z][a-z0-9-]{{2,}}')"
-    return f"list_filter({found}, lambda x, i: NOT list_contains({_STOP[stop]}, x) AND list_position({found}, x) = i)"
+    if ordered:
+        return f"list_filter({found}, lambda x, i: NOT list_contains({_STOP[stop]}, x) AND list_position({found}, x) = i)"
+    return f"list_filter(list_distinct({found}), lambda x: NOT list_contains({_STOP[stop]}, x))"
 
 
-_RELATED = "list_transform(regexp_extract_all(title || ' ' || abstract, '[A-Za-z][A-Za-z0-9-]{3,}'), lambda x: lower(x))"
-_RELATED = f"list_slice(list_filter({_RELATED}, lambda x, i: x NOT IN ('this','that','with','from','using','paper','based','their') AND list_position({_RELATED}, x) = i), 1, 12)"
+_RELATED = """rel AS (
+    SELECT paper_id, list(t ORDER BY i) AS w FROM (
+        SELECT paper_id, t, min(i) AS i FROM (SELECT paper_id, unnest(ts) AS t, unnest(range(0, len(ts))) AS i FROM (SELECT paper_id, regexp_extract_all(lower(title || ' ' || abstract), '[A-Za-z][A-Za-z0-9-]{3,}') AS ts FROM papers))
+        WHERE t NOT IN ('this', 'that', 'with', 'from', 'using', 'paper', 'based', 'their') GROUP BY paper_id, t QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY min(i)) <= 12)
+    GROUP BY paper_id)"""
 
 ORACLE_SQL = {
     "bm25_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 3}, _words(0, 20), 20, keep='''r.source_class <> 'synthetic' ''')} SELECT * FROM hits",
@@ -177,8 +182,8 @@ ORACLE_SQL = {
         part AS (SELECT doc_id, term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / av)) AS s FROM post JOIN df USING (term), stats),
         total AS (SELECT item_id, doc_id, round(sum(s * times), 6) AS score FROM part JOIN asked USING (term) GROUP BY ALL)
         SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM total) WHERE rank <= 10""",
-    "related_terms": f"WITH {PAPERS} SELECT paper_id, array_to_string({_RELATED}, ' ') AS terms FROM papers",
-    "related_papers": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 2}, f'SELECT i AS k, [w[i]] AS item FROM (SELECT {_RELATED} AS w FROM papers WHERE paper_id = 1), (SELECT unnest(range(1, 13)) AS i) WHERE i <= len(w)', 15)} SELECT * FROM hits WHERE paper_id <> 1 ORDER BY score DESC, paper_id LIMIT 10",
+    "related_terms": f"WITH {PAPERS}, {_RELATED} SELECT p.paper_id, coalesce(array_to_string(w, ' '), '') AS terms FROM papers p LEFT JOIN rel USING (paper_id)",
+    "related_papers": f"WITH {PAPERS}, {_RELATED}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 2}, f'SELECT i AS k, [w[i]] AS item FROM (SELECT w FROM rel WHERE paper_id = 1), (SELECT unnest(range(1, 13)) AS i) WHERE i <= len(w)', 15)} SELECT * FROM hits WHERE paper_id <> 1 ORDER BY score DESC, paper_id LIMIT 10",
     "cosine_topk": f"WITH {VECTORS} SELECT a.vec_id, round({_COS}, 6) AS similarity FROM vec a, (SELECT v FROM vec WHERE vec_id = 0) q ORDER BY similarity DESC, a.vec_id LIMIT 25",
     "label_centroids": f"WITH {VECTORS}, m AS (SELECT label, dim, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(0, len(v))) AS dim FROM vec) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label) SELECT label, CAST(dim AS INTEGER) AS dim, round(m / n, 6) AS value FROM m JOIN n USING (label)",
     "folded_vectors": f"""
@@ -213,6 +218,6 @@ ORACLE_SQL = {
         s AS (SELECT cluster, term, round(tf * (ln(((SELECT count(*) FROM papers) + 1) / (df + 1)) + 1.0::DOUBLE), 9) AS w FROM tf JOIN df USING (term))
         SELECT cluster, term, CAST(rank AS INTEGER) AS rank, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, term) AS rank FROM s) WHERE rank <= 6""",
     "theme_overlap": f"""
-        WITH {PAPERS}, k AS (SELECT paper_id, {sql_tokens('title', 'RANKING_STOP')} AS k FROM papers)
+        WITH {PAPERS}, k AS (SELECT paper_id, {sql_tokens('title', 'RANKING_STOP', ordered=True)} AS k FROM papers)
         SELECT paper_id, CAST(len(k) AS INTEGER) AS tokens, CAST(len(list_filter(k, lambda x: list_contains(k0, x))) AS INTEGER) AS shared, array_to_string(list_slice(k, 1, 3), ' ') AS first_tokens FROM k, (SELECT k AS k0 FROM k WHERE paper_id = 0)""",
 }

@@ -18,20 +18,20 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("paper_id"),
         F.substring_index("text", "\n", 1).alias("title"),
-        F.substring("text", 1, 600).alias("abstract"),
+        F.col("text").alias("abstract"),
         day.alias("published_date"),
-        F.when(F.col("doc_id") % 17 == 0, "synthetic").otherwise("imported").alias("source_class"),
-        F.when(F.col("doc_id") % 5 == 0, None).otherwise((F.col("n_chars") % 500).cast("int")).alias("citation_count"),
+        F.when(F.col("source") == "src3", "synthetic").otherwise("imported").alias("source_class"),
+        F.when(F.col("lang") == "es", None).otherwise((F.col("n_chars") % 500).cast("int")).alias("citation_count"),
         "lang",
         "source",
     )
 
 
 PAPERS = """papers AS (
-    SELECT doc_id AS paper_id, split_part(text, chr(10), 1) AS title, substr(text, 1, 600) AS abstract,
+    SELECT doc_id AS paper_id, split_part(text, chr(10), 1) AS title, text AS abstract,
            strftime(DATE '2024-01-01' + CAST(doc_id % 745 AS INTEGER), '%Y-%m-%d') AS published_date,
-           CASE WHEN doc_id % 17 = 0 THEN 'synthetic' ELSE 'imported' END AS source_class,
-           CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(n_chars % 500 AS INTEGER) END AS citation_count, lang, source
+           CASE WHEN source = 'src3' THEN 'synthetic' ELSE 'imported' END AS source_class,
+           CASE WHEN lang = 'es' THEN NULL ELSE CAST(n_chars % 500 AS INTEGER) END AS citation_count, lang, source
     FROM documents)"""
 
 
