@@ -179,11 +179,21 @@ def _search(index, text, base, size, window, least, hit) -> None:
             stop, at, end, low, high, p, good, bad, kept_low, kept_high = (x[keep] for x in (stop, at, end, low, high, p, good, bad, kept_low, kept_high))
 
 
+def settled(found: dict[str, np.ndarray]) -> np.ndarray:
+    """All but two of the segments of a block that have the same words: the two stand for them in the index with a weight of two, the others are repeated whole."""
+    order, heads = w.local_classes(found["key"], found["ctx"])
+    nth = np.arange(len(order)) - np.repeat(heads, np.diff(np.concatenate((heads, [len(order)]))))
+    out = np.zeros(len(order), bool)
+    out[order] = nth >= 2
+    return out
+
+
 def _settle(buckets: int):
-    """One bucket of segments -> those with a repeated key (part 0), and one of each class to be read (part 1, by document bucket)."""
+    """One bucket of segments -> those with a repeated key (part 0), one of each class to be read (part 1, by document bucket), and ranges known to be repeated (part 2)."""
 
     def run(key, table):
-        found = w.gathered(table)
+        ready = w.renumbered(w.by_part(table, 1), 2)
+        found = w.gathered(w.by_part(table, 0))
         order = np.lexsort((found["start"], found["doc"], found["ctx"], found["key"]))
         found = {n: a[order] for n, a in found.items()}
         n = len(order)
@@ -199,7 +209,7 @@ def _settle(buckets: int):
             out.append(w.blobs(own, np.full(common.sum(), key[0].as_py(), np.int32), 0))
             first = {c: found[c][common & part] for c in own}
             out.append(w.blobs(first, w.document_bucket(first["doc"], buckets), 1))
-        return pa.Table.from_batches(out, schema=w._BLOB_ARROW)
+        return pa.concat_tables([ready, pa.Table.from_batches(out, schema=w._BLOB_ARROW)])
 
     return run
 
@@ -295,12 +305,13 @@ def remove_repeated(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     spark = docs.sparkSession
     buckets = w.spread(docs.select(text))
     keyed = w.keyed_documents(docs, text=text, id=id)
-    first = stage(w.dealt(w.segment_blobs(keyed, Words(), WINDOW, GRAM, buckets), buckets).applyInArrow(_settle(buckets), w.BLOB), "fm-segments")
+    first = stage(w.dealt(w.segment_blobs(keyed, Words(), WINDOW, GRAM, buckets, settled), buckets).applyInArrow(_settle(buckets), w.BLOB), "fm-segments")
     release(spark)
     distinct = w.with_documents(keyed, first.filter("part = 1"), buckets, _contents(buckets), w.BLOB)
     copies = first.filter("part = 0")
     second = stage(copies.groupBy("bucket").cogroup(distinct.groupBy("bucket")).applyInArrow(_report(buckets), w.BLOB), "fm-ranges")
     del distinct
     release(spark)
-    out = w.with_documents(keyed, second, buckets, _cut(want_text), RESULT)
+    ranges = first.filter("part = 2").unionByName(second)
+    out = w.with_documents(keyed, ranges, buckets, _cut(want_text), RESULT)
     return out if want_text else out.drop("kept")

@@ -97,11 +97,22 @@ def repeated_earlier(data: np.ndarray, doc_of: np.ndarray, allowed: np.ndarray)
     return hit
 
 
+def settled(found: dict[str, np.ndarray]) -> np.ndarray:
+    """Segments that occur whole in an earlier document of the same block: all their bytes go, whatever else there is."""
+    order, heads = w.local_classes(found["key"], found["ctx"])
+    docs = found["doc"][order]
+    least = np.minimum.reduceat(docs, heads) if len(heads) else docs
+    out = np.zeros(len(order), bool)
+    out[order] = docs > np.repeat(least, np.diff(np.concatenate((heads, [len(order)]))))
+    return out
+
+
 def _settle(buckets: int):
     """One bucket of segments -> ranges that go at once (part 0), and segments whose content must be looked at (part 1), by document bucket."""
 
     def run(key, table):
-        found = w.gathered(table)
+        ready = w.renumbered(w.by_part(table, 1), 0)
+        found = w.gathered(w.by_part(table, 0))
         order = np.lexsort((found["start"], found["doc"], found["ctx"], found["key"]))
         found = {n: a[order] for n, a in found.items()}
         n = len(order)
@@ -119,7 +130,7 @@ def _settle(buckets: int):
             if mask.any():
                 chosen = {c: found[c][mask] for c in (("doc", "start", "wins") if number == 0 else ("key", "doc", "start", "wins"))}
                 out.append(w.blobs(chosen, w.document_bucket(chosen["doc"], buckets), number))
-        return pa.Table.from_batches(out, schema=w._BLOB_ARROW)
+        return pa.concat_tables([ready, pa.Table.from_batches(out, schema=w._BLOB_ARROW)])
 
     return run
 
@@ -193,7 +204,7 @@ def remove_repeated(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     spark = docs.sparkSession
     buckets = w.spread(docs.select(text))
     keyed = w.keyed_documents(docs, text=text, id=id)
-    first = stage(w.dealt(w.segment_blobs(keyed, Bytes(), WINDOW, GRAM, buckets), buckets).applyInArrow(_settle(buckets), w.BLOB), "suffix-settled")
+    first = stage(w.dealt(w.segment_blobs(keyed, Bytes(), WINDOW, GRAM, buckets, settled), buckets).applyInArrow(_settle(buckets), w.BLOB), "suffix-settled")
     release(spark)
     asked = first.filter("part = 1")
     # ranking holds a dozen numbers a position, so that the positions are dealt more finely than the segments were

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +124,20 @@ def spread(docs: DataFrame, unit: int = 24 << 20) -> int:
     return max(least, min(2 * size // unit, 100_000)) if size < 1 << 60 else least
 
 
-def segment_blobs(docs: DataFrame, symbols, window: int, gram: int, buckets: int) -> DataFrame:
-    """All segments of ``docs`` (row, text) as blobs by bucket of their key."""
+def local_classes(key: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal segments together (else it keeps their order), and the heads of the classes in it."""
+    both = mixed(key ^ (ctx << np.uint64(1)))
+    order = np.argsort(both, kind="stable")
+    head = np.ones(len(order), bool)
+    head[1:] = (both[order][1:] != both[order][:-1]) | (key[order][1:] != key[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
+    return order, np.flatnonzero(head)
+
+
+def segment_blobs(docs: DataFrame, symbols, window: int, gram: int, buckets: int, settled) -> DataFrame:
+    """Segments of ``docs`` (row, text) as blobs by bucket of their key (part 0).
+
+    ``settled(found)`` marks the segments that the others of their block of rows settle already: those go to the bucket of their
+    document (part 1) and spare the key's bucket the copies, so that a key's load there is by blocks, not by documents."""
 
     def run(batches):
         held, ids, starts, total = [], [], [], 0
@@ -135,7 +148,13 @@ def segment_blobs(docs: DataFrame, symbols, window: int, gram: int, buckets: int
             own = found.pop("owner")
             found["doc"] = np.array(ids, np.int64)[own]
             found["start"] = found["start"] + np.array(starts, np.uint32)[own]
-            return blobs(found, (found["key"] % np.uint64(buckets)).astype(np.int32))
+            done = settled(found)
+            for part, chosen in ((0, ~done), (1, done)):
+                if chosen.any():
+                    own_ = {n: a[chosen] for n, a in found.items()}
+                    if part:
+                        own_ = {n: own_[n] for n in ("doc", "start", "wins")}
+                    yield blobs(own_, document_bucket(own_["doc"], buckets) if part else (own_["key"] % np.uint64(buckets)).astype(np.int32), part)
 
         for batch in batches:
             for row, body in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -148,14 +167,22 @@ def segment_blobs(docs: DataFrame, symbols, window: int, gram: int, buckets: int
                     starts.append(a)
                     total += b - a
                     if total >= BLOCK:
-                        yield flush()
+                        yield from flush()
                         held, ids, starts, total = [], [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return docs.select("row", "text").mapInArrow(run, BLOB)
 
 
+def by_part(table: pa.Table, part: int) -> pa.Table:
+    return table.filter(pc.equal(table["part"], part))
+
+
+def renumbered(table: pa.Table, part: int) -> pa.Table:
+    return table.set_column(1, _BLOB_ARROW.field(1), pa.array([part] * table.num_rows, pa.int32())).cast(_BLOB_ARROW)
+
+
 def dealt(table: DataFrame, buckets: int):
     """A table of blobs grouped by bucket, one group a task if there are as many partitions."""
     return table.repartition(buckets, "bucket").groupBy("bucket")
