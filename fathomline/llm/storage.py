@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     if not current:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
+        own = tempfile.mkdtemp(prefix="fathomline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
         current = context.getCheckpointDir()
     return current.rstrip("/")
 
