@@ -109,9 +109,13 @@ def jaccard_pairs(rows: DataFrame, id: str, tokens: str, least: float) -> DataFr
     base = rows.select(F.col(id).alias("id"), F.array_distinct(tokens).alias("t")).filter(F.size("t") > 0)
     df = base.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = base.select("id", F.explode("t").alias("token")).join(df, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("t"))
-    prefix = ordered.select("id", "t", F.explode(F.slice("t", F.lit(1), (F.size("t") - F.ceil(F.lit(least) * F.size("t")) + 1).cast("int"))).alias("token"))
-    left, right = prefix.select(F.col("id").alias("a"), F.col("t").alias("ta"), "token"), prefix.select(F.col("id").alias("b"), F.col("t").alias("tb"), "token")
-    near = (F.size("ta") >= F.lit(least) * F.size("tb")) & (F.size("tb") >= F.lit(least) * F.size("ta"))
-    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & near).dropDuplicates(["a", "b"])
+    ordered = ordered.withColumn("n", F.size("t"))
+    prefix = ordered.select("id", "n", F.explode(F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("token"))
+    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
+    near = (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("nb") >= F.lit(least) * F.col("na"))
+    # numbers meet first; the sets follow for the pairs that are left
+    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    sets = ordered.select("id", "t")
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.withColumn("jaccard", F.round(both / (F.size("ta") + F.size("tb") - both), 6)).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")

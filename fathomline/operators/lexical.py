@@ -58,12 +58,10 @@ def scored(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *,
     for k in range(len(items)):
         f = F.col("__tf")[k]
         parts.append(idf(F.col("__n"), F.col("__df")[k]) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.col("__avg"))))
-    hit = [F.col("__tf")[k] > 0 for k in range(len(items))]
-    match = hit[0]
-    for h in hit[1:]:
-        match = match & h if every else match | h
-    # one row of statistics meets every row
-    return counted.filter(match).crossJoin(F.broadcast(stats)).withColumn("score", sum(parts[1:], parts[0])).drop("__tf", "__len", "__n", "__avg", "__df")
+    hits = sum(((F.col("__tf")[k] > 0).cast("int") for k in range(1, len(items))), (F.col("__tf")[0] > 0).cast("int"))
+    # the condition names the statistics, so that it stays above the join and the counts below are worked out once
+    enough = F.when(F.col("__n") > 0, hits) >= (len(items) if every else 1)
+    return counted.crossJoin(F.broadcast(stats)).filter(enough).withColumn("score", sum(parts[1:], parts[0])).drop("__tf", "__len", "__n", "__avg", "__df")
 
 
 def search(rows: DataFrame, fields: dict[str, float], items: list[list[str]], *, id: str, limit: int, every: bool = False, keep=None, analyzer=words) -> DataFrame:

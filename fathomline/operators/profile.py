@@ -111,6 +111,7 @@ def quotas(candidates: int, budget: int, shares: tuple[float, float, float], act
 
 def lanes(scores: DataFrame, budget: int, *, shares: tuple[float, float, float] = (0.6, 0.2, 0.2), active: bool = True, id: str = "id") -> DataFrame:
     """Every record with its lane; each lane takes the best that earlier lanes left, what is still missing is taken by the best of any score."""
+    scores = scores.persist()  # every lane reads them again
     number = quotas(scores.count(), budget, shares, active)
     best = F.greatest("relevance", "frontier", "exploration")
     chosen = None
