@@ -82,7 +82,7 @@ def priority_scores(records: DataFrame, positive: list[str], today: str, *, id:
     neutral = F.coalesce("citation", F.lit(0.5))
     trend = F.least(F.lit(1.0), F.coalesce("topical", F.lit(0)) / n / 4.0)
     rarity = F.coalesce("rare", F.lit(0.0)) / n
-    quality = F.least(F.lit(1.0), F.length("abstract") / 1200.0)
+    quality = F.least(F.lit(1.0), F.coalesce(F.length("abstract"), F.lit(0)) / 1200.0)
     return held.select(
         F.col(id),
         F.round("__a", 6).alias("affinity"),

@@ -12,7 +12,8 @@ HALF_LIFE = 180.0
 
 def age_days(date: Column, today: str) -> Column:
     """Days since an ISO date, 0 for later ones; null if it can't be read."""
-    return F.greatest(F.lit(0), F.datediff(F.lit(today).cast("date"), F.try_to_date(F.substring(date, 1, 10), "yyyy-MM-dd")))
+    days = F.datediff(F.lit(today).cast("date"), F.try_to_date(F.substring(date, 1, 10), "yyyy-MM-dd"))
+    return F.when(days.isNotNull(), F.greatest(F.lit(0), days))  # greatest() alone would turn null into 0
 
 
 def recency(date: Column, today: str) -> Column:
