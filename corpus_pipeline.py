@@ -27,9 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, a similarity of 0.8) the document with the smallest doc_id stays.
-
-    Fingerprints place a similarity to about 0.03, so the distance is that of 0.77: pairs at 0.8 are found rather than missed."""
+    """Of each group of near copies (five words, a similarity of 0.77) the document with the smallest doc_id stays."""
     return simhash.keep_one_of_each(docs.select(*COLUMNS), jaccard=0.77)
 
 

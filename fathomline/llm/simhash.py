@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.components import connected_components
-from fathomline.llm.storage import release, stage
-from fathomline.llm.windows import mixed
+from fathomline.llm.storage import discard, release, stage
 
 BITS, DISTANCE, SEED = 64, 3, 42
 
@@ -198,139 +197,217 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Wide fingerprints: near copies down to a Jaccard similarity of 0.8 differ in about 15 % of the bits, far more than a few of 64.
+# Near copies by exact Jaccard similarity: a prefix filter draws the candidates, so that no close pair can be lost, and each link is verified on the sets.
 
-WIDE_BITS, BLOCK_BITS, BLOCKS = 512, 16, 48
-_LANES = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+SIGN_BITS = 1024
+#: Documents whose shingles are counted to put frequent shingles last, the number of those kept, and the least count. The order decides speed only.
+SAMPLE, MOST_FREQUENT, FREQUENT = 10_000, 100_000, 3
+#: Shingle buckets up to this size give all their pairs at once.
+SMALL_BUCKET = 32
+#: Against rounding in products of the threshold.
+EPSILON = 1e-9
 
 
-def distance_at(jaccard: float, bits: int = WIDE_BITS) -> int:
-    """The number of differing bits that is expected of two texts of equal size with this Jaccard similarity of shingles."""
-    return int(bits * np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
-
-
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """SimHash of WIDE_BITS bits; each shingle's 64-bit hash is mixed into as many lanes as needed."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of lower-cased word shingles, in order; a text of fewer words is one shingle, a wordless one has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(WIDE_BITS // 8)
+        return np.empty(0, np.int64)
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        h = np.array([hashed(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    votes = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(h), 1 << 13):
-        lanes = mixed(h[at : at + (1 << 13), None] ^ _LANES)
-        votes += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * votes > len(h), bitorder="little").tobytes()
+        return np.array([hashed(joined, SEED)], dtype=np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64).view(np.int64))
 
 
-def block_choices(seed: int = SEED) -> np.ndarray:
-    """The bits of each block: BLOCKS choices of BLOCK_BITS bits."""
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.permutation(WIDE_BITS)[:BLOCK_BITS] for _ in range(BLOCKS)])
+def _node(hashes: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(hashes.tobytes(), SEED), np.uint64).view(np.int64))
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    n, width = rows.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+def _sign(hashes: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of SIGN_BITS cells: two sets differ in at least as many shingles as their signs in bits."""
+    return np.packbits(np.bincount(hashes & (SIGN_BITS - 1), minlength=SIGN_BITS) & 1 == 1).tobytes()
 
 
-def _wide_keys(batches):
-    choices = block_choices()
-    power = (1 << np.arange(BLOCK_BITS)).astype(np.int32)
-    for batch in batches:
-        n = batch.num_rows
-        fps = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint8).reshape(n, -1)
-        bits = np.unpackbits(fps, axis=1, bitorder="little")
-        node = batch["node"].to_numpy(zero_copy_only=False)
-        for k, own in enumerate(choices):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(bits[:, own].astype(np.int32) @ power), pa.array(node), _binary(fps)], names=["table", "key", "node", "fp"])
-
-
-def _wide_links(most: int, batches):
-    """Rows in order of (table, key) -> verified links. Small buckets are compared by shifts, all at once; larger ones give a forest of links."""
-    u: list[np.ndarray] = []
-    v: list[np.ndarray] = []
-
-    def settle(name, node, fps):
-        edges = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1], [True])))
-        sizes = np.diff(edges)
-        for a, n in zip(edges[:-1][sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            rest = np.arange(a, a + n)
-            while len(rest) > 1:
-                front, rest = [rest[0]], rest[1:]
-                while front and len(rest):
-                    x = front.pop()
-                    near = np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1, dtype=np.int64) <= most
-                    if near.any():
-                        u.append(np.full(near.sum(), node[x]))
-                        v.append(node[rest[near]])
-                        front += rest[near].tolist()
-                        rest = rest[~near]
-        size_of = np.repeat(sizes, sizes)
-        left = np.arange(len(name)) - np.repeat(edges[:-1], sizes)
-        for d in range(1, 16):
-            i = np.flatnonzero((size_of <= 16) & (left + d < size_of))
-            if not len(i):
-                break
-            near = np.bitwise_count(fps[i] ^ fps[i + d]).sum(axis=1, dtype=np.int64) <= most
-            u.append(node[i[near]])
-            v.append(node[i[near] + d])
-
-    def out():
-        a, b = np.concatenate([*u, np.empty(0, np.int64)]), np.concatenate([*v, np.empty(0, np.int64)])
-        u.clear(), v.clear()
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+def prefix(hashes: np.ndarray, jaccard: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(jaccard * n) + 1 shingles, frequent ones last: two sets of this similarity share one in both prefixes."""
+    n = len(hashes)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - int(np.ceil(jaccard * n - EPSILON)) + 1 if n else 0]
+
 
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """docs(id, text) -> the most frequent shingles of a sample, in order, and their counts."""
+    every = -(-docs.count() // SAMPLE)
+    sampled = docs.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(1, every))) == 0)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
+            h, n = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    top = sampled.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    h, n = np.array([r["h"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _buckets(batches, columns: list[str]):
+    """Rows in order of their key, by batches that end with a bucket, as numpy arrays; a node that repeats in a bucket counts once."""
     held = None
     for batch in batches:
-        name = batch["table"].to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch["key"].to_numpy(zero_copy_only=False)
-        now = (name, batch["node"].to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint64).reshape(len(name), -1))
+        now = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) if c == "sign" else batch[c].to_numpy(zero_copy_only=False) for c in columns]
         if held is not None:
-            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-        cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last bucket may go on
-        settle(*(x[:cut] for x in now))
-        held = tuple(x[cut:] for x in now)
-        if sum(map(len, u)) > 200_000:
-            yield out()
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        key, node = now[0], now[1]
+        if not len(key):
+            continue
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        now = [x[fresh] for x in now]
+        cut = np.searchsorted(now[0], now[0][-1])  # the last bucket may go on
+        if cut:
+            yield [x[:cut] for x in now]
+        held = [x[cut:] for x in now]
     if held is not None:
-        settle(*held)
-    yield out()
+        yield held
+
+
+def _possible(jaccard: float, n, pos, m, at) -> np.ndarray:
+    """Whether sets of sizes n and m, whose first common shingle has these positions, can be as similar as asked."""
+    return np.minimum(n - pos, m - at) >= np.ceil(jaccard / (1 + jaccard) * (n + m) - EPSILON)
 
 
-def wide_near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
-    """(id, component): rows whose wide fingerprints are as close as texts of this similarity are on average.
+CANDIDATES = "u long, v long, key long, pos int, n int"
 
-    The block join finds a pair at the threshold with a probability of 0.97 and one at 0.9 with 0.9999; Hamming distance then decides.
-    Fingerprints of 512 bits place a pair's similarity to about 0.03."""
-    most = distance_at(jaccard)
 
-    def prints(batches):
+def _candidates(jaccard: float):
+    """Rows in order of (key, node) -> pairs (key null): all of a small bucket, those with the first node of a larger one; and (v null) the rows of larger ones."""
+
+    def run(batches):
+        for key, node, pos, n in _buckets(batches, ["key", "node", "pos", "n"]):
+            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            sizes = np.diff(edges)
+            size_of = np.repeat(sizes, sizes)
+            first = np.repeat(edges[:-1], sizes)
+            left = np.arange(len(key)) - first
+            large = size_of > SMALL_BUCKET
+            i = np.flatnonzero(large & (left > 0))
+            pairs = [(first[i], i)]
+            for d in range(1, SMALL_BUCKET):
+                i = np.flatnonzero(~large & (left + d < size_of))
+                if not len(i):
+                    break
+                pairs.append((i, i + d))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            ok = _possible(jaccard, n[a], pos[a], n[b], pos[b])
+            found = np.unique(np.stack((node[a[ok]], node[b[ok]]), axis=1), axis=0)
+            none, more = len(found), int(large.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32())], names=["u", "v", "key", "pos", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.nulls(more, pa.int64()), pa.array(key[large]), pa.array(pos[large]), pa.array(n[large])], names=["u", "v", "key", "pos", "n"])
+
+    return run
+
+
+def _pairs_between(jaccard: float):
+    """Rows of large buckets in order of (key, node) -> the pairs of different parts that sizes, positions and signs leave possible."""
+
+    def run(batches):
+        for key, node, pos, n, part, sign in _buckets(batches, ["key", "node", "pos", "n", "part", "sign"]):
+            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                names, counts = np.unique(part[a:b], return_counts=True)
+                # pairs inside the largest part are linked already; each other member meets the later members and the largest part
+                main = part[a:b] == names[np.argmax(counts)]
+                u, v = [], []
+                for i in np.flatnonzero(~main).tolist():
+                    x = a + i
+                    others = a + np.flatnonzero((part[a:b] != part[x]) & (main | (np.arange(b - a) > i)))
+                    others = others[_possible(jaccard, n[x], pos[x], n[others], pos[others])]
+                    others = others[np.bitwise_count(sign[others] ^ sign[x]).sum(axis=1, dtype=np.int64) <= (n[x] + n[others]) * (1 - jaccard) / (1 + jaccard) + EPSILON]
+                    u.append(np.minimum(node[x], node[others]))
+                    v.append(np.maximum(node[x], node[others]))
+                    if i % 1000 == 999:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                        u, v = [], []
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """pairs(u, v) of nodes -> those whose shingle sets are as similar as asked, staged. Only candidates' texts are read into sets again."""
+
+    def signs(batches):
         for batch in batches:
-            rows = [wide_fingerprint(t, shingle) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(rows, pa.binary())], names=["id", "fp"])
-
-    own = stage(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(prints, "id long, fp binary"), "wide").withColumn("node", F.xxhash64("fp"))
-    classes = own.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"))
-    dealt = classes.select("node", "fp").mapInArrow(_wide_keys, "table int, key int, node long, fp binary").repartition("table", "key").sortWithinPartitions("table", "key")
-    links = stage(dealt.mapInArrow(lambda batches: _wide_links(most, batches), "u long, v long").distinct(), "wide-links")
-    del dealt
+            n, m = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "m"))
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("su", "sv"))
+            ok = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (n + m) * (1 - jaccard) / (1 + jaccard) + EPSILON
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(ok)) for c in ("u", "v")], names=["u", "v"])
+
+    def sets(batches):
+        for batch in batches:
+            own = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["node", "h"])
+
+    of_u, of_v = classes.select(F.col("node").alias("u"), "n", F.col("sign").alias("su")), classes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sign").alias("sv"))
+    left = stage(pairs.distinct().join(of_u, "u").join(of_v, "v").select("u", "v", "n", "m", "su", "sv").mapInArrow(signs, "u long, v long"), "near-pairs")
+    asked = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "least"), "node").select(F.col("least").alias("id")).distinct()
+    # an identifier may stand for more texts than the one asked for; those meet no pair or a right one
+    own = stage(docs.join(asked, "id", "left_semi").select("text").mapInArrow(sets, "node long, h array<long>"), "near-sets")
+    both = left.join(own.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
+    close = F.size(F.array_intersect("a", "b")) >= F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.size("a") + F.size("b")) - EPSILON)
+    out = stage(both.filter(close).select("u", "v").distinct(), "near-links")
+    discard(left, own)
+    return out
+
+
+def similar_links(own: DataFrame, classes: DataFrame, docs: DataFrame, *, shingle: int, jaccard: float) -> DataFrame:
+    """own(node, n, prefix) -> links (u, v) with the connected parts of all pairs of nodes as similar as asked.
+
+    Large buckets first give the pairs with their first node; what these links leave apart in a bucket is then compared, so that one large group needs few pairs."""
+    rows = own.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "pos", "n")
+    drawn = stage(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(jaccard), CANDIDATES), "near-candidates")
     release(docs.sparkSession)
-    members = connected_components(links)
+    links = _verified(drawn.filter("v is not null").select("u", "v"), classes, docs, shingle, jaccard)
+    large = drawn.filter("v is null").select("key", F.col("u").alias("node"), "pos", "n")
+    if large.isEmpty():
+        return links
+    members = connected_components(links).withColumnRenamed("node", "m")
+    parts = stage(large.join(members, F.col("node") == F.col("m"), "left").select("key", "node", "pos", "n", F.coalesce("component", "node").alias("part")), "near-parts")
+    mixed = parts.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
+    signed = parts.join(mixed, "key", "left_semi").join(classes.select("node", "sign"), "node").select("key", "node", "pos", "n", "part", "sign")
+    more = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs_between(jaccard), "u long, v long")
+    return links.unionByName(_verified(more, classes, docs, shingle, jaccard))
+
+
+def similar_documents(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """(id, component): rows linked by pairs whose sets of word shingles have at least this Jaccard similarity. No such pair is missed, no other is linked."""
+    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    frequent, counts = _frequent(docs, shingle)
+
+    def prefixes(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
+            own = [prefix(h, jaccard, frequent, counts) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([_sign(h) for h in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["id", "node", "n", "sign", "prefix"])
+
+    own = stage(docs.mapInArrow(prefixes, "id long, node long, n int, sign binary, prefix array<long>"), "near")
+    classes = stage(own.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign")), "near-nodes")
+    members = connected_components(similar_links(own, classes, docs, shingle=shingle, jaccard=jaccard))
     labelled = classes.select("node", "least").join(members.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     named = labelled.groupBy("part").agg(F.min("least").alias("component"))
-    lookup = stage(labelled.join(named, "part").select("node", "component"), "wide-classes")
+    lookup = stage(labelled.join(named, "part").select("node", "component"), "near-classes")
     return own.select("id", "node").join(lookup, "node").select("id", "component")
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that are the smallest of their component; rows with a null identifier stay, since no link can name them."""
     named = docs.filter(F.col(id).isNotNull())
-    goes = stage(wide_near_duplicates(named, text=text, id=id, shingle=shingle, jaccard=jaccard).filter("id <> component").select(F.col("id").alias("__gone_id")).distinct(), "wide-gone")
+    goes = stage(similar_documents(named, text=text, id=id, shingle=shingle, jaccard=jaccard).filter("id <> component").select(F.col("id").alias("__gone_id")).distinct(), "near-gone")
     return docs.join(goes, F.col(id) == F.col("__gone_id"), "left_anti")

@@ -279,3 +279,57 @@ def test_wide_near_copies(spark):
     kept = simhash.keep_one_of_each(docs, jaccard=0.77)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def near_corpus():
+    """Families with pairs round a similarity of 0.8: short texts, long ones, lines that repeat, and many copies of one text."""
+    rng = random.Random(5)
+    texts = []
+    for n in [10, 11, 40, 60, 120, 400] * 12:
+        base = [f"u{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for cut in (0.09, 0.1, 0.105, 0.11, 0.115, 0.12, 0.2):
+            new = max(1, round(n * cut))
+            texts.append(" ".join([*base[:-new], *(f"u{rng.randrange(10**6)}" for _ in range(new))]))
+    line = " ".join(f"l{k}" for k in range(12))
+    texts += [f"{line} " * 30 + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    texts += [f"{line} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(k % 5)) for k in range(80)]
+    base = [f"b{k}" for k in range(200)]
+    texts += [" ".join([*base[k % 28 :], *(f"u{rng.randrange(10**6)}" for _ in range(k % 28))]) for k in range(120)]
+    return list(enumerate(texts))
+
+
+def brute_components(rows, jaccard):
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    held, counts = {}, {}
+    for i, s in sets.items():
+        for x in s:
+            for j in held.setdefault(x, []):
+                counts[j, i] = counts.get((j, i), 0) + 1
+            held[x].append(i)
+    name = {i: i for i in sets}
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    near = 0
+    for (i, j), c in counts.items():
+        similarity = c / (len(sets[i]) + len(sets[j]) - c)
+        near += jaccard <= similarity < jaccard + 0.05
+        if similarity >= jaccard:
+            a, b = sorted((root(i), root(j)))
+            name[b] = a
+    return {i: root(i) for i in sets}, near
+
+
+def test_near_copies_equal_brute_force(spark):
+    rows = near_corpus()
+    want, near = brute_components(rows, 0.8)
+    assert near > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == set(want.values())
