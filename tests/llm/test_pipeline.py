@@ -37,6 +37,16 @@ def test_pipeline_odd_documents(spark):
         assert out.count() == 0
 
 
+def test_pipeline_near_stage_keeps_what_is_less_similar(spark):
+    """96 shingles each, of which 84 (0.778) or 86 (0.811) are in both."""
+    rows = []
+    for k, new in enumerate([12, 12, 12, 10]):
+        base = [f"d{k}w{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-new], *(f"e{k}w{j}" for j in range(new))]))]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, SF).collect()) == [0, 1, 2, 3, 4, 5, 6]
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_run(spark, name):
     out = queries.QUERIES[name](spark, SF)
