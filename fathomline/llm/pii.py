@@ -8,7 +8,9 @@ stay digits, punctuation stays; card numbers and IBANs keep their check digits r
 syllable name with the ending of the title's gender.
 
 Collision check: the distinct entities of the corpus and their surrogates are compared; an entity whose surrogate is also
-another's, or is itself an entity of the corpus, is drawn anew with the next attempt number until none is left.
+another's, or is itself an entity of the corpus, is drawn anew with the next attempt number until none is left. Every few attempts
+the surrogates of names, mail addresses and phone numbers grow by a syllable, letter or digit, so that there are enough of them for any corpus;
+all other formats have a thousand million surrogates or more.
 Documents' texts are shuffled only if there was a collision.
 
 Defined cases: null text stays null; empty text stays empty; identifiers may be null or repeat, since rows are never joined on them;
@@ -49,6 +51,8 @@ SYLLABLES_BY_SCRIPT = {
     "greek": ["βα", "βε", "γα", "γο", "δα", "δε", "ζα", "θε", "κα", "κε", "λα", "λε", "λι", "λο", "μα", "με", "μι", "μο", "να", "νε", "νι", "νο", "πα", "πε", "ρα", "ρε", "ρι", "ρο", "σα", "σε", "τα", "τε"],
     "cyrillic": ["ба", "бе", "бо", "ва", "ве", "га", "го", "да", "де", "до", "жа", "за", "ка", "ке", "ла", "ле", "ли", "ло", "ма", "ме", "ми", "мо", "на", "не", "ни", "но", "па", "пе", "ра", "ре", "ри", "ро"],
 }
+#: After so many attempts a surrogate is made longer by one unit.
+ATTEMPTS_A_LENGTH = 4
 ENDINGS = {"latin": ("o", "a", "e"), "greek": ("ος", "α", "ι"), "cyrillic": ("ов", "ова", "ин")}
 
 
@@ -106,10 +110,10 @@ def _mapped(text: Column, stream: Column, hexa: bool = False) -> Column:
 
 
 def _refilled(pattern: Column, fill: Column) -> Column:
-    """``pattern`` with its letters and digits replaced, left to right, by the characters of ``fill`` (as many); case follows ``fill``."""
+    """``pattern`` with its letters and digits replaced, left to right, by the characters of ``fill`` (as many, or more, which then follow); case follows ``fill``."""
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("k"))
     step = lambda acc, ch: F.when(ch.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(acc["s"], F.substring(fill, acc["k"] + 1, F.lit(1))).alias("s"), (acc["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(acc["s"], ch).alias("s"), acc["k"].alias("k")))
-    return F.aggregate(F.split(pattern, ""), start, step, lambda acc: acc["s"])
+    return F.aggregate(F.split(pattern, ""), start, step, lambda acc: F.concat(acc["s"], F.substring(fill, acc["k"] + 1, F.length(fill))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -140,11 +144,19 @@ def surrogate_canonical(kind: Column, canon: Column, attempt: Column, key: str,
     return F.element_at(_surrogates_of(F.array(F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))), key, strength), 1)["new"]
 
 
+def _longer(attempt: Column, drawn) -> Column:
+    """What ``attempt`` adds to a surrogate: ``drawn(k)`` for each unit k, from 1."""
+    units = F.floor(attempt / ATTEMPTS_A_LENGTH).cast("int")
+    return F.when(units > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(units, F.lit(1))), drawn), "")).otherwise("")
+
+
 def _surrogate_canonical(x: Column) -> Column:
     kind, canon, s, mapped = x["kind"], x["canon"], x["s"], x["mapped"]
-    mail = F.concat_ws("@", _mapped(F.substring_index(canon, "@", 1), s), F.concat(_mapped(F.regexp_replace(F.substring_index(canon, "@", -1), r"\.[^.]+$", ""), F.concat(s, F.lit("d"))), F.regexp_extract(canon, r"(\.[^.]+)$", 1)))
+    letters = _longer(x["attempt"], lambda k: F.substring(F.lit(LOWER["latin"]), (_draw(s, k + 1000) % len(LOWER["latin"]) + 1).cast("int"), F.lit(1)))
+    figures = _longer(x["attempt"], lambda k: (_draw(s, k + 1000) % 10).cast("string"))
+    mail = F.concat_ws("@", F.concat(_mapped(F.substring_index(canon, "@", 1), s), letters), F.concat(_mapped(F.regexp_replace(F.substring_index(canon, "@", -1), r"\.[^.]+$", ""), F.concat(s, F.lit("d"))), F.regexp_extract(canon, r"(\.[^.]+)$", 1)))
     octet = lambda k: (_draw(s, F.lit(k)) % 254 + 1).cast("string")
-    phone = F.concat((_draw(s, F.lit(99)) % 8 + 2).cast("string"), F.substring(mapped, 2, 64))
+    phone = F.concat((_draw(s, F.lit(99)) % 8 + 2).cast("string"), F.substring(mapped, 2, 64), figures)
     body = F.concat(F.substring(canon, 1, 1), F.expr("''"), F.substring(mapped, 2, 64))
     head = F.substring(body, F.lit(1), (F.length(canon) - 1).cast("int"))
     check = (10 - _luhn(F.concat(head, F.lit("0"))) % 10) % 10
@@ -162,18 +174,19 @@ def _surrogate_canonical(x: Column) -> Column:
         .when(kind == "iban", iban)
         .when((kind == "key") & canon.rlike("^[0-9a-f]+$"), _mapped(canon, s, hexa=True))
         .when(kind == "key", F.concat(F.substring(canon, 1, 4), F.substring(mapped, 5, 512)))
-        .when(kind == "name", _name(canon, s))
+        .when(kind == "name", _name(canon, s, x["attempt"]))
         .otherwise(mapped)
     )
 
 
-def _name(canon: Column, s: Column) -> Column:
-    """Each part of a name becomes three syllables in its script, without an ending."""
+def _name(canon: Column, s: Column, attempt: Column) -> Column:
+    """Each part of a name becomes three syllables (more after some attempts) in its script, without an ending."""
 
     def part(word: Column, i: Column) -> Column:
         def of(script: str) -> Column:
             table = F.array(*map(F.lit, SYLLABLES_BY_SCRIPT[script]))
-            return F.initcap(F.concat(*[F.element_at(table, (_draw(s, i * 10 + k) % 32 + 1).cast("int")) for k in range(3)]))
+            syllable = lambda at: F.element_at(table, (_draw(s, at) % len(SYLLABLES_BY_SCRIPT[script]) + 1).cast("int"))
+            return F.initcap(F.concat(*[syllable(i * 10 + k) for k in range(3)], _longer(attempt, lambda k: syllable((i + 1) * 1000 + k))))
 
         return F.when(word.rlike(r"\p{IsGreek}"), of("greek")).when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 

@@ -157,6 +157,18 @@ def test_pii_collisions_are_resolved(spark):
     assert not set(first.values()) & {f"555-{i:03d}-7777" for i in range(60)}
 
 
+@pytest.mark.parametrize("kind", ["name", "mail"])
+def test_pii_has_surrogates_for_more_entities_than_a_format_holds(spark, monkeypatch, kind):
+    """Syllables or letters, so few that there are 8 or 4 surrogates of the first length."""
+    monkeypatch.setattr(pii, "SYLLABLES_BY_SCRIPT", {**pii.SYLLABLES_BY_SCRIPT, "latin": ["ba", "be"]})
+    monkeypatch.setattr(pii, "LOWER", {**pii.LOWER, "latin": "ab"})
+    monkeypatch.setattr(pii, "ATTEMPTS_A_LENGTH", 1)
+    found = {"name": [f"Mr K{a}" for a in "abcdefghijkl"], "mail": [f"{a}@x.com" for a in "cdefgh"]}[kind]
+    docs = spark.createDataFrame([(i, f"so {e} it is") for i, e in enumerate(found)], "doc_id long, text string")
+    got = [r["text"].removeprefix("so ").removesuffix(" it is") for r in pii.pseudonymise(docs).collect()]
+    assert len(set(got)) == len(found) and not set(got) & set(found)
+
+
 def test_pii_is_keyed(spark):
     docs = spark.createDataFrame([(0, TEXT)], "doc_id long, text string")
     a, b, c = (pii.pseudonymise(docs, key=k).first()["text"] for k in ("a", "a", "b"))
