@@ -3,7 +3,7 @@
 Detected entities (mail addresses, phone numbers, IPv4 addresses, card numbers, IBANs, US social security numbers, access
 keys and hexadecimal secrets, names after a title) are replaced where they stand. A surrogate depends on a key, the entity's
 type and its canonical form, so that one entity gets the same surrogate everywhere, however it is written (case of mail,
-punctuation of phone and card numbers). Letters stay letters of the same case and script (Latin, Greek, Cyrillic), digits
+and hexadecimal secrets, punctuation of phone and card numbers). Letters stay letters of the same case and script (Latin, Greek, Cyrillic), digits
 stay digits, punctuation stays; card numbers and IBANs keep their check digits right or wrong as they were; a name after a title gets a
 syllable name with the ending of the title's gender.
 
@@ -39,10 +39,11 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}+-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}])\+?(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
     "intl": r"(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![\p{L}\p{N}])",
-    "key": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128})(?![\p{L}\p{N}])",
+    "key": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}+)(?![\p{L}\p{N}])",
     "name": rf"\b{TITLE} \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+HEXADECIMAL = "^[0-9A-Fa-f]+$"
 HINT = r"[@0-9]|" + TITLE + r" \p{Lu}"
 LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя"}
 SYLLABLES = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ja", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "pa", "pe", "ra", "re", "ri", "ro", "sa"]
@@ -74,6 +75,7 @@ def canonical(kind: Column, entity: Column) -> Column:
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "name", F.regexp_replace(entity, f"^{TITLE} ", ""))
+        .when((kind == "key") & entity.rlike(HEXADECIMAL), F.lower(entity))
         .otherwise(entity)
     )
 
@@ -216,7 +218,7 @@ def _in_format(x: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     prefix = F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)).cast("int"))
     cased = F.array_join(F.transform(F.split(new, ""), lambda ch, i: F.when(F.substring(entity, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(ch)).otherwise(ch)), "")
-    return F.when(kind == "name", named).when(kind == "mail", cased).when(kind == "phone", _refilled(entity, F.concat(prefix, new))).when(kind.isin("card", "ssn", "iban"), _refilled(entity, new)).otherwise(new)
+    return F.when(kind == "name", named).when((kind == "mail") | (kind == "key") & entity.rlike(HEXADECIMAL), cased).when(kind == "phone", _refilled(entity, F.concat(prefix, new))).when(kind.isin("card", "ssn", "iban"), _refilled(entity, new)).otherwise(new)
 
 
 def entities(text: Column) -> Column:

@@ -169,6 +169,14 @@ def test_pii_has_surrogates_for_more_entities_than_a_format_holds(spark, monkeyp
     assert len(set(got)) == len(found) and not set(got) & set(found)
 
 
+def test_pii_hexadecimal_secrets_of_any_length_and_case(spark):
+    rows = [(0, "is " + "3f" * 70), (1, "is " + "3F9A" * 10), (2, "is " + "3f9a" * 10), (3, "is " + "3f9A" * 10)]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_entities"] == 1 and got[i]["text"] != t and len(got[i]["text"]) == len(t) for i, t in rows)
+    new = [got[i]["text"].removeprefix("is ") for i in range(4)]
+    assert new[1] == new[2].upper() and new[3].lower() == new[2] and all(a.isupper() == b.isupper() for a, b in zip(new[3], rows[3][1][3:], strict=True))
+
+
 def test_pii_is_keyed(spark):
     docs = spark.createDataFrame([(0, TEXT)], "doc_id long, text string")
     a, b, c = (pii.pseudonymise(docs, key=k).first()["text"] for k in ("a", "a", "b"))
