@@ -44,7 +44,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HEXADECIMAL = "^[0-9A-Fa-f]+$"
-HINT = r"[@0-9]|" + TITLE + r" \p{Lu}"
+HINT = r"[@0-9]|(?:AKIA|ASIA)[A-Z0-9]{16}|" + TITLE + r" \p{Lu}"
 LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя"}
 SYLLABLES = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ja", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "pa", "pe", "ra", "re", "ri", "ro", "sa"]
 SYLLABLES_BY_SCRIPT = {
@@ -222,7 +222,7 @@ def _in_format(x: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """All entities of ``text`` in order; texts without a digit, an ``@`` or a title skip the search."""
+    """All entities of ``text`` in order; texts without a digit, an ``@``, an access key or a title skip the search."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
