@@ -8,7 +8,7 @@ stay digits, punctuation stays; card numbers and IBANs keep their check digits r
 syllable name with the ending of the title's gender.
 
 Collision check: the distinct entities of the corpus and their surrogates are compared; an entity whose surrogate is also
-another's, or is itself an entity of the corpus, is drawn anew with the next attempt number until none is left. Every few attempts
+another's, or is itself (a name: with any ending) an entity of the corpus, is drawn anew with the next attempt number until none is left. Every few attempts
 the surrogates of names, mail addresses and phone numbers grow by a syllable, letter or digit, so that there are enough of them for any corpus;
 all other formats have a thousand million surrogates or more.
 Documents' texts are shuffled only if there was a collision.
@@ -202,11 +202,8 @@ def surrogates(found: Column, attempts: Column | None, key: str, strength: int =
     return F.transform(_surrogates_of(known, key, strength), _in_format)
 
 
-def _in_format(x: Column) -> Column:
-    entity, kind, new = x["entity"], x["kind"], x["new"]
-    title = F.regexp_extract(entity, f"^({TITLE}) ", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    gender = F.when(bare.isin(*MALE), 0).when(bare.isin(*FEMALE), 1).otherwise(2)
+def _with_endings(name: Column, gender: Column) -> Column:
+    """A surrogate name as it stands in a text: the first part has the ending of the gender, all others the first ending."""
 
     def ending(word: Column, i: Column) -> Column:
         def of(script: str) -> Column:
@@ -214,7 +211,15 @@ def _in_format(x: Column) -> Column:
 
         return F.when(word.rlike(r"\p{IsGreek}"), of("greek")).when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
-    named = F.concat_ws(" ", title, F.array_join(F.transform(F.split(new, " "), ending), " "))
+    return F.array_join(F.transform(F.split(name, " "), ending), " ")
+
+
+def _in_format(x: Column) -> Column:
+    entity, kind, new = x["entity"], x["kind"], x["new"]
+    title = F.regexp_extract(entity, f"^({TITLE}) ", 1)
+    bare = F.regexp_replace(title, r"\.$", "")
+    gender = F.when(bare.isin(*MALE), 0).when(bare.isin(*FEMALE), 1).otherwise(2)
+    named = F.concat_ws(" ", title, _with_endings(new, gender))
     digits = F.regexp_replace(entity, "[^0-9]", "")
     prefix = F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)).cast("int"))
     cased = F.array_join(F.transform(F.split(new, ""), lambda ch, i: F.when(F.substring(entity, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(ch)).otherwise(ch)), "")
@@ -235,7 +240,8 @@ def collisions(docs: DataFrame, *, text: str, key: str, strength: int = 64) -> D
         drawn = known.withColumn("new", surrogate_canonical(F.col("kind"), F.col("canon"), F.col("attempt"), key, strength))
         shared = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         clash = drawn.join(shared, ["kind", "new"]).filter(F.struct("attempt", "canon") != F.col("keeper")).select("kind", "canon")
-        real = drawn.join(known.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_semi").select("kind", "canon")
+        forms = F.when(F.col("kind") == "name", F.array(*[_with_endings(F.col("new"), F.lit(g)) for g in range(3)])).otherwise(F.array("new"))
+        real = drawn.withColumn("form", F.explode(forms)).join(known.select("kind", F.col("canon").alias("form")), ["kind", "form"], "left_semi").select("kind", "canon")
         again = stage(clash.unionByName(real).distinct().withColumn("bad", F.lit(1)), "pii-collisions")
         if again.isEmpty():
             return None if first else known.filter("attempt > 0")
