@@ -1,4 +1,5 @@
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -14,7 +15,6 @@ from fathomline.llm.tokens import PLAIN, little_endian, rank_encoding
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -26,6 +26,20 @@ def test_ids_are_those_of_the_tokenizer(reference, rows):
     texts += ["".join(rng.choice(plain) for _ in range(60)) for _ in range(400)] + ["don't  stop\n\n now <|endoftext|> we'll", "  ", "\n", "漢字 текст   x"]
     for text in texts:
         assert encode(text) == reference(text), repr(text)
+    assert 50256 in encode("a <|endoftext|> b") and 50256 in encode("漢 <|endoftext|>")
+    ordinary = document_ids(special=False)
+    assert all(50256 not in ordinary(x) and 50256 not in ordinary(x + "漢") for x in ("a <|endoftext|> b", "<|endoftext|>"))
+
+
+def test_very_long_texts(reference):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["the", "house", "isn't", "größer", "12345", "!!", "漢字"]) + str(rng.randrange(9)) for _ in range(200_000))
+    assert len(text) > 1 << 20
+    assert document_ids()(text) == reference(text)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    codec = bpe_tree.TreeCodec(path, P.PATTERN)
+    ids = codec.encode(text)
+    assert ids == rank_encoding(path, P.PATTERN).encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
 def test_tree_encodes_as_the_library(rows):
@@ -112,24 +126,122 @@ def test_feistel_is_a_permutation(n):
         assert (np.diff(slots) == 1).mean() < 0.1
 
 
-def test_materialise_and_resume(spark, docs, rows, empty, tmp_path):
-    encode, target = document_ids(), str(tmp_path / "shards")
-    layout = training_order.materialise(docs, encode, target, key=5, length=64, shard_records=7)
-    everything = training_order.read_from(spark, target, layout).collect()
-    n = layout["sequences"]
-    assert sorted(r["slot"] for r in everything) == list(range(n)) == sorted(r["sequence_id"] for r in everything)
-    stream = sorted(everything, key=lambda r: r["sequence_id"])
-    tokens = sum(len(encode(t or "")) + 1 for _, t in rows)
-    assert sum(r["n_tokens"] for r in stream) == tokens
-    by_doc = sorted(tuple([*encode(t or ""), 50256]) for _, t in rows)
-    joined = [x for r in stream for x in r["ids"]]
-    assert sorted(joined) == sorted(x for d in by_doc for x in d)
-    for r in everything:
-        assert r["shard_id"] == r["slot"] // 7 and r["byte_offset"] == r["slot"] % 7 * layout["stride"]
-        assert r["ids_crc32"] == zlib.crc32(little_endian(r["ids"]))
-    later = training_order.read_from(spark, target, layout, first_slot=n - 10).collect()
-    assert sorted(r["slot"] for r in later) == list(range(n - 10, n))
-    # a second run finds every shard written
-    assert training_order.materialise(docs, encode, target, key=5, length=64, shard_records=7) == layout
-    assert training_order.written(spark, target).count() == -(-n // 7)
-    assert training_order.materialise(empty, encode, str(tmp_path / "none"), key=5)["sequences"] == 0
+def plain_order(rows, encode, key, length, buckets):
+    """slot -> ids, by an independent reading of the order: buckets, streams, and a permutation walked one number at a time."""
+    import xxhash
+
+    def hashed(*parts):
+        """Spark's xxhash64 of longs and strings: each value's hash is the next one's seed."""
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % (1 << 64)).to_bytes(8, "little"), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    streams = {}
+    for (i, h), t in sorted(((((1 << 63) - 1 if i is None else i), hashed(t or "")), t or "") for i, t in rows):
+        bucket = hashed(i, h) % buckets
+        streams.setdefault(bucket, []).extend([*encode(t), 50256])
+    records = []
+    for b in sorted(streams):
+        records += [streams[b][a : a + length] for a in range(0, len(streams[b]), length)]
+    n = len(records)
+    half = max(1, -(-max(1, n - 1).bit_length() // 2))
+    word, low = (1 << 64) - 1, (1 << half) - 1
+
+    def mix(x, k):
+        x = (x + (k & word)) * 0x9E3779B97F4A7C15 & word
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & word
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & word
+        return x ^ (x >> 31)
+
+    def once(x):
+        left, right = x >> half, x & low
+        for r in range(6):
+            left, right = right, left ^ (mix(right, key * 1_000_003 + r) & low)
+        return (right << half) | left
+
+    out = {}
+    for k, ids in enumerate(records):
+        x = once(k)
+        while x >= n:
+            x = once(x)
+        out[x] = ids
+    return out
+
+
+def test_materialise_and_resume(spark, rows, odd, empty, tmp_path):
+    encode, target = document_ids(special=False), str(tmp_path / "shards")
+    odd_rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    settings = {"key": 5, "length": 64, "shard_records": 7, "bucket_bytes": 4000}
+    layout = training_order.materialise(odd.repartition(2), encode, target, **settings)
+    assert layout["buckets"] > 3
+    want = plain_order(odd_rows, encode, 5, 64, layout["buckets"])
+    n, stride = layout["sequences"], layout["stride"]
+    assert n == len(want) and sorted(want) == list(range(n))
+
+    def check():
+        got = training_order.read_from(spark, target, layout).collect()
+        assert {r["slot"]: r["ids"] for r in got} == want and len(got) == n
+        assert sorted(r["sequence_id"] for r in got) == list(range(n))
+        for r in got:
+            assert r["shard_id"] == r["slot"] // 7 and r["byte_offset"] == r["slot"] % 7 * stride
+            assert r["ids_crc32"] == zlib.crc32(little_endian(r["ids"]))
+
+    check()
+    # a record is found by arithmetic in the raw file
+    folders = sorted(tmp_path.glob("shards/shard_id=*"), key=lambda p: int(p.name.split("=")[1]))
+    assert len(folders) == -(-n // 7)
+    for slot in (0, 6, 7, n - 1):
+        (file,) = folders[slot // 7].glob("part-*")
+        with open(file, "rb") as f:
+            f.seek(slot % 7 * stride)
+            data = f.read(stride)
+        size = int.from_bytes(data[:4], "little")
+        assert np.frombuffer(data, "<u2", size, 4).tolist() == want[slot]
+    assert sorted(r["slot"] for r in training_order.read_from(spark, target, layout, first_slot=n - 10).collect()) == list(range(n - 10, n))
+    # half the shards are lost: a run over another partitioning writes these and no others
+    stay = {f: f.stat().st_mtime_ns for p in folders[1::2] for f in p.glob("part-*")}
+    for p in folders[::2]:
+        shutil.rmtree(p)
+    assert training_order.materialise(odd.repartition(5), encode, target, **settings) == layout
+    assert {f: f.stat().st_mtime_ns for f in stay} == stay
+    check()
+    # another key, another input or another length is another order
+    for docs, change in ((odd, {"key": 6}), (odd, {"length": 32}), (odd, {"shard_records": 8}), (odd.limit(20), {})):
+        with pytest.raises(ValueError, match="another"):
+            training_order.materialise(docs, encode, target, **{**settings, **change})
+    check()
+    # a shard of the wrong size isn't taken for whole
+    (file,) = folders[0].glob("part-*")
+    file.write_bytes(file.read_bytes()[:-10])
+    with pytest.raises(ValueError, match="wrong size"):
+        training_order.materialise(odd, encode, target, **settings)
+    none = training_order.materialise(empty, encode, str(tmp_path / "none"), key=5)
+    assert none["sequences"] == 0 and training_order.read_from(spark, str(tmp_path / "none"), none).count() == 0
+
+
+def test_a_broken_run_leaves_whole_shards(spark, odd, tmp_path, monkeypatch):
+    encode, target = document_ids(special=False), str(tmp_path / "shards")
+    settings = {"key": 5, "length": 64, "shard_records": 7, "bucket_bytes": 4000}
+    restored, flag = training_order._restored, tmp_path / "break"
+    flag.write_text("")
+
+    def breaking(data, size):
+        if size > 64 * 2 + 3 and flag.exists() and data[-1] % 16 == 3:
+            raise OSError("an executor is gone")
+        return restored(data, size)
+
+    monkeypatch.setattr(training_order, "_restored", breaking)
+    with pytest.raises(Exception, match="gone"):
+        training_order.materialise(odd, encode, target, **settings)
+    flag.unlink()
+    layout = training_order.materialise(odd.repartition(3), encode, target, **settings)
+    want = plain_order([(r["doc_id"], r["text"]) for r in odd.collect()], encode, 5, 64, layout["buckets"])
+    assert {r["slot"]: r["ids"] for r in training_order.read_from(spark, target, layout).collect()} == want
+
+
+def test_offsets_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(training_order, "CHUNK", 3)
+    counts = {b: b * b % 7 + 1 for b in (0, 1, 2, 5, 6, 11, 12, 20)}
+    got = {r["bucket"]: r["base"] for r in training_order.offsets(spark.createDataFrame(list(counts.items()), "bucket int, n long")).collect()}
+    assert got == {b: sum(n for c, n in counts.items() if c < b) for b in counts}
