@@ -3,14 +3,15 @@
 Two tries in sequence. Each input partition first inserts its own normalised texts into a compressed radix trie, so that
 a text reaches the network once per partition however many copies there are. Those local owners are then dealt by length
 and content hash, and each partition inserts them into a trie whose terminal nodes hold the smallest identifier, the
-number of rows and the local owners. When a trie passes ``memory_bytes`` its largest subtree is spilled: its entries, and
-later ones under the same prefix, go to a table in the shared folder, and a further round deals them anew.
+number of rows and the local owners. When a trie passes ``memory_bytes`` its largest subtree is spilled, wherever it hangs (texts may all
+begin alike): its entries, and later ones under the same prefix, go to a table in the shared folder, and a further round deals them anew.
+What a partition holds beside its trie (rows waiting for their owner, owners of one text) counts against the same budget.
 
 Only (row, owner) numbers are joined back, never texts, and a group that holds a third of all rows is spread over as many
 local owners as there are input partitions.
 
-Defined cases: null text counts as empty; null ``doc_id`` sorts after every other; of rows that share the smallest
-``doc_id`` one row (the first met in the smallest owner) stays; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty; null ``doc_id`` sorts after every other; of rows of a group that share the smallest
+``doc_id`` one row stays (``keep_first_copies``: the one with the smallest raw text, then the smallest other columns); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.storage import discard, release, stage
+from fathomline.llm.storage import discard, stage
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 LAST = 1 << 63  # sorts after every identifier
@@ -32,11 +33,16 @@ def normalised(text: Column) -> Column:
 
 
 class Node:
-    __slots__ = ("kids", "entry")
+    __slots__ = ("kids", "entry", "spilled")
 
     def __init__(self) -> None:
         self.kids: dict[int, list] = {}
         self.entry = None
+        self.spilled = False
+
+
+#: Bytes counted for a node, for a row held, for an owner listed at a text.
+NODE_BYTES, ROW_BYTES, OWNER_BYTES = 200, 250, 120
 
 
 class PatriciaTrie:
@@ -46,17 +52,19 @@ class PatriciaTrie:
         self.root = Node()
         self.bytes = 0
 
-    def terminal(self, key: bytes) -> Node:
-        """The node at which ``key`` ends, made if it isn't there."""
+    def terminal(self, key: bytes) -> Node | None:
+        """The node at which ``key`` ends, made if it isn't there; None if the key lies in a subtree that was spilled."""
         node, at, end = self.root, 0, len(key)
         while at < end:
             edge = node.kids.get(key[at])
             if edge is None:
                 leaf = Node()
                 node.kids[key[at]] = [key[at:], leaf]
-                self.bytes += end - at + 200
+                self.bytes += end - at + NODE_BYTES
                 return leaf
             label, child = edge
+            if child.spilled:
+                return None
             if key.startswith(label, at):
                 node, at = child, at + len(label)
                 continue
@@ -70,7 +78,7 @@ class PatriciaTrie:
             fork = Node()
             fork.kids[label[low]] = [label[low:], child]
             edge[0], edge[1] = label[:low], fork
-            self.bytes += 200
+            self.bytes += NODE_BYTES
             node, at = fork, at + low
         return node
 
@@ -82,23 +90,45 @@ class PatriciaTrie:
                 yield path, node.entry
             stack += [(path + label, child) for label, child in node.kids.values()]
 
-    def drop_largest(self) -> tuple[bytes, Node]:
-        """Cut the largest subtree below the root; returns its first byte as prefix, and the subtree."""
-        sizes = {}
-        for first, (label, child) in self.root.kids.items():
-            size, stack = len(label), [child]
-            while stack:
-                node = stack.pop()
-                for part, kid in node.kids.values():
-                    size += len(part)
-                    stack.append(kid)
-            sizes[first] = size
-        first = max(sizes, key=sizes.get)
-        label, child = self.root.kids.pop(first)
-        top = Node()
-        top.kids[first] = [label, child]
-        self.bytes = max(0, self.bytes - sizes[first] - 200)
-        return bytes([first]), top
+    def _sizes(self) -> dict[int, int]:
+        """Bytes of the subtree below each node, by the node's id(); spilled ones count nothing."""
+        order, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack += [child for _, child in node.kids.values()]
+        sizes: dict[int, int] = {}
+        for node in reversed(order):
+            sizes[id(node)] = NODE_BYTES + sum(len(label) + sizes[id(child)] for label, child in node.kids.values() if not child.spilled)
+        return sizes
+
+    def spill_largest(self) -> list[tuple[bytes, object]] | None:
+        """Cut a large subtree and return its entries; keys with its prefix then end nowhere. None where one text is all there is.
+
+        The way down follows the largest subtree as long as it holds over half of all and branches; so texts that share a long prefix are
+        parted below it, and something always stays, so that each round settles part of what it was given."""
+        sizes = self._sizes()
+        half = sizes[id(self.root)] // 2
+        node, path = self.root, b""
+        while True:
+            live = [(len(label) + sizes[id(child)], first) for first, (label, child) in node.kids.items() if not child.spilled]
+            if not live:
+                return None
+            size, first = max(live)
+            label, child = node.kids[first]
+            alone = len(live) == 1 and node.entry is None
+            inner = any(not kid.spilled for _, kid in child.kids.values())
+            if inner and (alone or size > half):
+                node, path = child, path + label
+                continue
+            if alone:
+                return None
+            out = list(self.entries(path + label, child))
+            stub = Node()
+            stub.spilled = True
+            node.kids[first] = [label[:1], stub]
+            self.bytes = max(0, self.bytes - size)
+            return out
 
 
 LOCAL = "owner long, id long, first boolean, rows long, least long, norm string, sha string"
@@ -142,9 +172,9 @@ def _local_owners(memory_bytes: int):
                     if rank < node.entry[0]:
                         node.entry[0], node.entry[1] = rank, len(held)
                 held.append((node.entry[3], doc, sha))
-            if trie.bytes > memory_bytes:
-                yield from flush()
-                trie, held, owners = PatriciaTrie(), [], []
+                if trie.bytes + ROW_BYTES * len(held) > memory_bytes:
+                    yield from flush()
+                    trie, held, owners = PatriciaTrie(), [], []
         if held:
             yield from flush()
 
@@ -166,11 +196,7 @@ def _global_owners(memory_bytes: int):
     """Local owners of one length-and-hash partition -> their final owner, or (norm not null) the entries that were spilled."""
 
     def run(batches):
-        trie, spilled = PatriciaTrie(), set()
-
-        def later(norm, entry):
-            for owner, least, rows in entry[3]:
-                yield owner, None, None, None, least, rows, norm
+        trie, splits = PatriciaTrie(), True
 
         def packed(rows):
             out, size = [], 0
@@ -184,24 +210,28 @@ def _global_owners(memory_bytes: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _OWNED_ARROW, strict=True)], schema=_OWNED_ARROW)
 
         for batch in batches:
-            straight = []
+            later = []
             for owner, least, rows, norm in zip(*(batch[n].to_pylist() for n in ("owner", "least", "rows", "norm")), strict=True):
-                key = norm.encode()
-                if key[:1] in spilled:
-                    straight.append((owner, None, None, None, least, rows, norm))
+                node, rank = trie.terminal(norm.encode()), LAST if least is None else least
+                if node is None:
+                    later.append((owner, None, None, None, least, rows, norm))
                     continue
-                node, rank = trie.terminal(key), LAST if least is None else least
                 if node.entry is None:
                     node.entry = [(rank, owner), least, 0, []]
                 elif (rank, owner) < node.entry[0]:
                     node.entry[0], node.entry[1] = (rank, owner), least
                 node.entry[2] += rows
                 node.entry[3].append((owner, least, rows))
-            yield from packed(straight)
-            while trie.bytes > memory_bytes and len(trie.root.kids) > 1:
-                prefix, top = trie.drop_largest()
-                spilled.add(prefix)
-                yield from packed(row for path, entry in trie.entries(node=top) for row in later(path.decode(errors="surrogateescape"), entry))
+                trie.bytes += OWNER_BYTES
+                while splits and trie.bytes > memory_bytes:
+                    cut = trie.spill_largest()
+                    splits = cut is not None  # one text alone can't be parted
+                    later += [(o, None, None, None, low, n, path.decode()) for path, entry in cut or [] for o, low, n in entry[3]]
+                    trie.bytes -= min(trie.bytes, OWNER_BYTES * sum(len(entry[3]) for _, entry in cut or []))
+                    yield from packed(later)
+                    later = []
+                splits = True
+            yield from packed(later)
         yield from packed((owner, entry[0][1], entry[1], entry[2], None, None, None) for _, entry in trie.entries() for owner, _, _ in entry[3])
 
     return run
@@ -241,11 +271,10 @@ def keep_first_copies(docs: DataFrame, *, text: str = "text", id: str = "doc_id"
     found, tables = _groups(docs, text, id, memory_bytes)
     groups = stage(found.filter("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")), "exact-kept")
     discard(*tables)
-    del found
-    release(docs.sparkSession)
     joined = docs.withColumn("__own", F.sha2(normalised(F.col(text)), 256)).join(groups, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
     # a kept text is in one row unless identifiers repeat; only then is another pass needed
     repeated = docs.groupBy(F.col(id).alias("__id")).count().filter("count > 1")
     if not repeated.isEmpty():
-        joined = joined.withColumn("__n", F.row_number().over(Window.partitionBy(id, "__own").orderBy(F.lit(0)))).filter("__n = 1").drop("__n")
+        others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+        joined = joined.withColumn("__n", F.row_number().over(Window.partitionBy(id, "__own").orderBy(text, others))).filter("__n = 1").drop("__n")
     return joined.drop("__own")
