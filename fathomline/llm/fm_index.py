@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from fathomline.llm import windows as w
-from fathomline.llm.storage import release, stage
+from fathomline.llm.storage import stage
 
 WINDOW, GRAM = 35, 10
 
@@ -195,7 +195,7 @@ def _settle(buckets: int):
         ready = w.renumbered(w.by_part(table, 1), 2)
         found = w.gathered(w.by_part(table, 0))
         order = np.lexsort((found["start"], found["doc"], found["ctx"], found["key"]))
-        found = {n: a[order] for n, a in found.items()}
+        found = {n: a[order] for n, a in found.items() if len(a) == len(order)}
         n = len(order)
         head = np.ones(n, bool)
         head[1:] = found["key"][1:] != found["key"][:-1]
@@ -260,7 +260,7 @@ def _report(buckets: int):
         words = np.frombuffer(b"".join(distinct["body"].to_pylist()), np.uint64)
         # copies by class: classes in order of (key, ctx) on both sides
         order = np.lexsort((all_["ctx"], all_["key"]))
-        all_ = {n: a[order] for n, a in all_.items()}
+        all_ = {n: a[order] for n, a in all_.items() if len(a) == len(order)}
         fresh = np.ones(len(order), bool)
         fresh[1:] = (all_["key"][1:] != all_["key"][:-1]) | (all_["ctx"][1:] != all_["ctx"][:-1])
         heads = np.flatnonzero(fresh)
@@ -302,16 +302,12 @@ def _cut(want_text: bool):
 
 def remove_repeated(docs: DataFrame, *, text: str = "text", id: str = "doc_id", want_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if wanted, the kept words joined by single spaces."""
-    spark = docs.sparkSession
-    buckets = w.spread(docs.select(text))
+    buckets = w.spread(docs, text)
     keyed = w.keyed_documents(docs, text=text, id=id)
     first = stage(w.dealt(w.segment_blobs(keyed, Words(), WINDOW, GRAM, buckets, settled), buckets).applyInArrow(_settle(buckets), w.BLOB), "fm-segments")
-    release(spark)
     distinct = w.with_documents(keyed, first.filter("part = 1"), buckets, _contents(buckets), w.BLOB)
     copies = first.filter("part = 0")
     second = stage(copies.groupBy("bucket").cogroup(distinct.groupBy("bucket")).applyInArrow(_report(buckets), w.BLOB), "fm-ranges")
-    del distinct
-    release(spark)
     ranges = first.filter("part = 2").unionByName(second)
     out = w.with_documents(keyed, ranges, buckets, _cut(want_text), RESULT)
     return out if want_text else out.drop("kept")

@@ -6,8 +6,8 @@ sorted together. A segment that occurs whole in an earlier document is settled t
 sorted by pairs of ranks at offsets 8, 16 and 18, which gives ranks of 16, 32 and 50 bytes; after each round positions with a rank of their own are
 left out. What still shares a rank after 50 bytes is a repeated string, and goes where the smallest document of its rank is smaller than its own.
 
-Defined cases: null text counts as empty; rows that share an identifier are ordered by text, null identifiers come after all others;
-matches never cross documents; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty; rows that share an identifier leave each other alone, since neither's is smaller; null identifiers come after
+all others and count as one another's equals; matches never cross documents; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fathomline.llm import windows as w
-from fathomline.llm.storage import release, stage
+from fathomline.llm.storage import stage
 
 WINDOW, GRAM = 50, 16
 FINER = 8
@@ -100,7 +100,7 @@ def repeated_earlier(data: np.ndarray, doc_of: np.ndarray, allowed: np.ndarray)
 def settled(found: dict[str, np.ndarray]) -> np.ndarray:
     """Segments that occur whole in an earlier document of the same block: all their bytes go, whatever else there is."""
     order, heads = w.local_classes(found["key"], found["ctx"])
-    docs = found["doc"][order]
+    docs = w.ranks(found)[order]
     least = np.minimum.reduceat(docs, heads) if len(heads) else docs
     out = np.zeros(len(order), bool)
     out[order] = docs > np.repeat(least, np.diff(np.concatenate((heads, [len(order)]))))
@@ -113,8 +113,9 @@ def _settle(buckets: int):
     def run(key, table):
         ready = w.renumbered(w.by_part(table, 1), 0)
         found = w.gathered(w.by_part(table, 0))
-        order = np.lexsort((found["start"], found["doc"], found["ctx"], found["key"]))
-        found = {n: a[order] for n, a in found.items()}
+        order = np.lexsort((found["start"], w.ranks(found), found["ctx"], found["key"]))
+        found = {n: a[order] for n, a in found.items() if len(a) == len(order)}
+        place = w.ranks(found)
         n = len(order)
         head = np.ones(n, bool)
         head[1:] = found["key"][1:] != found["key"][:-1]
@@ -122,13 +123,12 @@ def _settle(buckets: int):
         part[1:] |= found["ctx"][1:] != found["ctx"][:-1]
         group, own = np.cumsum(head) - 1, np.maximum.accumulate(np.where(part, np.arange(n), 0))
         classes = np.bincount(group, part)[group]
-        first_doc = found["doc"][own]
-        gone = found["doc"] > first_doc
+        gone = place > place[own]
         look = ~gone & (classes > 1)
         out = []
         for number, mask in ((0, gone), (1, look)):
             if mask.any():
-                chosen = {c: found[c][mask] for c in (("doc", "start", "wins") if number == 0 else ("key", "doc", "start", "wins"))}
+                chosen = {c: found[c][mask] for c in (("doc", "start", "wins") if number == 0 else ("key", "doc", "rank", "start", "wins")) if c in found}
                 out.append(w.blobs(chosen, w.document_bucket(chosen["doc"], buckets), number))
         return pa.concat_tables([ready, pa.Table.from_batches(out, schema=w._BLOB_ARROW)])
 
@@ -149,7 +149,7 @@ def _contents(buckets: int):
             if doc not in data:
                 data[doc] = (texts[place[doc]].as_py() or "").encode()
             bodies.append(data[doc][start : start + wins + WINDOW - 1])
-        del found["ctx"]
+        found = {c: a for c, a in found.items() if c != "ctx" and len(a) == len(bodies)}
         return pa.Table.from_batches([w.blobs(found, (found["key"] % np.uint64(buckets)).astype(np.int32), 0, bodies)])
 
     return run
@@ -165,7 +165,7 @@ def _double(buckets: int):
         sizes = wins + WINDOW - 1
         ends = np.cumsum(sizes)
         base = ends - sizes
-        doc_of = np.repeat(found["doc"], sizes)
+        doc_of = np.repeat(w.ranks(found), sizes)
         allowed = np.arange(len(data)) < np.repeat(base + wins, sizes)
         hit = repeated_earlier(data, doc_of, allowed)
         # runs break at segment ends, since the last positions of a segment are never hit
@@ -201,17 +201,13 @@ def _cut(want_text: bool):
 
 def remove_repeated(docs: DataFrame, *, text: str = "text", id: str = "doc_id", want_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept text (bytes that no longer form a character are replaced)."""
-    spark = docs.sparkSession
-    buckets = w.spread(docs.select(text))
+    buckets = w.spread(docs, text)
     keyed = w.keyed_documents(docs, text=text, id=id)
     first = stage(w.dealt(w.segment_blobs(keyed, Bytes(), WINDOW, GRAM, buckets, settled), buckets).applyInArrow(_settle(buckets), w.BLOB), "suffix-settled")
-    release(spark)
     asked = first.filter("part = 1")
     # ranking holds a dozen numbers a position, so that the positions are dealt more finely than the segments were
     bodies = w.with_documents(keyed, asked, buckets, _contents(FINER * buckets), w.BLOB)
     second = stage(w.dealt(bodies, FINER * buckets).applyInArrow(_double(buckets), w.BLOB), "suffix-doubled")
-    del bodies
-    release(spark)
     ranges = first.filter("part = 0").unionByName(second)
     out = w.with_documents(keyed, ranges, buckets, _cut(want_text), RESULT)
     return out if want_text else out.drop("kept")

@@ -25,9 +25,12 @@ BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-BLOB = "bucket int, part int, key binary, ctx binary, doc binary, start binary, wins binary, body binary"
-_BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((n, pa.binary()) for n in ("key", "ctx", "doc", "start", "wins", "body"))])
-TYPES = {"key": np.uint64, "ctx": np.uint64, "doc": np.int64, "start": np.uint32, "wins": np.uint32}
+BLOB = "bucket int, part int, key binary, ctx binary, doc binary, rank binary, start binary, wins binary, body binary"
+_BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((n, pa.binary()) for n in ("key", "ctx", "doc", "rank", "start", "wins", "body"))])
+TYPES = {"key": np.uint64, "ctx": np.uint64, "doc": np.int64, "rank": np.int64, "start": np.uint32, "wins": np.uint32}
+#: Most tasks a table of blobs is dealt to; beyond that a task works through several buckets, one after another.
+MOST_TASKS = 50_000
+LAST = (1 << 63) - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +95,7 @@ def blobs(arrays: dict[str, np.ndarray], bucket: np.ndarray, part: int = 0, bodi
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[a:b]
         for n in TYPES:
-            columns[n].append(arrays[n][own].astype(TYPES[n]).tobytes() if n in arrays else None)
+            columns[n].append(arrays[n][own].astype(TYPES[n]).tobytes() if n in arrays and len(arrays[n]) == len(bucket) else None)
         body.append(b"".join(bodies[i] for i in own.tolist()) if bodies is not None else None)
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([part] * len(names), pa.int32()), *(pa.array(columns[n], pa.binary()) for n in TYPES), pa.array(body, pa.binary())], schema=_BLOB_ARROW)
 
@@ -106,22 +109,26 @@ def gathered(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def keyed_documents(docs: DataFrame, *, text: str, id: str) -> DataFrame:
-    """(row, doc_id, text) with a unique row number that orders as the identifier does.
+    """(row, doc_id, text) with a unique row number; where identifiers aren't unique also ``rank``, which orders as they do.
 
-    As long as identifiers are unique they are the row numbers. Otherwise the table is sorted and written once: rows that share an
-    identifier are ordered by text, null identifiers come last."""
+    As long as identifiers are unique they are row number and rank. Otherwise the table is sorted and written once; rows that share an
+    identifier share a rank, null identifiers have the last one."""
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     odd = own.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
         return own.select(F.col("doc_id").alias("row"), "doc_id", "text")
-    return stage(own.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), "keyed")
+    return stage(own.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "text"), "keyed")
 
 
-def spread(docs: DataFrame, unit: int = 24 << 20) -> int:
-    """Number of buckets that keeps each to about ``unit`` bytes of text, from the planner's estimate of the input's size."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(2 * size // unit, 100_000)) if size < 1 << 60 else least
+def ranks(found: dict[str, np.ndarray]) -> np.ndarray:
+    """What orders the documents of gathered segments."""
+    return found["rank"] if len(found.get("rank", ())) == len(found["doc"]) else found["doc"]
+
+
+def spread(docs: DataFrame, text: str, unit: int = 12 << 20) -> int:
+    """Number of buckets that keeps each to about ``unit`` bytes of text, as measured by one scan."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // unit))
 
 
 def local_classes(key: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +146,18 @@ def segment_blobs(docs: DataFrame, symbols, window: int, gram: int, buckets: int
     ``settled(found)`` marks the segments that the others of their block of rows settle already: those go to the bucket of their
     document (part 1) and spare the key's bucket the copies, so that a key's load there is by blocks, not by documents."""
 
+    ranked = "rank" in docs.columns
+
     def run(batches):
-        held, ids, starts, total = [], [], [], 0
+        held, ids, places, starts, total = [], [], [], [], 0
 
         def flush():
             bounds = np.concatenate(([0], np.cumsum([len(h) for h in held])))
             found = segments(np.concatenate(held), bounds, window, gram)
             own = found.pop("owner")
             found["doc"] = np.array(ids, np.int64)[own]
+            if ranked:
+                found["rank"] = np.array(places, np.int64)[own]
             found["start"] = found["start"] + np.array(starts, np.uint32)[own]
             done = settled(found)
             for part, chosen in ((0, ~done), (1, done)):
@@ -157,22 +168,23 @@ def segment_blobs(docs: DataFrame, symbols, window: int, gram: int, buckets: int
                     yield blobs(own_, document_bucket(own_["doc"], buckets) if part else (own_["key"] % np.uint64(buckets)).astype(np.int32), part)
 
         for batch in batches:
-            for row, body in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for row, place, body in zip(batch["row"].to_pylist(), batch["rank" if ranked else "row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 s = symbols.of(body)
                 for a, b in split_blocks(len(s), window):
                     if b - a < window:
                         continue
                     held.append(s[a:b])
                     ids.append(row)
+                    places.append(place)
                     starts.append(a)
                     total += b - a
                     if total >= BLOCK:
                         yield from flush()
-                        held, ids, starts, total = [], [], [], 0
+                        held, ids, places, starts, total = [], [], [], [], 0
         if held:
             yield from flush()
 
-    return docs.select("row", "text").mapInArrow(run, BLOB)
+    return docs.select("row", "text", *(["rank"] if ranked else [])).mapInArrow(run, BLOB)
 
 
 def by_part(table: pa.Table, part: int) -> pa.Table:
@@ -184,13 +196,13 @@ def renumbered(table: pa.Table, part: int) -> pa.Table:
 
 
 def dealt(table: DataFrame, buckets: int):
-    """A table of blobs grouped by bucket, one group a task if there are as many partitions."""
-    return table.repartition(buckets, "bucket").groupBy("bucket")
+    """A table of blobs grouped by bucket, about one group a task as long as there aren't too many."""
+    return table.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket")
 
 
 def with_documents(docs: DataFrame, rows: DataFrame, buckets: int, function, schema: str) -> DataFrame:
     """cogroup of documents (row, doc_id, text) with blobs dealt by document bucket."""
-    left = docs.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    left = docs.select("row", "doc_id", "text").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     return left.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(function, schema)
 
 
