@@ -7,8 +7,12 @@ has its connected parts, never by all its pairs. A bucket with over ``bucket_row
 doesn't share yet: 4 sub-blocks, of which close pairs agree in at least one. That repeats until every bucket is small or its
 free bits are spent, so nothing is capped.
 
+The same join draws the first candidates for near copies by exact Jaccard similarity (:func:`similar_documents`); a prefix filter beside it
+draws all that fingerprints may miss, and each link is verified on the sets of shingles.
+
 Defined cases: null or wordless text has fingerprint zero, linked like any other; null identifiers take part but don't
-name a component unless all are null; an empty table gives an empty result.
+name a component unless all are null; an empty table gives an empty result. ``keep_one_of_each`` judges rows, not identifiers: of a group the row with the smallest
+identifier stays (null last; of those that share it, the one with the smallest text hash), and a text without a near copy stays whatever its identifier.
 """
 
 from __future__ import annotations
@@ -19,28 +23,31 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.components import connected_components
-from fathomline.llm.storage import discard, release, stage
+from fathomline.llm.storage import discard, stage
 
 BITS, DISTANCE, SEED = 64, 3, 42
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of lower-cased word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of lower-cased word shingles, repeats included; a text of fewer words is one shingle, a wordless one has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        h = np.array([hashed(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+        return np.array([hashed(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def voted(h: np.ndarray) -> int:
+    """The fingerprint: bits set in over half the hashes."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -48,6 +55,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of lower-cased word shingles, repeats included."""
+    return voted(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, *, text: str, id: str, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -209,17 +221,8 @@ EPSILON = 1e-9
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Distinct 64-bit hashes of lower-cased word shingles, in order; a text of fewer words is one shingle, a wordless one has none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    hashed = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([hashed(joined, SEED)], dtype=np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64).view(np.int64))
+    """Distinct hashes of lower-cased word shingles, in order."""
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -357,9 +360,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
 
     of_u, of_v = classes.select(F.col("node").alias("u"), "n", F.col("sign").alias("su")), classes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sign").alias("sv"))
     left = stage(pairs.distinct().join(of_u, "u").join(of_v, "v").select("u", "v", "n", "m", "su", "sv").mapInArrow(signs, "u long, v long"), "near-pairs")
-    asked = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "least"), "node").select(F.col("least").alias("id")).distinct()
-    # an identifier may stand for more texts than the one asked for; those meet no pair or a right one
-    own = stage(docs.join(asked, "id", "left_semi").select("text").mapInArrow(sets, "node long, h array<long>"), "near-sets")
+    asked = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "least"), "node").select("least.id", "least.h")
+    own = stage(docs.join(asked, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("text").mapInArrow(sets, "node long, h array<long>"), "near-sets")
     both = left.join(own.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
     close = F.size(F.array_intersect("a", "b")) >= F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.size("a") + F.size("b")) - EPSILON)
     out = stage(both.filter(close).select("u", "v").distinct(), "near-links")
@@ -367,47 +369,75 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return out
 
 
+def _print_pairs(own: DataFrame) -> DataFrame:
+    """own(node, fp) -> candidate pairs of nodes from the pigeonhole join of their fingerprints: a node of each fingerprint stands for it."""
+    of = own.groupBy("fp").agg(F.min("node").alias("head"))
+    close = close_links(of.select("fp"))
+    heads = close.join(of.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select("a", "b")
+    same = own.join(of, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return heads.unionByName(same).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def similar_links(own: DataFrame, classes: DataFrame, docs: DataFrame, *, shingle: int, jaccard: float) -> DataFrame:
-    """own(node, n, prefix) -> links (u, v) with the connected parts of all pairs of nodes as similar as asked.
+    """own(node, n, fp, prefix) -> links (u, v) with the connected parts of all pairs of nodes as similar as asked.
 
-    Large buckets first give the pairs with their first node; what these links leave apart in a bucket is then compared, so that one large group needs few pairs."""
+    Fingerprints that are close give the first candidates. A prefix filter gives all others: a bucket of few nodes all its pairs, a large one
+    the pairs with its first node; what these links leave apart in a large bucket is then compared, so that one large group needs few pairs."""
     rows = own.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "pos", "n")
     drawn = stage(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(jaccard), CANDIDATES), "near-candidates")
-    release(docs.sparkSession)
-    links = _verified(drawn.filter("v is not null").select("u", "v"), classes, docs, shingle, jaccard)
+    links = _verified(drawn.filter("v is not null").select("u", "v").unionByName(_print_pairs(classes.select("node", "fp"))), classes, docs, shingle, jaccard)
     large = drawn.filter("v is null").select("key", F.col("u").alias("node"), "pos", "n")
     if large.isEmpty():
+        discard(drawn)
         return links
     members = connected_components(links).withColumnRenamed("node", "m")
     parts = stage(large.join(members, F.col("node") == F.col("m"), "left").select("key", "node", "pos", "n", F.coalesce("component", "node").alias("part")), "near-parts")
+    discard(drawn)
     mixed = parts.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
     signed = parts.join(mixed, "key", "left_semi").join(classes.select("node", "sign"), "node").select("key", "node", "pos", "n", "part", "sign")
     more = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs_between(jaccard), "u long, v long")
-    return links.unionByName(_verified(more, classes, docs, shingle, jaccard))
+    found = _verified(more, classes, docs, shingle, jaccard)
+    discard(parts)
+    return links.unionByName(found)
+
+
+#: Stands for a null identifier, after all others.
+LAST = (1 << 63) - 1
 
 
 def similar_documents(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
-    """(id, component): rows linked by pairs whose sets of word shingles have at least this Jaccard similarity. No such pair is missed, no other is linked."""
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    frequent, counts = _frequent(docs, shingle)
+    """(id, h, keep_id, keep_h), one row per input row: rows linked by pairs whose sets of word shingles have at least this Jaccard similarity. No such pair is missed, no other is linked.
+
+    A row is named by its identifier (the largest long for null) and a 64-bit hash of its text; a group by its smallest name."""
+    docs = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    frequent, counts = _frequent(docs.select("id", "text"), shingle)
 
     def prefixes(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
+            hashes = [shingle_hashes(t, shingle) for t in batch["text"].to_pylist()]
+            prints = np.array([voted(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            sets = [np.unique(h.view(np.int64)) for h in hashes]
             own = [prefix(h, jaccard, frequent, counts) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([_sign(h) for h in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["id", "node", "n", "sign", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(prints, pa.int64()), pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([_sign(h) for h in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["id", "h", "fp", "node", "n", "sign", "prefix"])
 
-    own = stage(docs.mapInArrow(prefixes, "id long, node long, n int, sign binary, prefix array<long>"), "near")
-    classes = stage(own.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign")), "near-nodes")
+    own = stage(docs.mapInArrow(prefixes, "id long, h long, fp long, node long, n int, sign binary, prefix array<long>"), "near")
+    classes = stage(own.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sign").alias("sign")), "near-nodes")
     members = connected_components(similar_links(own, classes, docs, shingle=shingle, jaccard=jaccard))
     labelled = classes.select("node", "least").join(members.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
-    named = labelled.groupBy("part").agg(F.min("least").alias("component"))
-    lookup = stage(labelled.join(named, "part").select("node", "component"), "near-classes")
-    return own.select("id", "node").join(lookup, "node").select("id", "component")
+    named = labelled.groupBy("part").agg(F.min("least").alias("keep"))
+    lookup = stage(labelled.join(named, "part").select("node", "keep"), "near-classes")
+    discard(classes)
+    return own.select("id", "h", "node").join(lookup, "node").select("id", "h", F.col("keep.id").alias("keep_id"), F.col("keep.h").alias("keep_h"))
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", id: str = "doc_id", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component; rows with a null identifier stay, since no link can name them."""
-    named = docs.filter(F.col(id).isNotNull())
-    goes = stage(similar_documents(named, text=text, id=id, shingle=shingle, jaccard=jaccard).filter("id <> component").select(F.col("id").alias("__gone_id")).distinct(), "near-gone")
-    return docs.join(goes, F.col(id) == F.col("__gone_id"), "left_anti")
+    """The rows of ``docs`` that stay, one of each group, with all their columns; of rows equal in identifier and text one stays."""
+    found = stage(similar_documents(docs, text=text, id=id, shingle=shingle, jaccard=jaccard).groupBy("id", "h").agg(F.first("keep_id").alias("keep_id"), F.first("keep_h").alias("keep_h"), F.count(F.lit(1)).alias("rows")), "near-rows")
+    goes = found.filter("id <> keep_id or h <> keep_h").select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*names).alias("__row"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("__own_id"), F.xxhash64(F.col(text)).alias("__own_h"))
+    stay = named.join(goes, (F.col("__own_id") == F.col("__id")) & (F.col("__own_h") == F.col("__h")), "left_anti")
+    if not found.filter("rows > 1").isEmpty():
+        order = Window.partitionBy("__own_id", "__own_h").orderBy(F.to_json("__row"))
+        stay = stay.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return stay.select("__row.*")
