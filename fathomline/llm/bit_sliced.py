@@ -6,10 +6,12 @@ arithmetic: the digits of the query's components are taken from high to low, the
 (complemented for negative components), through carry-save adders. The k best rows are then selected from the most significant slice downward;
 of the rows that tie at the border, those with the smallest identifiers are taken by looking at each.
 
-Blocks hold ``block_rows`` vectors and queries come in blocks too; each pair of blocks is one unit of work, which gives at most k rows a query.
+The index is made once: a row for each block of vectors, with its slices. A block holds as many vectors as ``block_bytes`` of components allow, whatever
+their dimension. Queries come in blocks too; each pair of blocks is one unit of work, which gives at most k rows a query.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors of different length never meet; null identifiers take no part;
-rows equal in identifier and vector count once, and rows that share an identifier are each other's own row; an empty table gives an empty result; a query with fewer than k candidates gets all.
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; a finite component is quantised whatever its size, as long as it fits 64 bits (larger ones raise);
+vectors of different length never meet; null identifiers take no part; rows equal in identifier and vector are one row, and rows that share an identifier are each other's own row (the SQL says the same);
+an empty table gives an empty result; a query with fewer than k candidates gets all.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ MOST_TASKS = 20_000
 def quantised(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(id, dim, q array<int>) of the vectors that take part."""
     ok = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
-    return vectors.filter(F.col(id).isNotNull()).filter(ok).select(F.col(id).cast("long").alias("id"), F.size(vector).alias("dim"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("q"))
+    return vectors.filter(F.col(id).isNotNull()).filter(ok).select(F.col(id).cast("long").alias("id"), F.size(vector).alias("dim"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("q"))
 
 
 def _add(total: list, numbers: list[list], width: int) -> list:
@@ -57,34 +59,50 @@ def _add(total: list, numbers: list[list], width: int) -> list:
 
 
 class SlicedBlock:
-    """Slices of up to block_rows vectors of one dimension."""
+    """Slices of the vectors of one dimension in a block."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, q = ids[order], q[order]
-        self.rows, self.dim = q.shape if q.ndim == 2 else (len(ids), 0)
-        self.low = int(q.min()) if q.size else 0
-        shifted = (q - self.low).astype(np.uint64)
-        self.bits = int(shifted.max()).bit_length() if q.size else 0
+    def __init__(self, ids: np.ndarray, slices: list[list[np.ndarray]], low: int, bits: int) -> None:
+        self.ids, self.rows, self.low, self.bits = ids, len(ids), low, bits
+        self.slices = slices
+        self.dim = len(slices)
         words = -(-self.rows // 64)
-        padded = np.zeros((words * 64, self.dim), np.uint64)
-        padded[: self.rows] = shifted
-        self.slices = [[np.packbits((padded[:, d] >> np.uint64(j)) & np.uint64(1) == 1, bitorder="little").view(np.uint64) for j in range(self.bits)] for d in range(self.dim)]
         self.inverted = [[~s for s in own] for own in self.slices]
         self.all = np.packbits(np.arange(words * 64) < self.rows, bitorder="little").view(np.uint64)
 
+    @classmethod
+    def of(cls, ids: np.ndarray, q: np.ndarray) -> SlicedBlock:
+        order = np.argsort(ids, kind="stable")
+        ids, q = ids[order], q[order]
+        rows, dim = q.shape if q.ndim == 2 else (len(ids), 0)
+        low = int(q.min()) if q.size else 0
+        span = int(q.max()) - low if q.size else 0
+        bits = span.bit_length()
+        words = -(-rows // 64)
+        padded = np.zeros((words * 64, dim), np.uint64)
+        padded[:rows] = q.astype(np.uint64) - np.uint64(low % (1 << 64))  # modulo 2**64
+        return cls(ids, [[np.packbits((padded[:, d] >> np.uint64(j)) & np.uint64(1) == 1, bitorder="little").view(np.uint64) for j in range(bits)] for d in range(dim)], low, bits)
+
+    def packed(self) -> tuple[bytes, int, int, bytes]:
+        return self.ids.tobytes(), self.low, self.bits, b"".join(s.tobytes() for own in self.slices for s in own)
+
+    @classmethod
+    def unpacked(cls, ids: bytes, low: int, bits: int, slices: bytes, dim: int) -> SlicedBlock:
+        own = np.frombuffer(ids, np.int64)
+        flat = np.frombuffer(slices, np.uint64).reshape(dim, bits, -(-len(own) // 64))
+        return cls(own, [list(x) for x in flat], low, bits)
+
     def sums(self, query: np.ndarray) -> tuple[list, int]:
         """Slices of the shifted scores, and what to add to them for the score itself."""
-        size = int(np.abs(query).sum())
+        size = sum(abs(v) for v in query.tolist())
         width = max(1, (size * ((1 << self.bits) - 1)).bit_length()) if self.bits else 1
         total: list = [None] * width
-        top = int(np.abs(query).max()).bit_length() if self.dim else 0
+        top = max((abs(v) for v in query.tolist()), default=0).bit_length()
         for digit in reversed(range(top)):
             total = [None, *total[:-1]]
             total = _add(total, [self.slices[d] if v > 0 else self.inverted[d] for d, v in enumerate(query.tolist()) if abs(v) >> digit & 1], width)
-        negative = int(-query[query < 0].sum())
+        negative = sum(-v for v in query.tolist() if v < 0)
         # a negative component v times x is |v| * (2**bits - 1 - x) less |v| * (2**bits - 1)
-        return total, int(query.sum()) * self.low - negative * ((1 << self.bits) - 1)
+        return total, sum(query.tolist()) * self.low - negative * ((1 << self.bits) - 1)
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows other than the query's own."""
@@ -120,26 +138,44 @@ class SlicedBlock:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def top_k(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50, block_rows: int = 65536, query_rows: int = 64) -> DataFrame:
+INDEX = "dim int, block int, ids binary, low long, bits int, slices binary"
+
+
+def index_of(ready: DataFrame, sizes: DataFrame, block_bytes: int) -> DataFrame:
+    """ready(id, dim, q) -> one row for each block of vectors: its identifiers in order, and its slices."""
+
+    def run(key, table):
+        q = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["q"].chunks]).astype(np.int64)
+        block = SlicedBlock.of(table["id"].to_numpy().astype(np.int64), q.reshape(table.num_rows, -1))
+        ids, low, bits, slices = block.packed()
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([ids], pa.binary()), pa.array([low], pa.int64()), pa.array([bits], pa.int32()), pa.array([slices], pa.binary())], names=[c.split()[0] for c in INDEX.split(", ")])
+
+    # blocks of nearly equal size, by hash of the identifier: rows that share one stay together
+    return ready.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("id"), blocks(block_bytes)).cast("int")).select("dim", "block", "id", "q").groupBy("dim", "block").applyInArrow(run, INDEX)
+
+
+def blocks(block_bytes: int):
+    """Number of blocks for ``n`` vectors of ``dim`` components of 8 bytes."""
+    return F.ceil(F.col("n") * F.greatest(F.col("dim"), F.lit(1)) * 8 / block_bytes).cast("int")
+
+
+def top_k(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50, block_bytes: int = 32 << 20, query_rows: int = 512) -> DataFrame:
     """For each row whose identifier is divisible by ``every``: query_id, rank, vec_id, score of its k best others."""
     ready = stage(quantised(vectors, id=id, vector=vector).distinct(), "quantised")
-    sizes = ready.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    # blocks of nearly equal size, by hash of the identifier: rows that share one stay together
-    blocked = ready.join(sizes, "dim").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    index = blocked.groupBy("dim", "block").agg(F.array_sort(F.collect_list(F.struct("id", "q"))).alias("members"))
-    asked = blocked.filter(F.col("id") % every == 0)
-    groups = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n") / every / query_rows)).cast("int")).groupBy("dim", "blocks", "part").agg(F.collect_list(F.struct("id", "q")).alias("queries"))
+    sizes = ready.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("asked"))
+    index = stage(index_of(ready, sizes.select("dim", "n"), block_bytes), "sliced")
+    asked = ready.filter(F.col("id") % every == 0).join(sizes.select("dim", "n", "asked"), "dim")
+    groups = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("asked") / query_rows)).cast("int")).withColumn("blocks", blocks(block_bytes)).groupBy("dim", "blocks", "part").agg(F.collect_list(F.struct("id", "q")).alias("queries"))
     work = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(key, table):
-        queries, own = table["queries"][0].as_py(), table["members"][0].values
-        q = own.field("q").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        block = SlicedBlock(own.field("id").to_numpy(zero_copy_only=False), q.reshape(len(own), -1))
+        queries = table["queries"][0].as_py()
+        block = SlicedBlock.unpacked(*(table[c][0].as_py() for c in ("ids", "low", "bits", "slices")), key[0].as_py())
         out = [(x["id"], v, s) for x in queries for s, v in block.best(x["id"], np.array(x["q"], np.int64), k)]
         return pa.table([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     # each pair of blocks is one group of bounded size: the stated query set goes past every block of the index
-    units = sum(-(-r["n"] // block_rows) * -(-r["n"] // (every * query_rows)) for r in sizes.collect())
+    units = sizes.select(F.sum(blocks(block_bytes) * F.ceil(F.col("asked") / query_rows))).first()[0] or 0
     found = work.join(index, ["dim", "block"]).repartition(max(1, min(units, MOST_TASKS)), "dim", "block", "part").groupBy("dim", "block", "part").applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
