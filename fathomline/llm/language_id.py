@@ -8,7 +8,7 @@ Profiles are fitted on at most ``rows_per_language`` labelled documents of each
 their identifier (whole texts). Prediction reads every whole text. Word-edge marks never join into an n-gram across words.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; with no labelled rows everything is ``und``;
-null identifiers count as not held out and are never fitted on; other columns are ignored.
+null identifiers count as not held out and are never fitted on; other columns are ignored, but for input columns named like the two added, which those replace.
 """
 
 from __future__ import annotations
@@ -71,13 +71,12 @@ class Profiles:
         return self.languages[best], round(1.0 - float(distance[best]) / (self.size * len(own)), 6)
 
 
-def fit(labelled: DataFrame, *, rows_per_language: int = 1000, profile_size: int = 400) -> Profiles:
-    """labelled(id, text, lang), all non-null. What reaches the driver is ``profile_size`` n-grams a language."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, (1.5 * rows_per_language + 50) / n)).otherwise(share)
-    thin = labelled.withColumn("h", F.xxhash64("id")).filter(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) <= share)
+def fit(labelled: DataFrame, *, rows_per_language: int = 1000, profile_size: int = 400, most_languages: int = 1000) -> Profiles:
+    """labelled(id, text, lang), all non-null. What reaches the driver is ``profile_size`` n-grams a language; of more than ``most_languages`` labels the most frequent are learned."""
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    share = known.select("lang", F.least(F.lit(1.0), F.lit(1.5 * rows_per_language + 50) / F.col("n")).alias("share"))
+    # at most most_languages rows, whatever the column holds
+    thin = labelled.withColumn("h", F.xxhash64("id")).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) <= F.col("share"))
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
     sample = thin.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows_per_language).select("lang", "text")
 
@@ -106,6 +105,7 @@ def held_out(id):
 
 def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score added."""
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     schema = docs.schema
 
     def run(batches):
