@@ -10,10 +10,10 @@ from fathomline.llm.storage import documents, new_path
 from fathomline.llm.tokens import DocumentIds
 
 
-def document_ids() -> DocumentIds:
+def document_ids(special: bool = True) -> DocumentIds:
     import public_tokenizers as vocabularies
 
-    return DocumentIds(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+    return DocumentIds(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, special)
 
 
 def op1_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +39,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = new_path(spark, "training-order")
-    layout = training_order.materialise(documents(spark, sf_dir), document_ids(), target, key=20240229)
-    if not layout["sequences"]:
-        return spark.createDataFrame([], "shard_id long, slot long, sequence_id long, byte_offset long, n_tokens long, ids_crc32 long")
+    layout = training_order.materialise(documents(spark, sf_dir), document_ids(special=False), target, key=20240229)
     return training_order.read_from(spark, target, layout, ids=False)
 
 
@@ -92,7 +90,7 @@ ORACLE_SQL = {
     """,
     "op5_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
@@ -104,6 +102,6 @@ ORACLE_SQL = {
     "op10_exact": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-        SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)
+        SELECT n.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY n.t ORDER BY n.doc_id NULLS LAST) = 1 AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)
     """,
 }

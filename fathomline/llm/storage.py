@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import contextvars
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark drops a query's shuffle files when the query is done; without it they stay until the driver's next full collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCRATCH: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set (single-machine tests)."""
+    """The cluster's ``spark.checkpoint.dir``. A folder of our own only where none is set and all runs on this machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     current = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     if not current:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="fathomline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(own)
@@ -27,6 +35,40 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those that ``keep`` was given."""
+    held: list = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        discard(*held)
+
+
+def keep(staged: DataFrame) -> DataFrame:
+    """Leave ``staged`` when the scratch it belongs to ends."""
+    held = _SCRATCH.get()
+    if held is not None:
+        held[:] = [df for df in held if df is not staged]
+    return staged
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -37,9 +79,12 @@ def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     zstd is for tables of whole texts; its writers hold much memory outside the heap, which adds up over many small files."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if (held := _SCRATCH.get()) is not None:
+        held.append(out)
     return out
 
 
@@ -52,15 +97,5 @@ def discard(*staged: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now, not at the driver's next full collection.
-
-    The first collection frees what Python held, the second what that had held in turn; the cleaner works beside them."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -29,7 +29,7 @@ def brute_exact(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("memory", [256 << 20, 2000])
+@pytest.mark.parametrize("memory", [256 << 20, 12_000])
 def test_exact_groups(docs, rows, memory):
     got = exact_dedup.exact_groups(docs, memory_bytes=memory).collect()
     assert Counter((r["id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == brute_exact(rows)
@@ -61,10 +61,61 @@ def test_trie_matches_dict():
         node.entry = (node.entry or 0) + 1
         plain[key] = plain.get(key, 0) + 1
     assert dict(trie.entries()) == plain
-    prefix, top = trie.drop_largest()
-    gone = dict(trie.entries(node=top))
-    assert gone and all(k.startswith(prefix) for k in gone)
+    gone = dict(trie.spill_largest())
+    assert gone and not gone.keys() & dict(trie.entries()).keys()
     assert {**dict(trie.entries()), **gone} == plain
+    assert all(trie.terminal(k) is None for k in gone)
+
+
+def test_trie_spills_below_a_shared_prefix():
+    rng = random.Random(1)
+    trie, plain = exact_dedup.PatriciaTrie(), {}
+    for k in range(500):
+        key = b'{"a long beginning that all share": "' + str(rng.random()).encode()
+        trie.terminal(key).entry = k
+        plain[key] = k
+    gone = {}
+    while (cut := trie.spill_largest()) is not None:
+        gone.update(cut)
+    left = dict(trie.entries())
+    assert len(left) >= 1 and {**gone, **left} == plain
+    assert trie.bytes < 3000
+
+
+def test_exact_spills_in_rounds(spark, monkeypatch):
+    """Texts that all begin alike, and one with many copies, at a budget that only a part of them fits."""
+    rows = [(i, f"{{{i % 400} some text that is long enough to count}}") for i in range(700)] + [(1000 + i, "{") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    staged = []
+    stage = exact_dedup.stage
+    monkeypatch.setattr(exact_dedup, "stage", lambda df, label, *a: staged.append(label) or stage(df, label, *a))
+    got = exact_dedup.exact_groups(docs, memory_bytes=20_000).collect()
+    assert staged.count("exact-owned") > 2
+    assert Counter((r["id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == brute_exact(rows)
+    assert sum(r["kept"] for r in got) == 401
+
+
+def test_exact_first_copy_is_settled(spark):
+    rows = [(1, "a  b", "y"), (1, "a b", "z"), (1, "a b", "x"), (None, "a b", "w")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    for n in (1, 3):
+        assert [tuple(r) for r in exact_dedup.keep_first_copies(docs.repartition(n)).collect()] == [(1, "a  b", "y")]
+
+
+def test_exact_query_is_its_sql(spark, tmp_path):
+    """Repeated identifiers too: one row of a group stays."""
+    import duckdb
+
+    from fathomline.llm import queries
+
+    rows = [(1, "a  b"), (1, "a b"), (1, "a b"), (2, "a\tb"), (3, None), (3, ""), (None, "x"), (None, "x"), (None, "a b"), (5, "y" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_exact(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op10_exact"])
+    names = [d[0] for d in want.description]
+    assert Counter(tuple(r[n] for n in names) for r in got.collect()) == Counter(want.fetchall())
 
 
 # words
@@ -144,14 +195,15 @@ def test_window_search(alphabet):
 
 
 def brute_bytes(rows):
-    """rows in their order of rank: (identifier, text)."""
+    """Null identifiers come last; rows that share an identifier have the same rank."""
+    rank = [1 << 63 if d is None else d for d, _ in rows]
     least = {}
-    for k, (_, t) in enumerate(rows):
+    for k, (_, t) in zip(rank, rows, strict=True):
         b = (t or "").encode()
         for p in range(len(b) - 49):
-            least.setdefault(b[p : p + 50], k)
+            least[b[p : p + 50]] = min(k, least.get(b[p : p + 50], k))
     out = []
-    for k, (d, t) in enumerate(rows):
+    for k, (d, t) in zip(rank, rows, strict=True):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 49):
@@ -168,12 +220,47 @@ def test_bytes(docs, rows):
 
 
 def test_bytes_odd_and_empty(odd, empty):
-    rows = sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = suffix_dedup.remove_repeated(odd, want_text=False).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_bytes(rows)
     assert suffix_dedup.remove_repeated(empty).count() == 0
 
 
+def test_bytes_of_one_identifier_stay(spark):
+    shared = "".join(random.Random(1).choices("abcdefgh ", k=80))
+    rows = [(1, f"x {shared} y"), (1, f"z {shared} w"), (2, f"v {shared} u"), (None, shared), (None, shared)]
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), want_text=False).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("1", 0), ("1", 0), ("2", 82), ("None", 80), ("None", 80)]
+
+
+def test_very_long_documents(spark):
+    """Over a million symbols, so that documents are cut into blocks: words for the index, bytes for the ranking, letters for the trie, shingles for the fingerprint."""
+    rng = random.Random(12)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+    long = [f"{rng.randrange(36**3):x}" for _ in range(1_100_000)]
+    for at in (5, windows.BLOCK - 30, 2 * windows.BLOCK - 10, 1_050_000):
+        long[at : at + 60] = passage
+    rows = [(2, " ".join(long)), (1, " ".join([*long[:300], *passage])), (3, " ".join(long[1000:1030]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in fm_index.remove_repeated(docs, want_text=False).collect()}
+    want = {r[0]: r for r in brute_words(rows)}
+    assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == {k: tuple(r[1:]) for k, r in want.items()}
+    assert got[2]["n_removed"] >= 240
+    whole = rows
+    rows = [(2, rows[0][1][: 2 * windows.BLOCK + 9000] + " " + " ".join(passage)), *rows[1:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeated(docs, want_text=False).collect()}
+    assert got[2]["n_removed"] > 1000
+    assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.values()} == set(brute_bytes(rows))
+    assert len(whole[0][1].split()) > 2 * windows.BLOCK
+    prints = {i: plain_fingerprint(t) for i, t in rows}
+    assert {r["id"]: r["fp"] % (1 << 64) for r in simhash.near_duplicates(docs).collect()} == prints
+    twice = docs.unionByName(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(9)).withColumn("text", F.concat("text", F.lit(" end"))))
+    assert {r["doc_id"] for r in simhash.keep_one_of_each(twice).collect()} == {1, 2, 3}
+    twice = docs.unionByName(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(9)))
+    assert {(r["id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(twice).collect()} == {(1, 1, 1), (2, 2, 2), (3, 3, 1), (9, 2, 2)}
+
+
 def test_segments_meet():
     """Every window is in one segment, and equal windows have equal keys."""
     rng = np.random.default_rng(3)
@@ -299,7 +386,7 @@ def near_corpus():
     return list(enumerate(texts))
 
 
-def brute_components(rows, jaccard):
+def brute_near_components(rows, jaccard):
     sets = {}
     for i, t in rows:
         w = t.lower().split()
@@ -329,7 +416,31 @@ def brute_components(rows, jaccard):
 
 def test_near_copies_equal_brute_force(spark):
     rows = near_corpus()
-    want, near = brute_components(rows, 0.8)
+    want, near = brute_near_components(rows, 0.8)
     assert near > 100
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == set(want.values())
+
+
+def test_near_copies_by_row(spark):
+    """A text stays that has no near copy, whatever its identifier; near copies that share an identifier go but for one; a null identifier comes last."""
+    rng = random.Random(3)
+    base = [[f"u{rng.randrange(10**6)}" for _ in range(100)] for _ in range(5)]
+    near = lambda k, j: " ".join([*base[k][:-1], f"changed{j}"])
+    rows = [(1, near(0, 0)), (2, near(0, 1)), (2, near(1, 0)), (3, near(2, 0)), (3, near(2, 1)), (None, near(3, 0)), (None, near(3, 1)), (7, near(3, 2)), (8, None), (9, ""), (4, near(4, 0)), (4, near(4, 0))]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, keep_id string, h int")
+    kept = simhash.keep_one_of_each(docs.repartition(3))
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "3", "4", "7", "8"]
+    assert next(r["text"] for r in got if r["doc_id"] == 2) == near(1, 0)
+
+
+def test_near_candidates_come_from_fingerprints(spark):
+    """The pigeonhole join alone finds copies that differ in a word of a long text."""
+    rng = random.Random(3)
+    base = [f"u{rng.randrange(10**6)}" for _ in range(900)]
+    texts = [" ".join(base), " ".join([*base[:450], "new", *base[451:]]), " ".join(f"u{rng.randrange(10**6)}" for _ in range(900))]
+    prints = [simhash.voted(simhash.shingle_hashes(t, 5)) for t in texts]
+    own = spark.createDataFrame([(k, int(np.uint64(p).view(np.int64))) for k, p in enumerate(prints)], "node long, fp long")
+    assert [tuple(r) for r in simhash._print_pairs(own).collect()] == [(0, 1)]

@@ -29,7 +29,7 @@ def answers(df):
     return dict(got)
 
 
-@pytest.mark.parametrize("block", [65536, 64])
+@pytest.mark.parametrize("block", [32 << 20, 64 * 12 * 8])
 def test_top_k(spark, block):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 12).astype(np.float32).tolist()) for i in range(300)]
@@ -39,7 +39,7 @@ def test_top_k(spark, block):
     rows += [(40, rows[40][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, dim string")
     want = {k: v for k, v in brute_top(rows).items() if v}
-    assert answers(bit_sliced.top_k(df, block_rows=block, query_rows=3)) == want
+    assert answers(bit_sliced.top_k(df, block_bytes=block, query_rows=3)) == want
 
 
 def test_top_k_ties_and_few(spark):
@@ -50,6 +50,29 @@ def test_top_k_ties_and_few(spark):
     assert bit_sliced.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_large_components(spark):
+    """Any finite component takes part."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [*rng.normal(0, 1, 3).tolist(), x]) for i, x in enumerate([9.0e6, -9.0e6, 3.0e4, 1.0, 0.0, 2.0, 8.9e6] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert answers(bit_sliced.top_k(df)) == brute_top(rows)
+
+
+def test_top_k_query_is_its_sql(spark, tmp_path):
+    """Repeated rows and rows that share an identifier."""
+    import duckdb
+
+    from fathomline.llm import queries
+
+    rows = [(i % 60, [float(i % 7), 1.0, -0.5 * (i % 3)]) for i in range(130)] + [(50, None), (51, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (100, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op5_topk"])
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r[n] for n in names) for r in queries.op5_topk(spark, str(tmp_path)).collect()) == sorted(want.fetchall())
+
+
 # language
 
 STEMS = {"en": ["the", "ing", "tion", "and", "th"], "de": ["sch", "ung", "der", "ein", "ü"], "fr": ["eau", "ment", "les", "é", "qu"]}
@@ -91,6 +114,11 @@ def test_language_edges(spark, docs, empty):
     out = language_id.identify(docs.select("doc_id", "text"), profiles)
     assert out.count() == docs.count()
     assert language_id.identify(empty, profiles).count() == 0
+    clash = language_id.identify(docs.selectExpr("doc_id", "text", "'x' AS lang_pred", "1 AS Score"), profiles)
+    assert clash.columns == ["doc_id", "text", "lang_pred", "score"] and {r["lang_pred"] for r in clash.collect()} <= {"en", "de", "und"}
+    rng = random.Random(3)
+    long = sentence(rng, "de", 300_000)
+    assert len(long) > 1 << 20 and profiles.predict(long)[0] == "de"
 
 
 def test_grams_do_not_join_words():
