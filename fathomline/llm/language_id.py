@@ -68,7 +68,7 @@ class Profiles:
         rank = self.rank[:, at]
         distance = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own)))).sum(axis=1)
         best = int(distance.argmin())
-        return self.languages[best], round(1.0 - float(distance[best]) / (self.size * len(own)), 6)
+        return self.languages[best], 1.0 - float(distance[best]) / (self.size * len(own))
 
 
 def fit(labelled: DataFrame, *, rows_per_language: int = 1000, profile_size: int = 400, most_languages: int = 1000) -> Profiles:

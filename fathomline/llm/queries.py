@@ -16,6 +16,11 @@ def document_ids(special: bool = True) -> DocumentIds:
     return DocumentIds(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, special)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's secret; the synthetic tables hold no one's data and do with a fixed one."""
+    return spark.conf.get("spark.fathomline.piiKey", "synthetic tables")
+
+
 def op1_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.remove_repeated(documents(spark, sf_dir), want_text=False)
 
@@ -30,7 +35,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key=pii_key(spark))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +104,40 @@ ORACLE_SQL = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    # with at most 1000 labelled documents a language, as in the small tables, the sample to learn from is all of them
+    "op7_language": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g'), ' ') AS t, text IS NOT NULL AS told,
+                xor(CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                    lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                        lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))) AS BIGINT), CAST(4294967295 AS BIGINT)) % 3 = 1 AS held FROM documents),
+        ch AS (SELECT r, unnest(string_split(' ' || t || ' ', '')) AS a, unnest(range(0, length(t) + 2)) AS i FROM d WHERE t <> ''),
+        n AS (SELECT r, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS e FROM ch WINDOW w AS (PARTITION BY r ORDER BY i)),
+        g AS (SELECT r, unnest([CASE WHEN a <> ' ' THEN a END, a || b, CASE WHEN b <> ' ' THEN a || b || e END]) AS g FROM n),
+        own AS (SELECT r, g, count(*) AS n, CASE length(g) WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS k FROM g WHERE g IS NOT NULL GROUP BY r, g),
+        p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, k, g) - 1 AS place FROM own JOIN d USING (r)
+              WHERE told AND lang IS NOT NULL AND doc_id IS NOT NULL AND NOT held GROUP BY lang, g, k QUALIFY place < 400),
+        o AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, k, g) - 1 AS place FROM own QUALIFY place < 400),
+        x AS (SELECT o.r, l.lang, sum(CASE WHEN p.place IS NULL THEN 400 ELSE abs(p.place - o.place) END) AS distance, count(*) AS n
+              FROM o CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = o.g GROUP BY o.r, l.lang),
+        b AS (SELECT r, lang, 1.0 - CAST(distance AS DOUBLE) / (400 * n) AS score FROM x QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, lang) = 1)
+        SELECT doc_id, coalesce(held, false) AS held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM d LEFT JOIN b USING (r)
+    """,
+    "op8_suffix": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+        e AS (SELECT r, o, unnest(b) AS x, unnest(range(1, len(b) + 1)) AS i FROM d),
+        s2 AS (SELECT r, o, i, x, x || lead(x, 1) OVER w AS s FROM e WINDOW w AS (PARTITION BY r ORDER BY i)),
+        s4 AS (SELECT r, o, i, x, s || lead(s, 2) OVER w AS s FROM s2 WINDOW w AS (PARTITION BY r ORDER BY i)),
+        s8 AS (SELECT r, o, i, x, s || lead(s, 4) OVER w AS s FROM s4 WINDOW w AS (PARTITION BY r ORDER BY i)),
+        s16 AS (SELECT r, o, i, x, s || lead(s, 8) OVER w AS s FROM s8 WINDOW w AS (PARTITION BY r ORDER BY i)),
+        s32 AS (SELECT r, o, i, x, s || lead(s, 16) OVER w AS s FROM s16 WINDOW w AS (PARTITION BY r ORDER BY i)),
+        s50 AS (SELECT r, o, i, x, s || lead(s, 18) OVER w AS s FROM s32 WINDOW w AS (PARTITION BY r ORDER BY i)),
+        l AS (SELECT s, min(o) AS least FROM s50 WHERE s IS NOT NULL GROUP BY s),
+        h AS (SELECT r, i, x, l.least < o AS hit FROM s50 LEFT JOIN l USING (s)),
+        m AS (SELECT r, i, x, coalesce(max(CASE WHEN hit THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone FROM h),
+        f AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM m),
+        g AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY r)
+        SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+    """,
     "op10_exact": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
