@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
 
@@ -27,12 +28,19 @@ def rank_encoding(path: str, pattern: str):
 
 @functools.lru_cache(maxsize=4)
 def json_tokenizer(path: str, special: bool):
-    """The tokenizer and the strings of its special tokens, which stand for their ids in a text if ``special``."""
+    """The tokenizer; strings of its special tokens stand for their ids in a text if ``special``."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not special
-    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer
+
+
+@functools.lru_cache(maxsize=4)
+def special_strings(path: str) -> list[str]:
+    """Read from the file itself, since the tokenizer takes over 100 MB of a worker that may not need it."""
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
 class DocumentIds:
@@ -47,10 +55,9 @@ class DocumentIds:
         self.name = f"{os.path.basename(json_path)}{' special' if special else ''}"
 
     def __call__(self, text: str) -> list[int]:
-        tokenizer, marks = json_tokenizer(self.json_path, self.special)
-        if self.rank_path and not PLAIN.search(text) and not (self.special and any(m in text for m in marks)):
+        if self.rank_path and not PLAIN.search(text) and not (self.special and any(m in text for m in special_strings(self.json_path))):
             return rank_encoding(self.rank_path, self.pattern).encode_ordinary(text)
-        return tokenizer.encode(text, add_special_tokens=False).ids
+        return json_tokenizer(self.json_path, self.special).encode(text, add_special_tokens=False).ids
 
 
 def little_endian(ids) -> bytes:
