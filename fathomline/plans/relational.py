@@ -237,11 +237,6 @@ def passage_pack(spark, sf_dir):
     return parse.passages(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "ordinal", F.md5("passage").alias("digest"), F.length("passage").alias("n_chars"))
 
 
-def passage_pack_sql(spark, sf_dir):
-    """The same packing by SQL functions alone."""
-    return parse.short_passages(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "ordinal", F.md5("passage").alias("digest"), F.length("passage").alias("n_chars"))
-
-
 def figure_range_join(spark, sf_dir):
     figures = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("version"), (F.col("o_custkey") % 40).cast("int").alias("page"), F.col("o_orderkey").cast("string").alias("label"))
     d = table(spark, sf_dir, "documents")
@@ -317,4 +312,4 @@ def paper_mean_vectors(spark, sf_dir):
     return each.groupBy("paper_id", "dim").agg(F.round(F.avg("x"), 6).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (canonical_catalog, catalog_filters, group_status_counts, corpus_status, papers_per_day, theme_counts, month_segments, topn_per_group, carry_over, version_current_flip, snapshot_members, snapshot_coverage, snapshot_coverage_open, upsert_keep_nonempty, upsert_last_wins, insert_or_ignore, replace_group, cascade_delete, stable_ids, title_normalise, slugify, clip_text, redact_secrets, scholarly_ids, hash_jitter, json_fields, ranked_groups, ranked_groups_neutral, citation_percentile, profile_weights, profile_concepts, profile_activation, priority_scores, priority_lanes, section_split, figure_captions, passage_pack, passage_pack_sql, figure_range_join, user_turns, turn_budget, research_filter, stated_interests, evidence_validation, records_with_evidence, missing_evidence, fanout_counts, session_counts, paper_mean_vectors)}
+QUERIES = {f.__name__: f for f in (canonical_catalog, catalog_filters, group_status_counts, corpus_status, papers_per_day, theme_counts, month_segments, topn_per_group, carry_over, version_current_flip, snapshot_members, snapshot_coverage, snapshot_coverage_open, upsert_keep_nonempty, upsert_last_wins, insert_or_ignore, replace_group, cascade_delete, stable_ids, title_normalise, slugify, clip_text, redact_secrets, scholarly_ids, hash_jitter, json_fields, ranked_groups, ranked_groups_neutral, citation_percentile, profile_weights, profile_concepts, profile_activation, priority_scores, priority_lanes, section_split, figure_captions, passage_pack, figure_range_join, user_turns, turn_budget, research_filter, stated_interests, evidence_validation, records_with_evidence, missing_evidence, fanout_counts, session_counts, paper_mean_vectors)}

@@ -129,6 +129,17 @@ ORACLE_SQL = {
     "priority_lanes": f"""WITH {PAPERS}, {_PRIORITY}, {_lane('l_preference', 'relevance', 24, [])}, {_lane('l_frontier', 'frontier', 8, ['l_preference'])}, {_lane('l_exploration', 'exploration', 8, ['l_preference', 'l_frontier'])},
         l AS (SELECT * FROM l_preference UNION ALL SELECT * FROM l_frontier UNION ALL SELECT * FROM l_exploration)
         SELECT paper_id, coalesce(lane, 'deferred') AS lane, greatest(relevance, frontier, exploration) AS final_score FROM pr LEFT JOIN l USING (paper_id)""",
+    "passage_pack": r"""
+        WITH RECURSIVE blocks AS (SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS para FROM (
+            SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM documents)),
+        long AS (SELECT doc_id, para, s, len(s) AS n, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(list_slice(s, 1, i), lambda x: length(x)))) AS c FROM (
+            SELECT doc_id, para, string_split(regexp_replace(p, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM blocks WHERE length(p) > 1400)),
+        walk AS (SELECT doc_id, para, 1::BIGINT AS b, least(n, greatest(1, len(list_filter(c, lambda x: x <= 1400))))::BIGINT AS e FROM long
+                 UNION ALL
+                 SELECT doc_id, para, e, least(n, greatest(e + 1, len(list_filter(c, lambda x: x - (CASE WHEN e = 1 THEN 0 ELSE c[e - 1] END) <= 1400))))::BIGINT FROM walk JOIN long USING (doc_id, para) WHERE e < n),
+        made AS (SELECT doc_id, para, 0 AS b, p FROM blocks WHERE length(p) <= 1400
+                 UNION ALL SELECT doc_id, para, b, array_to_string(list_slice(s, b, e), ' ') FROM walk JOIN long USING (doc_id, para))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, b) - 1 AS INTEGER) AS ordinal, md5(p) AS digest, CAST(length(p) AS INTEGER) AS n_chars FROM made WHERE length(p) >= 40""",
     "section_split": f"""WITH {_PAGES}, f AS (SELECT *, length(line) <= 100 AND regexp_full_match(line, '{_HEADING}') AS h FROM lines_),
         s AS (SELECT *, sum(CAST(h AS INTEGER)) OVER (PARTITION BY id ORDER BY page, pos) AS s FROM f),
         m AS (SELECT id, s, arg_min(CASE WHEN h THEN line END, (page, pos)) FILTER (h) AS heading, min(page) AS ps FROM s GROUP BY ALL),

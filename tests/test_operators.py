@@ -116,10 +116,14 @@ def test_parsing_edges(spark):
     assert got == [("d", 0, "Document", "Intro text here\n\nMethods\nnot a heading", 1, 1), ("d", 1, "1. Introduction", "body one\nbody two", 1, 2), ("e", 0, "Document", "", 1, 1), ("f", 0, "Document", "", 1, 1)]
 
 
-def test_passages_overlap_by_a_sentence():
+def test_passages_overlap_by_a_sentence(spark):
     sentences = [f"Sentence number {i} is about this long and ends here." for i in range(40)]
-    got = parse.pack_passages(" ".join(sentences), 200)
-    assert all(len(p) <= 320 for p in got) and got[1].startswith(sentences[2]) and parse.pack_passages("short") == [] and parse.pack_passages(None) == []
+    rows = spark.createDataFrame([(1, " ".join(sentences)), (2, "short"), (3, None), (4, "")], "id int, text string")
+    got = [(r["id"], r["passage"]) for r in parse.passages(rows, "text", "id", target=200).orderBy("id", "ordinal").collect()]
+    assert {i for i, _ in got} == {1}
+    texts = [p for _, p in got]
+    assert all(len(p) <= 320 for p in texts) and texts[0].startswith(sentences[0]) and texts[-1].endswith(sentences[-1])
+    assert all(b.startswith(a.split(". ")[-1].removesuffix(".")) for a, b in zip(texts, texts[1:], strict=False))
 
 
 def test_upserts_do_not_change_on_rerun(spark):

@@ -42,8 +42,3 @@ def test_query(spark, duck, name):
     names = [d[0] for d in answer.description]
     assert sorted(names) == columns
     assert got == sorted("|".join(plain(r[names.index(c)]) for c in columns) for r in answer.fetchall())
-
-
-def test_packing_forms_agree(spark):
-    a, b = ({tuple(r) for r in QUERIES[n](spark, SF).collect()} for n in ("passage_pack", "passage_pack_sql"))
-    assert a == b
