@@ -103,10 +103,15 @@ def top_terms(members: DataFrame, k: int = 6) -> DataFrame:
     return weight.withColumn("rank", rank).filter(F.col("rank") <= k).select("cluster", "term", "rank", F.round("weight", 6).alias("weight"))
 
 
-def jaccard_pairs(rows: DataFrame, id: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of all pairs with at least ``least``, by prefix filtering: of a set's tokens in order of frequency, rarest first, two sets that
-    are similar enough share one within the first |set| - ceil(least x |set|) + 1."""
-    base = rows.select(F.col(id).alias("id"), F.array_distinct(tokens).alias("t")).filter(F.size("t") > 0)
+def jaccard_links(rows: DataFrame, id: str, tokens: str, least: float) -> DataFrame:
+    """(a, b, jaccard): rows of equal token sets are a class, whose smallest id stands for it. One row links each further member to that id (a jaccard of 1),
+    and one row each pair of such ids of at least ``least``; copies are not expanded into all pairs.
+
+    By prefix filtering: of a set's tokens in order of frequency, rarest first, two sets that are similar enough share one within the first
+    |set| - ceil(least x |set|) + 1. Rows without a token have no links."""
+    held = rows.select(F.col(id).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("t")).filter(F.size("t") > 0)
+    base = held.groupBy("t").agg(F.min("id").alias("id"))
+    copies = held.select(F.col("id").alias("b"), "t").join(base.select(F.col("id").alias("a"), "t"), "t").filter(F.col("a") < F.col("b")).select("a", "b", F.lit(1.0).alias("jaccard"))
     df = base.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = base.select("id", F.explode("t").alias("token")).join(df, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("t"))
     ordered = ordered.withColumn("n", F.size("t"))
@@ -115,7 +120,8 @@ def jaccard_pairs(rows: DataFrame, id: str, tokens: str, least: float) -> DataFr
     near = (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("nb") >= F.lit(least) * F.col("na"))
     # numbers meet first; the sets follow for the pairs that are left
     pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    sets = ordered.select("id", "t")
+    sets = base.select("id", "t")
     pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.withColumn("jaccard", F.round(both / (F.size("ta") + F.size("tb") - both), 6)).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    pairs = pairs.withColumn("jaccard", F.round(both / (F.size("ta") + F.size("tb") - both), 6)).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    return pairs.unionByName(copies)

@@ -101,7 +101,7 @@ def novelty_selection(spark, sf_dir):
 
 def jaccard_pairs(spark, sf_dir):
     docs = papers(spark, sf_dir)
-    return cluster.jaccard_pairs(docs.select("paper_id", t.token_set(F.col("abstract"), t.CLUSTER_STOP).alias("tokens")), "paper_id", F.col("tokens"), 0.8)
+    return cluster.jaccard_links(docs.select("paper_id", t.token_set(F.col("abstract"), t.CLUSTER_STOP).alias("tokens")), "paper_id", F.col("tokens"), 0.8)
 
 
 def top_terms(spark, sf_dir):
@@ -209,9 +209,12 @@ ORACLE_SQL = {
                  FROM walk JOIN r ON r.rank = walk.rank + 1 WHERE NOT (len(seen) >= 12 AND n >= 24))
         SELECT rank, taken AS paper FROM walk WHERE taken IS NOT NULL""",
     "jaccard_pairs": f"""
-        WITH {PAPERS}, k AS (SELECT paper_id, {sql_tokens('abstract', 'CLUSTER_STOP')} AS k FROM papers), e AS (SELECT paper_id, len(k) AS n, unnest(k) AS x FROM k),
+        WITH {PAPERS}, k AS (SELECT paper_id, list_sort({sql_tokens('abstract', 'CLUSTER_STOP')}) AS k FROM papers),
+        own AS (SELECT paper_id, k, min(paper_id) OVER (PARTITION BY k) AS rep FROM k WHERE len(k) > 0),
+        e AS (SELECT paper_id, len(k) AS n, unnest(k) AS x FROM own WHERE paper_id = rep),
         c AS (SELECT a.paper_id AS a, b.paper_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.paper_id < b.paper_id GROUP BY ALL)
-        SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM c WHERE round(c / (na + nb - c), 6) >= 0.8""",
+        SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM c WHERE round(c / (na + nb - c), 6) >= 0.8
+        UNION ALL SELECT rep, paper_id, 1.0::DOUBLE FROM own WHERE paper_id <> rep""",
     "top_terms": f"""
         WITH {PAPERS}, e AS (SELECT source AS cluster, paper_id, unnest({sql_tokens("title || ' ' || abstract", 'CLUSTER_STOP')}) AS term FROM papers),
         df AS (SELECT term, count(*) AS df FROM e GROUP BY term), tf AS (SELECT cluster, term, count(*) AS tf FROM e GROUP BY ALL),
