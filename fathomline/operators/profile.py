@@ -109,19 +109,25 @@ def quotas(candidates: int, budget: int, shares: tuple[float, float, float], act
     return {"target": target, "preference": preference, "frontier": frontier, "exploration": exploration}
 
 
-def lanes(scores: DataFrame, budget: int, *, shares: tuple[float, float, float] = (0.6, 0.2, 0.2), active: bool = True, id: str = "id") -> DataFrame:
-    """Every record with its lane; each lane takes the best that earlier lanes left, what is still missing is taken by the best of any score."""
-    scores = scores.persist()  # every lane reads them again
-    number = quotas(scores.count(), budget, shares, active)
+def lanes(scores: DataFrame, budget: int, *, shares: tuple[float, float, float] = (0.6, 0.2, 0.2), active: bool = True, id: str = "id", total: int | None = None) -> DataFrame:
+    """Every record with its lane; each lane takes the best that earlier lanes left, what is still missing is taken by the best of any score.
+
+    ``total`` is the number of records where the caller has counted already. Nothing is held in memory: a lane takes its records from the best of
+    its own order, of which earlier lanes can have taken no more than they took in all."""
+    total = scores.count() if total is None else total
+    number = quotas(total, budget, shares, active)
     best = F.greatest("relevance", "frontier", "exploration")
-    chosen = None
+    chosen, left = None, total
     for lane, order in (("preference", F.col("relevance")), ("frontier", F.col("frontier")), ("exploration", F.col("exploration")), ("editorial", best)):
-        count = number["target"] - chosen.count() if lane == "editorial" and chosen is not None else number.get(lane, 0)
+        gone = total - left
+        count = min(left, number["target"] - gone if lane == "editorial" else number[lane])
         if count <= 0:
             continue
-        rest = scores if chosen is None else scores.join(chosen.select(id), id, "left_anti")
-        taken = rest.orderBy(order.desc(), id).limit(count).select(id, F.lit(lane).alias("lane"))
-        chosen = taken if chosen is None else chosen.unionByName(taken)
+        rest = scores.select(id, order.alias("by")).orderBy(F.desc("by"), id).limit(count + gone)
+        if chosen is not None:
+            rest = rest.join(chosen.select(id), id, "left_anti").orderBy(F.desc("by"), id).limit(count)
+        taken = rest.select(id, F.lit(lane).alias("lane"))
+        chosen, left = taken if chosen is None else chosen.unionByName(taken), left - count
     final = scores.withColumn("final_score", best)
     if chosen is None:
         return final.withColumn("lane", F.lit("deferred"))
