@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stop words of the four tokenizers, and the patterns of secrets and of research turns.
+# Stop words of the five tokenizers, and the patterns of secrets and of research turns.
 RANKING_STOP = ["about", "after", "also", "among", "based", "from", "into", "paper", "papers", "research", "that", "their", "these", "this", "using", "which", "with", "work"]
 PROFILE_STOP = ["across", "active", "all", "and", "are", "about", "after", "again", "against", "also", "been", "being", "build", "both", "can", "could", "from", "for", "have", "how", "into", "introduce", "its", "more", "paper", "papers", "research", "should", "some", "that", "their", "there", "these", "this", "those", "using", "use", "want", "what", "when", "where", "which", "with", "would"]
 CLUSTER_STOP = ["about", "after", "also", "among", "based", "been", "before", "being", "between", "both", "can", "could", "from", "have", "into", "more", "most", "other", "over", "approach", "approaches", "data", "method", "methods", "model", "models", "paper", "performance", "propose", "proposed", "result", "results", "show", "shows", "study", "such", "task", "tasks", "than", "that", "their", "these", "they", "this", "through", "toward", "using", "which", "while", "with", "without", "work", "we", "our", "the", "and", "for", "are", "was", "were"]
 RELATED_STOP = ["this", "that", "with", "from", "using", "paper", "based", "their"]
+DIGEST_STOP = ["about", "after", "also", "among", "based", "been", "being", "between", "from", "have", "into", "more", "most", "other", "paper", "papers", "propose", "result", "results", "show", "shows", "such", "than", "that", "their", "these", "they", "this", "through", "using", "which", "while", "with", "without", "work", "the", "and", "for", "are", "was", "were", "our", "we"]
 SECRETS = [
     r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}",
     r"\bsk-[A-Za-z0-9_-]{12,}",
@@ -65,6 +68,12 @@ def stable_id(prefix: str, *parts: Column, size: int = 20) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(joined, 256), 1, size))
 
 
+def stable_key(prefix: str, *parts: object, size: int = 20) -> str:
+    """The identifier that :func:`stable_id` gives for the same parts."""
+    joined = "\x1f".join("" if p is None else str(p) for p in parts)
+    return f"{prefix}_{hashlib.sha256(joined.encode()).hexdigest()[:size]}"
+
+
 def query_items(query: Column) -> Column:
     """The first 20 items of a query, as words with inner hyphens and underscores."""
     return F.slice(F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0)), 1, 20)

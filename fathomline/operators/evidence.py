@@ -28,30 +28,6 @@ def missing_ids(asked: DataFrame, stored: DataFrame, id: str) -> DataFrame:
     return asked.select(id).distinct().join(stored.select(id), id, "left_anti").orderBy(id)
 
 
-def article_errors(articles: DataFrame, passages: DataFrame, candidates: DataFrame, *, least_words: int = 700) -> DataFrame:
-    """(article, error) for each broken rule of articles(article, paper_id, mode, reason, body, evidence_ids).
-
-    Rules: a candidate paper, named once; one evidence id or more, all of the article's paper, each inline in the body; enough words; a known mode; a reason of 20 characters."""
-    each = articles.select("article", "paper_id", "body", F.explode_outer(F.array_distinct("evidence_ids")).alias("evidence_id"))
-    own = passages.select("evidence_id", F.col("paper_id").alias("owner"))
-    foreign = each.filter("evidence_id is not null").join(own, (own["evidence_id"] == each["evidence_id"]) & (F.col("owner") == F.col("paper_id")), "left_anti")
-    rules = [
-        (foreign, "evidence of another paper"),
-        (each.filter("evidence_id is not null").filter(~F.contains("body", F.col("evidence_id"))), "evidence not inline"),
-        (articles.filter(F.size(F.coalesce("evidence_ids", F.array().cast("array<string>"))) == 0), "no evidence"),
-        (articles.filter(F.size(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"\S+"), F.lit(0))) < least_words), "too short"),
-        (articles.filter(~F.coalesce("mode", F.lit("")).isin("preference", "exploration", "editorial")), "unknown mode"),
-        (articles.filter(F.length(F.trim(F.coalesce("reason", F.lit("")))) < 20), "reason too short"),
-        (articles.join(candidates.select("paper_id"), "paper_id", "left_anti"), "not a candidate"),
-        (articles.join(articles.groupBy("paper_id").count().filter("count > 1"), "paper_id", "left_semi"), "paper repeated"),
-    ]
-    out = None
-    for df, error in rules:
-        part = df.select("article", F.lit(error).alias("error"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
-
-
 def mode_errors(modes: list[str], active: bool) -> list[str]:
     """Rules on the modes of all articles of a digest."""
     n, preference, exploration = len(modes), modes.count("preference"), modes.count("exploration")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as t
 from fathomline.functions.porter import query_phrases, stems
-from fathomline.operators import catalog, cluster, evidence, fusion, lexical, parse, ranking, upsert
+from fathomline.functions.vectors import folded
+from fathomline.operators import catalog, cluster, evidence, fusion, lexical, parse, upsert
 from fathomline.providers import IntelligenceProvider, embed_rows
 from fathomline.sources.tables import Store
 
@@ -150,7 +151,7 @@ class Engine:
 
     def search(self, query: str, *, snapshot_id: str | None = None, include_synthetic: bool = False, limit: int = 20) -> dict:
         self._check(limit)
-        return self._answer(query, snapshot_id, self._lexical(query, snapshot_id, include_synthetic).orderBy(F.desc("score"), "evidence_id").limit(limit))
+        return self._answer(query, snapshot_id, self._lexical(query, snapshot_id, include_synthetic).withColumn("match_reason", F.concat(F.lit("Full-text match in "), F.col("section"))).orderBy(F.desc("score"), "evidence_id").limit(limit))
 
     def search_figures(self, query: str, *, snapshot_id: str | None = None, limit: int = 20) -> dict:
         self._check(limit)
@@ -290,27 +291,26 @@ class Engine:
         one = self.spark.range(1).select(F.lit(paper_id).alias("paper_id"), F.current_timestamp().alias("created_at"))
         self.store.write("paper_favorites", upsert.insert_or_ignore(stored, one, ["paper_id"]) if favorite else upsert.cascade_delete(stored, one, ["paper_id"]))
 
-    def organise(self, snapshot_id: str, *, today: str, threshold: float = 0.58, most: int = 48) -> dict:
-        """Groups of a snapshot's papers, their terms, and the papers ranked inside each."""
+    def paper_features(self, snapshot_id: str) -> DataFrame:
+        """(paper_id, title, abstract, tokens, vector) of a snapshot's papers: abstracts with the papers' statements, mean passage vectors folded."""
         pinned = self.store.read("snapshot_papers").filter(F.col("snapshot_id") == snapshot_id).select("paper_id", "paper_version_id")
         papers = self.store.read("papers").withColumnRenamed("id", "paper_id").join(pinned, "paper_id")
         statements = self.store.read("scientific_records").groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_list("statement")), " ").alias("said"))
-        own = papers.join(statements, "paper_id", "left").select("paper_id", F.col("canonical_title").alias("title"), F.concat_ws(" ", "abstract", "said").alias("abstract"), "published_date")
-        from fathomline.functions.vectors import folded
-
+        own = papers.join(statements, "paper_id", "left").select("paper_id", F.col("canonical_title").alias("title"), F.concat_ws(" ", "abstract", "said").alias("abstract"))
         vectors = self.store.read("embeddings").filter(F.col("model") == self.model).join(pinned, "paper_version_id").withColumn("f", folded(F.col("vector")))
         means = fusion.centroids(vectors, "paper_id", "f").groupBy(F.col("group").alias("paper_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("vector"))
-        features = cluster.features(own, means)
-        groups = cluster.leader_clusters(features, threshold=threshold, most=most)
-        terms = cluster.top_terms(groups.join(features.select("paper_id", "tokens"), "paper_id").select("cluster", "paper_id", "tokens"))
-        ranked = ranking.ranked_groups(groups.join(own, "paper_id").withColumn("citation_count", F.lit(None).cast("int")).withColumn("is_new", F.lit(False)), today=today, positive=[], negative=[], active=False, groups=["cluster"])
-        members: dict[int, list] = {}
-        for r in ranked.orderBy("cluster", "position").select("cluster", "paper_id", "title", "score").collect():
-            members.setdefault(r["cluster"], []).append(r.asDict())
-        words: dict[int, list] = {}
-        for r in terms.orderBy("cluster", "rank").collect():
-            words.setdefault(r["cluster"], []).append(r["term"])
-        return {"snapshot_id": snapshot_id, "groups": [{"ordinal": k, "papers": p, "top_terms": words.get(k, [])} for k, p in sorted(members.items())]}
+        return cluster.features(own, means).join(own.select("paper_id", "abstract"), "paper_id")
+
+    def research_groups(self, *, today: str) -> dict:
+        """The stored groups, or ``not_ready``."""
+        from fathomline.plans.organisation import Organisation
+
+        return Organisation(self).latest(today=today)
+
+    def favorites(self) -> list[dict]:
+        """Favourite papers, the latest first."""
+        papers = self.store.read("papers").select(F.col("id").alias("paper_id"), F.col("canonical_title").alias("title"), "published_date", "source_url")
+        return [r.asDict() for r in self.store.read("paper_favorites").join(papers, "paper_id").orderBy(F.desc("created_at"), "title").collect()]
 
     # envelope
 
@@ -335,7 +335,7 @@ class Engine:
 
     def tool(self, name: str, arguments: dict):
         """The read-only tool surface by name."""
-        tools = {"search_catalog": self.search_catalog, "search_papers": self.search, "search_figures": self.search_figures, "hybrid_search": self.hybrid_search, "check_idea_novelty": self.novelty_check, "discover_opportunities": self.discover_opportunities, "get_paper": self.get_paper, "find_related_papers": self.related_papers, "get_scientific_records": self.get_scientific_records, "get_figure": self.get_figure, "get_evidence": lambda evidence_ids: self.get_evidence(evidence_ids), "get_snapshot_info": self.snapshot_info, "get_corpus_status": self.corpus_status, "get_research_groups": self.organise}
+        tools = {"search_catalog": self.search_catalog, "search_papers": self.search, "search_figures": self.search_figures, "hybrid_search": self.hybrid_search, "check_idea_novelty": self.novelty_check, "discover_opportunities": self.discover_opportunities, "get_paper": self.get_paper, "find_related_papers": self.related_papers, "get_scientific_records": self.get_scientific_records, "get_figure": self.get_figure, "get_evidence": lambda evidence_ids: self.get_evidence(evidence_ids), "get_snapshot_info": self.snapshot_info, "get_corpus_status": self.corpus_status, "get_research_groups": self.research_groups}
         if name not in tools:
             raise KeyError(f"Unknown tool: {name}")
         return tools[name](**arguments)

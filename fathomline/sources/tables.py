@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
@@ -16,8 +20,8 @@ SCHEMAS = {
     "scientific_records": "id string, paper_id string, paper_version_id string, record_type string, title string, statement string, conditions array<string>, numeric_values array<string>, confidence double, extractor_version string, created_at timestamp",
     "record_evidence": "record_id string, evidence_id string, relation string",
     "scientific_extractions": "paper_version_id string, record_type string, extractor_version string, status string, record_count int, rejected_count int, completed_at timestamp",
-    "daily_digest_runs": "id string, run_date string, snapshot_id string, client string, status string, candidate_ids array<string>, headline string, synthesis string, error string, created_at timestamp, completed_at timestamp",
-    "daily_blogs": "id string, run_id string, paper_id string, slug string, title string, body string, evidence_ids array<string>, figure_ids array<string>, themes array<string>, related_paper_ids array<string>, source_url string, published_date string, created_at timestamp",
+    "daily_digest_runs": "id string, run_date string, snapshot_id string, client string, status string, candidate_ids array<string>, headline string, synthesis string, trends array<string>, model string, error string, created_at timestamp, completed_at timestamp",
+    "daily_blogs": "id string, run_id string, paper_id string, slug string, title string, dek string, surprise string, body string, evidence_ids array<string>, figure_ids array<string>, themes array<string>, related_paper_ids array<string>, source_url string, published_date string, created_at timestamp",
     "daily_blog_personalization": "blog_id string, mode string, reason string, matched_labels array<string>, matched_favorites array<string>",
     "paper_favorites": "paper_id string, created_at timestamp",
     "preference_sources": "source string, enabled boolean, consented_at timestamp, updated_at timestamp",
@@ -94,6 +98,16 @@ class Store:
         out = rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) if f.name in rows.columns else _null(f) for f in wanted.schema])
         out.write.parquet(f"{self.root}/{table}/v={(versions[-1] if versions else 0) + 1}")
 
+    @contextlib.contextmanager
+    def scratch(self) -> Iterator[str]:
+        """A folder beside the tables, for what is worked out once and read several times; it is deleted at the end."""
+        path = f"{self.root}/_scratch/{uuid.uuid4().hex}"
+        try:
+            yield path
+        finally:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def duplicates(self, table: str) -> DataFrame:
         """Keys that occur more than once: empty for a sound table."""
         return self.read(table).groupBy(*keys(table)).count().filter("count > 1")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import porter, text, vectors
-from fathomline.operators import catalog, cluster, evidence, fusion, history, lexical, parse, profile, ranking, upsert
+from fathomline.operators import catalog, cluster, digest, evidence, fusion, history, lexical, parse, profile, ranking, upsert
 from fathomline.sources import files, tables
 from fathomline.streaming import events as streaming
 
@@ -147,14 +147,23 @@ def test_history_layouts(spark):
 
 
 def test_article_rules(spark):
-    passages = spark.createDataFrame([("e1", "p1"), ("e2", "p2")], "evidence_id string, paper_id string")
-    body = "word " * 700 + "e1"
-    rows = [("ok", "p1", "editorial", "because it is important", body, ["e1"]), ("bad", "p9", "other", "short", "few words", ["e2"]), ("none", "p2", "preference", "because it is important", body, [])]
-    df = spark.createDataFrame(rows, "article string, paper_id string, mode string, reason string, body string, evidence_ids array<string>")
+    passages = spark.createDataFrame([("e1", "p1"), ("e2", "p2")], "id string, paper_id string")
+    figures = spark.createDataFrame([("f1", "p1"), ("f2", "p2")], "id string, paper_id string")
+    papers = spark.createDataFrame([("p1", "https://x"), ("p2", None)], "paper_id string, source_url string")
+    body, why = "word " * 700 + "e1 f1", "because it is important"
+    rows = [
+        ("ok", "p1", "preference", why, "t", "d", "s", body, ["x"], ["e1"], ["f1"], ["p2"], ["p2"], ["Agents"]),
+        ("bad", "p9", "other", "  short  ", "", "d", "s", "few words", [], ["e2"], ["f2"], ["p0"], ["p1"], ["none"]),
+        ("none", "p2", "preference", why, "t", "d", "s", body, ["x"], None, None, None, None, None),
+    ]
+    got = digest.article_errors(spark.createDataFrame(rows, digest.ARTICLE), candidates=papers.select("paper_id"), passages=passages, figures=figures, papers=papers, favourites=spark.createDataFrame([("p2",)], "paper_id string"), labels=["agents"])
     errors = {}
-    for r in evidence.article_errors(df, passages, spark.createDataFrame([("p1",), ("p2",)], "paper_id string")).collect():
+    for r in got.collect():
         errors.setdefault(r["article"], set()).add(r["error"])
-    assert errors == {"bad": {"evidence of another paper", "evidence not inline", "too short", "unknown mode", "reason too short", "not a candidate"}, "none": {"no evidence"}}
+    assert errors == {
+        "bad": {"not a candidate", "evidence of another paper", "figure of another paper", "too short", "evidence not inline", "figure not inline", "unknown related paper", "unknown mode", "reason too short", "unknown favourite", "unknown label", "match without preference", "editorial fields missing", "no source address"},
+        "none": {"no evidence", "figures left out", "preference without a match", "no source address"},
+    }
     assert evidence.mode_errors(["preference", "preference"], True) and not evidence.mode_errors(["preference", "exploration"], True) and evidence.mode_errors(["preference"], False)
     group = {"title": "Two words", "description": "d", "shared_problem": "s", "paper_ids": ["a"], "membership_confidence": 0.5}
     assert evidence.exact_partition([group], ["a"]) and not evidence.exact_partition([group], ["a", "b"]) and not evidence.exact_partition([group | {"membership_confidence": True}], ["a"])
