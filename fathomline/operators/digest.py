@@ -24,7 +24,8 @@ def preference_scores(papers: DataFrame, terms: list[str], semantic: str | None
     own = token_set(F.concat_ws(" ", "title", "abstract"), DIGEST_STOP)
     both = F.array_intersect(profile, own)
     lexical = F.round(F.size(both) / F.greatest(F.lit(1.0), F.sqrt(F.size(profile).cast("double")) * F.sqrt(F.size(own).cast("double"))), 4) if terms else F.lit(0.0)
-    near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(semantic))) if semantic else F.lit(None).cast("double")
+    # greatest() passes over nulls, and a paper without a vector has no similarity rather than none in common
+    near = F.when(F.col(semantic).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(semantic)))) if semantic else F.lit(None).cast("double")
     return papers.withColumn("matches", F.slice(F.array_sort(both), 1, 8)).withColumn("preference", F.round(F.coalesce(0.8 * near + 0.2 * lexical, lexical), 4))
 
 

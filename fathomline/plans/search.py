@@ -151,7 +151,7 @@ def _words(start: int, stop: int) -> str:
     return f"SELECT i AS k, [w[i]] AS item FROM (SELECT {W.format('text')} AS w FROM benchmark ORDER BY item_id LIMIT 1), (SELECT unnest(range({start + 1}, {stop + 1})) AS i) WHERE i <= len(w)"
 
 
-_STOP = {name: "[" + ", ".join(f"'{x}'" for x in getattr(t, name)) + "]" for name in ("RANKING_STOP", "PROFILE_STOP", "CLUSTER_STOP")}
+_STOP = {name: "[" + ", ".join(f"'{x}'" for x in getattr(t, name)) + "]" for name in ("RANKING_STOP", "PROFILE_STOP", "CLUSTER_STOP", "DIGEST_STOP")}
 
 
 def sql_tokens(text: str, stop: str, ordered: bool = False) -> str:
