@@ -172,10 +172,11 @@ def _expected(layout: dict):
     return records * layout["stride"] + 1
 
 
-def materialise(docs: DataFrame, encode: Callable[[str], list[int]], target: str, *, key: int, text: str = "text", id: str = "doc_id", length: int = 1024, vocabulary: int = 50257, end_id: int = 50256, shard_records: int = 2048, bucket_bytes: int = 1 << 20, rounds: int = 2) -> dict:
+def materialise(docs: DataFrame, encode: Callable[[str], list[int]], target: str, *, key: int, text: str = "text", id: str = "doc_id", length: int = 1024, vocabulary: int = 50257, end_id: int = 50256, shard_records: int = 2048, bucket_bytes: int = 1 << 20, rounds: int = 2, task_shards: int = 8) -> dict:
     """Write the shards that ``target`` lacks; returns the layout (sequences, stride, ...). ValueError if ``target`` was written with another one.
 
-    The shards are written in ``rounds`` ranges, one job each, so that the records on their way to them take that part of their size on disk only."""
+    The shards are written in ``rounds`` ranges, one job each, so that the records on their way to them take that part of their size on disk only.
+    A task gets ``task_shards`` shards on average: the writer sorts whole bodies, so that its memory goes with their number."""
     spark = docs.sparkSession
     width = 2 if vocabulary <= 1 << 16 else 4
     digest = input_digest(docs, text=text, id=id)
@@ -232,9 +233,12 @@ def materialise(docs: DataFrame, encode: Callable[[str], list[int]], target: str
 
     n_shards = -(-total // shard_records)
     for r in range(rounds):
-        own = dealt.filter((F.col("shard_id") >= n_shards * r // rounds) & (F.col("shard_id") < n_shards * (r + 1) // rounds))
-        # whole shards meet in one task: each is a fixed range of slots of bounded size
-        bodies = own.repartition("shard_id").sortWithinPartitions("shard_id").mapInArrow(shards, "shard_id long, body binary").select("shard_id", F.col("body").cast("string").alias("value"))
+        first, last = n_shards * r // rounds, n_shards * (r + 1) // rounds
+        if first == last:
+            continue
+        own = dealt.filter((F.col("shard_id") >= first) & (F.col("shard_id") < last))
+        # whole shards meet in one task: each is a fixed range of slots of bounded size; the number of tasks is named, or compressed records would be put together by their size before they grow
+        bodies = own.repartition(-(-(last - first) // task_shards), "shard_id").sortWithinPartitions("shard_id").mapInArrow(shards, "shard_id long, body binary").select("shard_id", F.col("body").cast("string").alias("value"))
         with shuffles_dropped(spark):
             bodies.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("compression", "none").partitionBy("shard_id").text(target)
     discard(records, counts)
