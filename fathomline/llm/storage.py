@@ -36,17 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside leave no shuffle files behind."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(CLEANUP, before)
+            spark.conf.set(name, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind."""
+    return _setting(spark, CLEANUP, "true")
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Queries run inside hand ``rows`` rows to Python at once."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 @contextlib.contextmanager

@@ -31,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.storage import discard, shuffles_dropped, stage
+from fathomline.llm.storage import batches_of, discard, shuffles_dropped, stage
 
+#: Rows that Spark hands to Python at once; whole texts lie in each batch, on both sides.
+BATCH_ROWS = 500
 ROUNDS = 6
 #: Most buckets: their offsets, 16 bytes each, are broadcast. Beyond it buckets grow; they are sorted and streamed, never held.
 MOST_BUCKETS = 1_000_000
@@ -96,8 +98,12 @@ def sequences(docs: DataFrame, encode: Callable[[str], list[int]], *, text: str,
 
     def encoded(batches):
         for batch in batches:
-            ids = [np.array([*encode(body), end_id], kind) for body in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("bucket", "id", "h")), pa.array([len(x) for x in ids], pa.int64()), pa.array([_squeezed(x.tobytes()) for x in ids], pa.binary())], names=["bucket", "id", "h", "n", "ids"])
+            counts, bodies = [], []
+            for body in batch["text"]:  # one text at a time, so that a batch's ids never lie in memory together
+                ids = np.array([*encode(body.as_py()), end_id], kind)
+                counts.append(len(ids))
+                bodies.append(_squeezed(ids.tobytes()))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("bucket", "id", "h")), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "id", "h", "n", "ids"])
 
     def cut(batches):
         at, nth, rest, out = None, 0, np.empty(0, kind), []
@@ -189,7 +195,8 @@ def materialise(docs: DataFrame, encode: Callable[[str], list[int]], target: str
             raise ValueError(f"{target} was written with another {', '.join(differs)}; remove it or choose another folder")
     if not digest["rows"]:
         return {**layout, "sequences": 0, "key": key}
-    records = stage(sequences(docs, encode, text=text, id=id, length=length, width=width, end_id=end_id, buckets=buckets), "sequences", "none")
+    with batches_of(spark, BATCH_ROWS):
+        records = stage(sequences(docs, encode, text=text, id=id, length=length, width=width, end_id=end_id, buckets=buckets), "sequences", "none")
     counts = stage(records.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sequence-counts")
     total = counts.agg(F.sum("n")).first()[0]
     layout["sequences"] = total
