@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bit_sliced, bpe_tree, exact_dedup, fm_index, language_id, packing, pii, simhash, suffix_dedup, training_order
+from fathomline.llm import bit_sliced, bpe_tree, centroids, exact_dedup, fm_index, language_id, merkle, packing, pieces, pii, simhash, suffix_dedup, training_order
 from fathomline.llm.storage import documents, new_path
 from fathomline.llm.tokens import DocumentIds
 
@@ -69,6 +69,20 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    return pieces.round_trip(documents(spark, sf_dir), vocabularies.path("piece_bpe_32k.model"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), tampered=merkle.tampered_leaf())
+
+
 QUERIES = {
     "op1_fm_index": op1_fm_index,
     "op2_packing": op2_packing,
@@ -80,8 +94,41 @@ QUERIES = {
     "op8_suffix": op8_suffix,
     "op9_bpe": op9_bpe,
     "op10_exact": op10_exact,
+    "op11_pieces": op11_pieces,
+    "op12_centroids": op12_centroids,
+    "op13_manifest": op13_manifest,
 }
 
+
+def _crc32(text: str) -> str:
+    """SQL of the crc32 of a text of ASCII characters."""
+    return f"""xor(CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+            lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))) AS BIGINT), CAST(4294967295 AS BIGINT))"""
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """SQL of assigning v(r, q) to c0(k, c), moving the centroids and assigning again: a0, c1, a1, and so on."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""
+        a{i} AS (SELECT * FROM (SELECT r, vec_id, q, k, c, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        out.append(f"""
+        c{i + 1} AS (SELECT c{i}.k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+            SELECT k, list((s - (s % n + n) % n) // n ORDER BY dim) AS c FROM (SELECT k, dim, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(q) AS x, unnest(range(64)) AS dim FROM a{i}) GROUP BY k, dim) GROUP BY k) m USING (k))""")
+    return ",".join(out[:-1])
+
+
+def _leaf(n_chars: str) -> str:
+    told = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(told)})"
+
+
+def _levels(name: str) -> str:
+    """SQL of one more level of the lists ``l`` of digests."""
+    return f"SELECT * REPLACE (lvl + 1 AS lvl, list_transform(range((len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) AS l) FROM {name} WHERE len(l) > 1"
+
+
 ORACLE_SQL = {
     "op1_fm_index": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -143,4 +190,27 @@ ORACLE_SQL = {
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT n.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY n.t ORDER BY n.doc_id NULLS LAST) = 1 AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)
     """,
+    "op12_centroids": f"""
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS q FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS k, q AS c FROM (SELECT q, sha256('1:' || vec_id) AS h FROM v) QUALIFY k < 16), {_centroid_rounds(3)}
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a3
+    """,
+    "op13_manifest": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf('n_chars')} AS leaf,
+                CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS told FROM documents),
+        p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+        low AS (SELECT lang, 0 AS lvl, list(leaf ORDER BY pos) AS l FROM p GROUP BY lang UNION ALL {_levels('low')}),
+        sub AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM low WHERE len(l) = 1),
+        high AS (SELECT 0 AS lvl, list(subroot ORDER BY pos) AS l FROM sub UNION ALL {_levels('high')}),
+        steps AS (
+            SELECT r, lvl AS k, (p.pos >> lvl) % 2 AS side, l[xor(p.pos >> lvl, 1) + 1] AS sib FROM p JOIN low ON low.lang IS NOT DISTINCT FROM p.lang AND len(l) > 1
+            UNION ALL SELECT r, 1000 + lvl, (sub.pos >> lvl) % 2, l[xor(sub.pos >> lvl, 1) + 1] FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang, high WHERE len(l) > 1),
+        way AS (SELECT r, list(CASE WHEN sib IS NULL THEN 'A' WHEN side = 1 THEN 'L' || sib ELSE 'R' || sib END ORDER BY k) AS way, coalesce(string_agg(sib, '' ORDER BY k), '') AS proof FROM steps GROUP BY r),
+        o AS (SELECT p.doc_id, p.leaf, sub.subroot, (SELECT l[1] FROM high WHERE len(l) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+                list_reduce(list_prepend(told, coalesce(way, [])), lambda a, b: sha256(CASE b[1] WHEN 'A' THEN a WHEN 'L' THEN b[2:] || a ELSE a || b[2:] END)) AS folded_root
+              FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang LEFT JOIN way USING (r))
+        SELECT *, folded_root = root AS verified FROM o
+    """,
 }
