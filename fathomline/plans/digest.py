@@ -81,7 +81,7 @@ class Digest:
         old = stored.filter(F.col("id") == run_id).first()
         values = (old.asDict() if old else dict.fromkeys(stored.columns)) | {"id": run_id} | fields
         one = self.spark.createDataFrame([tuple(values[c] for c in stored.columns)], stored.schema)
-        self.store.write("daily_digest_runs", upsert.last_wins(stored, one, ["id"]))
+        self.store.upsert("daily_digest_runs", one)
 
     def generate(self, snapshot_id: str, paper_ids: list[str], client: str, *, run_date: str, now, profile: dict | None = None, most: int = 3) -> dict:
         """Ask the provider for ``most`` articles on the candidates, check every rule and store them with the run.
@@ -147,10 +147,11 @@ class Digest:
             "related_paper_ids": F.col("related_ids"),
             "created_at": F.lit(now),
         })
-        stored, who = self.store.read("daily_blogs"), self.store.read("daily_blog_personalization")
+        stored = self.store.read("daily_blogs")
         gone = stored.filter(F.col("run_id") == run_id).select(F.col("id").alias("blog_id"))
-        self.store.write("daily_blog_personalization", who.join(gone, "blog_id", "left_anti").unionByName(named.select(F.col("id").alias("blog_id"), "mode", "reason", "matched_labels", F.col("matched_favourites").alias("matched_favorites"))))
-        self.store.write("daily_blogs", stored.filter(F.col("run_id") != run_id).unionByName(named.select(*stored.columns)))
+        with self.store.transaction() as change:
+            change.replace("daily_blog_personalization", named.select(F.col("id").alias("blog_id"), "mode", "reason", "matched_labels", F.col("matched_favourites").alias("matched_favorites")), gone)
+            change.replace("daily_blogs", named.select(*stored.columns), gone.select(F.col("blog_id").alias("id")))
         self._mark(run_id, status="complete", headline=str(answer.get("headline", "")).strip(), synthesis=str(answer.get("synthesis", "")).strip(), trends=[str(x) for x in answer.get("trends", [])], error=None, completed_at=now)
         return [r.asDict() for r in named.select(F.col("id").alias("blog_id"), "slug", "paper_id", "mode", "reason").orderBy("blog_id").collect()]
 

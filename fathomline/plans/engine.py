@@ -7,17 +7,23 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as t
 from fathomline.functions.porter import query_phrases, stems
 from fathomline.functions.vectors import folded
-from fathomline.operators import catalog, cluster, evidence, fusion, lexical, parse, upsert
+from fathomline.operators import catalog, cluster, evidence, fusion, lexical, parse, postings, upsert
 from fathomline.providers import IntelligenceProvider, embed_rows
 from fathomline.sources.tables import Store
 
 
+#: Weights of a passage's fields in a search.
+PASSAGE_FIELDS = {"title": 5, "abstract": 3, "section": 2, "text": 1}
+#: Segments of the passage index that are searched side by side before the small ones are packed.
+MOST_SEGMENTS = 8
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, provider: IntelligenceProvider | None = None, model: str = "hash", analyzer=stems) -> None:
         self.spark, self.store, self.provider, self.model, self.analyzer = spark, Store(spark, root), provider, model, analyzer
@@ -36,27 +42,48 @@ class Engine:
         fresh = own.join(versions.select(F.col("id").alias("version_id")), "version_id", "left_anti").persist()
         added = fresh.count()
         if not added:
+            self.refresh_index()
             return {"status": "already_ingested", "versions": 0}
         incoming = fresh.select(F.col("paper_id").alias("id"), F.col("title").alias("canonical_title"), "normalized_title", "abstract", "authors", "published_date", "source_url", "source_class", at.alias("created_at"))
-        self.store.write("papers", upsert.keep_nonempty(papers, incoming, "id", ["abstract", "authors", "published_date"]))
         new = fresh.select(F.col("version_id").alias("id"), "paper_id", "content_hash", F.lit(None).cast("string").alias("artifact_uri"), at.alias("acquired_at"), F.lit(True).alias("is_current"))
-        both = versions.unionByName(new)
-        touched = new.select("paper_id", F.lit(True).alias("t")).distinct()
-        newest = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("acquired_at"), F.desc("id"))) == 1
-        self.store.write("paper_versions", both.withColumn("n", newest).join(touched, "paper_id", "left").withColumn("is_current", F.when(F.col("t"), F.col("n")).otherwise(F.col("is_current"))).drop("n", "t"))
+        both = versions.join(new.select("paper_id").distinct(), "paper_id", "left_semi").unionByName(new)
+        touched = upsert.flip_current(both, order=[F.desc("acquired_at"), F.desc("id")])
         pages = fresh.select(F.col("version_id").alias("id"), F.lit(1).alias("page"), "text")
         sections = parse.sections(pages)
         rows = parse.evidence_rows(sections, F.col("id")).join(fresh.select("version_id", "paper_id"), "version_id").persist()
-        self.store.write("sections", self.store.read("sections").unionByName(sections.select(t.stable_id("sec", F.col("id"), F.col("ordinal"), F.col("heading")).alias("id"), F.col("id").alias("paper_version_id"), "heading", F.col("ordinal").cast("int").alias("ordinal"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), "text")))
+        section_rows = sections.select(t.stable_id("sec", F.col("id"), F.col("ordinal"), F.col("heading")).alias("id"), F.col("id").alias("paper_version_id"), "heading", F.col("ordinal").cast("int").alias("ordinal"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), "text")
         passages = rows.select(F.col("evidence_id").alias("id"), "paper_id", F.col("version_id").alias("paper_version_id"), "section_id", F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), F.array("heading").alias("section_path"), "text", "content_hash", F.lit(1.0).alias("extraction_confidence"), at.alias("created_at"))
-        self.store.write("evidence_passages", self.store.read("evidence_passages").unionByName(passages))
         figures = parse.captions(pages).select(F.col("id").alias("version"), "page", "label", "caption").join(fresh.select(F.col("version_id").alias("version"), "paper_id"), "version")
         near = parse.nearby(figures, passages.select(F.col("paper_version_id").alias("version"), F.col("id").alias("evidence_id"), "page_start", "page_end", "text"))
         visual = near.select(t.stable_id("fig", F.col("version"), F.col("page"), F.col("label")).alias("id"), "paper_id", F.col("version").alias("paper_version_id"), F.col("page").alias("page_number"), "label", "caption", F.lit(None).cast("string").alias("artifact_uri"), F.sha2("caption", 256).alias("content_hash"), F.lit("caption").alias("artifact_kind"), "nearby_evidence_ids", F.lit("text").alias("extraction_method"), at.alias("created_at"))
-        self.store.write("visual_evidence", upsert.last_wins(self.store.read("visual_evidence"), visual, ["paper_version_id", "page_number", "label"]))
+        with self.store.transaction() as change:
+            change.upsert("papers", incoming, how="fill", fill=["abstract", "authors", "published_date"])
+            change.upsert("paper_versions", touched)
+            change.append("sections", section_rows)
+            change.append("evidence_passages", passages)
+            change.append("visual_evidence", visual)  # the identifier holds version, page and label
         fresh.unpersist(), rows.unpersist()
+        self.refresh_index()
         return {"status": "ingested", "versions": added}
 
+    def passage_index(self) -> postings.LexicalIndex:
+        """The stored index of all passages ever taken in, with their papers' titles and abstracts as they were then."""
+        layout = postings.Layout(tuple(PASSAGE_FIELDS), ("paper_id", "paper_version_id", "source_class"))
+        return postings.LexicalIndex(self.spark, f"{self.store.root}/_index/passages", layout, id="evidence_id", analyzer=self.analyzer)
+
+    def refresh_index(self) -> int:
+        """Index the passages that the store's commits have brought since the index last looked; an ingestion that died in between is made up for."""
+        index = self.passage_index()
+        since = index.log.state().settings.get("upto", 0)
+        rows, upto = self.store.changes("evidence_passages", since)
+        if rows is None:
+            return 0
+        own = self._with_papers(rows)
+        added = index.add(own, name=f"passages {since + 1} to {upto}", settings={"upto": upto})["documents"]
+        if index.statistics()["segments"] > MOST_SEGMENTS:
+            index.merge()
+        return added
+
     def enrich(self) -> dict:
         """Embed the passages that have no vector of this model yet."""
         stored = self.store.read("embeddings")
@@ -65,7 +92,7 @@ class Engine:
         vectors = embed_rows(missing, self.provider, "id", "text").join(missing.select(F.col("id").alias("record_id"), "paper_version_id"), "record_id")
         new = vectors.select("record_id", "paper_version_id", F.lit(self.model).alias("model"), F.size("vector").alias("dimensions"), "vector", F.current_timestamp().alias("created_at"))
         before = stored.count()
-        self.store.write("embeddings", upsert.last_wins(stored, new, ["record_id", "model"]))
+        self.store.append("embeddings", new)
         return {"embedded": self.store.read("embeddings").count() - before}
 
     def add_records(self, records: DataFrame) -> dict:
@@ -78,15 +105,16 @@ class Engine:
         links = good.select("record_id", F.explode("evidence_ids").alias("evidence_id"), F.lit("supports").alias("relation")).persist()
         n, total = rows.count(), records.count()
         links.count()
-        self.store.write("scientific_records", upsert.last_wins(self.store.read("scientific_records"), rows, ["id"]))
-        self.store.write("record_evidence", upsert.last_wins(self.store.read("record_evidence"), links, ["record_id", "evidence_id"]))
+        with self.store.transaction() as change:
+            change.append("scientific_records", rows)
+            change.append("record_evidence", links)
         return {"stored": n, "refused": total - n}
 
     def add_discoveries(self, rows: DataFrame) -> None:
         """Catalog rows: known ones keep status, date and attempts; new ones take over what was acquired before."""
         stored = self.store.read("discovery_records")
         carried = upsert.carry_over(rows, stored)
-        self.store.write("discovery_records", upsert.keep_nonempty(stored, carried.select(stored.columns), "id", ["title", "abstract", "authors", "categories", "updated_at", "abstract_url", "pdf_url"]))
+        self.store.upsert("discovery_records", carried.select(stored.columns), how="fill", fill=["title", "abstract", "authors", "categories", "updated_at", "abstract_url", "pdf_url"])
 
     # snapshots
 
@@ -110,11 +138,12 @@ class Engine:
             coverage |= catalog.coverage(self.store.read("discovery_records"), category=category, primary_only=primary_only, start=start, end=end, order=F.desc("updated_at")).first().asDict()
         gaps = catalog.known_gaps(coverage.get("unavailable_papers", 0), n_vectors, n_records)
         tag = F.lit(snapshot_id).alias("snapshot_id")
-        self.store.write("snapshot_papers", pinned.unionByName(members.select(tag, "paper_id", "paper_version_id")))
-        self.store.write("snapshot_records", self.store.read("snapshot_records").unionByName(records.select(tag, F.col("id").alias("record_id"))))
-        self.store.write("snapshot_embeddings", self.store.read("snapshot_embeddings").unionByName(vectors.select(tag, "record_id", "model")))
         head = self.spark.createDataFrame([(snapshot_id, start, end, datetime.fromisoformat(now) if now else datetime.now(UTC), count, {"schema": "2", "embedding_model": self.model}, json.dumps(coverage, sort_keys=True), gaps, "published")], heads.schema)
-        self.store.write("snapshots", heads.unionByName(head))
+        with self.store.transaction(f"snapshot {snapshot_id}") as change:
+            change.append("snapshot_papers", members.select(tag, "paper_id", "paper_version_id"))
+            change.append("snapshot_records", records.select(tag, F.col("id").alias("record_id")))
+            change.append("snapshot_embeddings", vectors.select(tag, "record_id", "model"))
+            change.append("snapshots", head)
         return {"snapshot_id": snapshot_id, "paper_count": count, "coverage": coverage, "known_gaps": gaps, "scientific_record_count": n_records, "embedding_count": n_vectors, "status": "published"}
 
     def snapshot_info(self, snapshot_id: str | None = None) -> dict:
@@ -131,27 +160,37 @@ class Engine:
 
     def _visible(self, rows: DataFrame, snapshot_id: str | None) -> DataFrame:
         """Rows (paper_version_id) of a snapshot, or of the current versions."""
+        return rows.join(self._visible_versions(snapshot_id), "paper_version_id", "left_semi")
+
+    def _visible_versions(self, snapshot_id: str | None) -> DataFrame:
         if snapshot_id:
             self.snapshot_info(snapshot_id)
-            keep = self.store.read("snapshot_papers").filter(F.col("snapshot_id") == snapshot_id).select("paper_version_id")
-        else:
-            keep = self.store.read("paper_versions").filter("is_current").select(F.col("id").alias("paper_version_id"))
-        return rows.join(keep, "paper_version_id", "left_semi")
+            return self.store.read("snapshot_papers").filter(F.col("snapshot_id") == snapshot_id).select("paper_version_id")
+        return self.store.read("paper_versions").filter("is_current").select(F.col("id").alias("paper_version_id"))
+
+    def _indexed(self, ids: list[str] | None = None) -> DataFrame:
+        """Passages with their papers: all, or those with these identifiers."""
+        return self._with_papers(self.store.read("evidence_passages") if ids is None else self.store.lookup("evidence_passages", ids))
 
-    def _indexed(self) -> DataFrame:
+    def _with_papers(self, passages: DataFrame) -> DataFrame:
         papers = self.store.read("papers").select(F.col("id").alias("paper_id"), F.col("canonical_title").alias("title"), "abstract", "source_class", "source_url", "published_date")
-        passages = self.store.read("evidence_passages").select(F.col("id").alias("evidence_id"), "paper_id", "paper_version_id", "text", "page_start", "page_end", F.array_join("section_path", " ").alias("section"))
-        return passages.join(papers, "paper_id")
+        own = passages.select(F.col("id").alias("evidence_id"), "paper_id", "paper_version_id", "text", "page_start", "page_end", F.array_join("section_path", " ").alias("section"))
+        return own.join(papers, "paper_id")
 
-    def _lexical(self, query: str, snapshot_id: str | None, synthetic: bool) -> DataFrame:
-        """All matching passages with their scores; statistics are those of the whole index, filters come after."""
-        found = lexical.scored(self._indexed(), {"title": 5, "abstract": 3, "section": 2, "text": 1}, query_phrases(query), analyzer=self.analyzer)
-        found = self._visible(found, snapshot_id)
-        return (found if synthetic else found.filter("source_class <> 'synthetic'")).withColumn("score", F.round("score", 6))
+    def _lexical(self, query: str, snapshot_id: str | None, synthetic: bool, limit: int) -> DataFrame:
+        """(evidence_id, score) of the best passages by the stored index; statistics are those of the whole index, filters come after."""
+        seen = self._visible_versions(snapshot_id)
+        keep = None if synthetic else F.col("source_class") != "synthetic"
+        found = self.passage_index().search(query_phrases(query), PASSAGE_FIELDS, limit=limit, keep=keep, only=seen)
+        return found.select(F.col("id").alias("evidence_id"), "score")
 
     def search(self, query: str, *, snapshot_id: str | None = None, include_synthetic: bool = False, limit: int = 20) -> dict:
         self._check(limit)
-        return self._answer(query, snapshot_id, self._lexical(query, snapshot_id, include_synthetic).withColumn("match_reason", F.concat(F.lit("Full-text match in "), F.col("section"))).orderBy(F.desc("score"), "evidence_id").limit(limit))
+        best = {r["evidence_id"]: r["score"] for r in self._lexical(query, snapshot_id, include_synthetic, limit).collect()}
+        # a hundred rows at most: their texts come from the parts that hold them
+        score = F.element_at(F.create_map(*[F.lit(x) for pair in best.items() for x in pair]), F.col("evidence_id")) if best else F.lit(0.0)
+        shown = self._indexed(list(best)).withColumn("score", score) if best else self._indexed().withColumn("score", score).limit(0)
+        return self._answer(query, snapshot_id, shown.withColumn("match_reason", F.concat(F.lit("Full-text match in "), F.col("section"))).orderBy(F.desc("score"), "evidence_id"))
 
     def search_figures(self, query: str, *, snapshot_id: str | None = None, limit: int = 20) -> dict:
         self._check(limit)
@@ -183,7 +222,7 @@ class Engine:
         return [r.asDict() for r in found.withColumn("score", -F.round("score", 6)).orderBy("score", F.desc("published_date"), "id").limit(limit).select("id", "source_id", "title", "published_date", "score").collect()]
 
     def hybrid_search(self, query: str, *, snapshot_id: str | None = None, include_synthetic: bool = False, limit: int = 20) -> dict:
-        words = self._lexical(query, snapshot_id, include_synthetic).orderBy(F.desc("score"), "evidence_id").limit(100).select(F.col("evidence_id").alias("id"), "score")
+        words = self._lexical(query, snapshot_id, include_synthetic, 100).select(F.col("evidence_id").alias("id"), "score")
         mine = self.store.read("embeddings").filter(F.col("model") == self.model)
         eligible = self._visible(self._indexed(), snapshot_id)
         eligible = eligible if include_synthetic else eligible.filter("source_class <> 'synthetic'")
@@ -230,7 +269,7 @@ class Engine:
     def get_evidence(self, ids: list[str]) -> dict:
         if not ids:
             raise ValueError("one evidence id or more is needed")
-        rows = self._indexed().filter(F.col("evidence_id").isin(ids))
+        rows = self._indexed(ids)
         out = self._answer(",".join(ids), None, rows)
         missing = sorted(set(ids) - {r["evidence_id"] for r in out["results"]})
         if missing:
@@ -287,9 +326,11 @@ class Engine:
     def set_favorite(self, paper_id: str, favorite: bool) -> None:
         if self.store.read("papers").filter(F.col("id") == paper_id).isEmpty():
             raise KeyError(f"Unknown paper: {paper_id}")
-        stored = self.store.read("paper_favorites")
         one = self.spark.range(1).select(F.lit(paper_id).alias("paper_id"), F.current_timestamp().alias("created_at"))
-        self.store.write("paper_favorites", upsert.insert_or_ignore(stored, one, ["paper_id"]) if favorite else upsert.cascade_delete(stored, one, ["paper_id"]))
+        if favorite:
+            self.store.upsert("paper_favorites", one, how="first")
+        else:
+            self.store.delete("paper_favorites", one.select("paper_id"))
 
     def paper_features(self, snapshot_id: str) -> DataFrame:
         """(paper_id, title, abstract, tokens, vector) of a snapshot's papers: abstracts with the papers' statements, mean passage vectors folded."""

@@ -98,14 +98,14 @@ def _store_answers(engine: Engine, answers: DataFrame, passages: DataFrame, vers
     owner = versions.select("paper_version_id", "paper_id")
     title = F.coalesce("title", F.initcap(F.replace(F.col("record_type"), F.lit("_"), F.lit(" "))))
     rows = good.join(owner, "paper_version_id").select(F.col("record_id").alias("id"), "paper_id", "paper_version_id", "record_type", title.alias("title"), "statement", F.array().cast("array<string>").alias("conditions"), "numeric_values", "confidence", F.lit(model).alias("extractor_version"), F.current_timestamp().alias("created_at"))
-    records, links = store.read("scientific_records"), store.read("record_evidence")
+    records = store.read("scientific_records")
     replaced = records.filter(F.col("extractor_version") == model).join(answers, ["paper_version_id", "record_type"], "left_semi").select("id")
-    kept_links = links.join(replaced.withColumnRenamed("id", "record_id"), "record_id", "left_anti")
-    store.write("record_evidence", kept_links.unionByName(good.select("record_id", F.explode("evidence_ids").alias("evidence_id"), F.lit("supports").alias("relation"))))
-    store.write("scientific_records", records.join(replaced, "id", "left_anti").unionByName(rows))
     kept = good.groupBy("paper_version_id", "record_type").agg(F.count(F.lit(1)).cast("int").alias("record_count"))
     entries = answers.join(kept, ["paper_version_id", "record_type"], "left").fillna(0, ["record_count"])
     entries = entries.select("paper_version_id", "record_type", F.lit(model).alias("extractor_version"), F.lit("complete").alias("status"), "record_count", (F.col("given") - F.col("record_count")).alias("rejected_count"), F.current_timestamp().alias("completed_at"))
     total = entries.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("kept"), F.coalesce(F.sum("rejected_count"), F.lit(0)).alias("refused")).first()
-    store.write("scientific_extractions", upsert.last_wins(log, entries, ["paper_version_id", "record_type", "extractor_version"]))
+    with store.transaction() as change:  # records, their links and the log, or none of them
+        change.replace("record_evidence", good.select("record_id", F.explode("evidence_ids").alias("evidence_id"), F.lit("supports").alias("relation")), replaced.withColumnRenamed("id", "record_id"))
+        change.replace("scientific_records", rows, replaced)
+        change.upsert("scientific_extractions", entries)
     return total

@@ -61,7 +61,7 @@ class Ingestion:
         stored = self.store.read(table)
         old = stored.filter(F.col("id") == row["id"]).first()
         full = (old.asDict() if old else {f: None for f in stored.columns}) | row
-        self.store.write(table, upsert.last_wins(stored, self.spark.createDataFrame([tuple(full[c] for c in stored.columns)], stored.schema), ["id"]))
+        self.store.upsert(table, self.spark.createDataFrame([tuple(full[c] for c in stored.columns)], stored.schema))
 
     def discover(self, config: Harvest) -> dict:
         """Take in the pages from where the run stopped; a run that is through returns at once."""
@@ -109,7 +109,7 @@ class Ingestion:
         for k, piece in enumerate(catalog.month_segments(self.spark, config.start, config.end).orderBy("segment_start").collect()):
             found = self.discover(Harvest(config.category, str(piece["segment_start"]), str(piece["segment_end"]), config.page_size, config.delay))
             link = self.spark.createDataFrame([(group, found["id"], k)], links.schema)
-            self.store.write("ingestion_group_runs", upsert.insert_or_ignore(self.store.read("ingestion_group_runs"), link, ["group_id", "run_id"]))
+            self.store.upsert("ingestion_group_runs", link, how="first")
         self._set("ingestion_groups", id=group, status="discovered")
         return self.group_status(group)
 
@@ -149,7 +149,7 @@ class Ingestion:
         stored = self.store.read("discovery_records")
         done = stored.join(got.select("id", F.col("code").alias("__c"), F.col("message").alias("__m"), F.col("text").isNotNull().alias("__ok")), "id")
         updated = done.withColumn("status", F.when(F.col("__ok"), "acquired").otherwise("failed")).withColumn("paper_id", F.when(F.col("__ok"), stable_id("paper", normal_title(F.col("title")))).otherwise(F.col("paper_id"))).withColumn("attempts", F.col("attempts") + 1).withColumn("error_code", F.col("__c")).withColumn("error_message", F.col("__m"))
-        self.store.write("discovery_records", upsert.last_wins(stored, updated.select(stored.columns), ["id"]))
+        self.store.upsert("discovery_records", updated.select(stored.columns))
         got.unpersist()
         counts = self.status(run)["records_by_status"]
         self._set("ingestion_runs", id=run, status="discovered" if counts.get("discovered") else "complete", acquired_count=counts.get("acquired", 0), failed_count=counts.get("failed", 0))

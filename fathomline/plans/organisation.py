@@ -130,15 +130,16 @@ class Organisation:
         return out
 
     def _store(self, run_id, run_date, snapshot_id, now, heads, labels, terms, members, configuration) -> None:
-        runs, clusters, stored = (self.store.read(n) for n in ("organization_runs", "paper_clusters", "paper_cluster_members"))
+        runs, clusters = self.store.read("organization_runs"), self.store.read("paper_clusters")
         old = clusters.filter(F.col("run_id") == run_id).select(F.col("id").alias("cluster_id"))
         ids = {h["cluster"]: t.stable_key("cluster", run_id, h["ordinal"]) for h in heads}
         rows = [(ids[h["cluster"]], run_id, h["ordinal"], x["label"], x["description"], terms.get(h["cluster"], []), h["paper_count"], h["new_count"], h["average_similarity"]) for h, x in zip(heads, labels, strict=True)]
         tagged = members.join(self.spark.createDataFrame(list(ids.items()), "cluster int, cluster_id string"), "cluster").select("cluster_id", "paper_id", "similarity", "is_new")
-        self.store.write("paper_cluster_members", stored.join(old, "cluster_id", "left_anti").unionByName(tagged))
-        self.store.write("paper_clusters", clusters.filter(F.col("run_id") != run_id).unionByName(self.spark.createDataFrame(rows, clusters.schema)))
         head = self.spark.createDataFrame([(run_id, run_date, snapshot_id, "leader", self.engine.model, "complete", json.dumps(configuration, sort_keys=True), json.dumps({"groups": len(heads)}), now)], runs.schema)
-        self.store.write("organization_runs", upsert.last_wins(runs, head, ["id"]))  # last: what makes the run visible
+        with self.store.transaction() as change:
+            change.replace("paper_cluster_members", tagged, old)
+            change.replace("paper_clusters", self.spark.createDataFrame(rows, clusters.schema), old.withColumnRenamed("cluster_id", "id"))
+            change.upsert("organization_runs", head)
 
     def latest(self, *, today: str, positive: list[str] = (), negative: list[str] = (), active: bool = False) -> dict:
         """The newest run's groups, their papers ranked anew; ``{"status": "not_ready"}`` where none is stored."""

@@ -41,19 +41,20 @@ class Preferences:
         at = F.lit(now).cast("timestamp")
         wanted = self.spark.createDataFrame([(s, s in enabled) for s in SOURCES], "source string, on boolean").join(stored.select("source", F.col("consented_at").alias("c")), "source", "left")
         rows = wanted.select("source", F.col("on").alias("enabled"), F.coalesce("c", F.when(F.col("on"), at)).alias("consented_at"), at.alias("updated_at"))
-        self.store.write("preference_sources", upsert.last_wins(stored, rows, ["source"]))
+        self.store.upsert("preference_sources", rows)
 
     def disable(self, source: str, now: str) -> None:
         """Nothing new is read; what was learned stays."""
         stored = self.store.read("preference_sources")
-        self.store.write("preference_sources", stored.withColumn("enabled", F.when(F.col("source") == source, False).otherwise(F.col("enabled"))).withColumn("updated_at", F.lit(now).cast("timestamp")))
+        self.store.upsert("preference_sources", stored.withColumn("enabled", F.when(F.col("source") == source, False).otherwise(F.col("enabled"))).withColumn("updated_at", F.lit(now).cast("timestamp")))
 
     def forget(self, source: str) -> None:
         """The source's sessions go, and their events with them."""
         sessions = self.store.read("preference_sessions")
         gone = sessions.filter(F.col("source") == source).select(F.col("fingerprint").alias("session_fingerprint"))
-        self.store.write("preference_events", upsert.cascade_delete(self.store.read("preference_events"), gone, ["session_fingerprint"]))
-        self.store.write("preference_sessions", sessions.filter(F.col("source") != source))
+        with self.store.transaction() as change:
+            change.delete("preference_events", gone)
+            change.delete("preference_sessions", gone.select(F.col("session_fingerprint").alias("fingerprint")))
 
     def sync(self, turns: DataFrame, extract, now: str) -> dict:
         """turns(source, session, turn, role, text, observed_at): sessions of enabled sources whose text has changed are extracted anew.
@@ -68,16 +69,16 @@ class Preferences:
         n = changed.count()
         if n:
             events = valid_events(extract(own.join(changed.select("session_fingerprint"), "session_fingerprint", "left_semi"))).join(changed.select("session_fingerprint", "source", "observed_at"), "session_fingerprint")
-            self._replace(events, changed.select("session_fingerprint"), now)
             sessions = changed.select(F.col("session_fingerprint").alias("fingerprint"), "source", "content_digest", "observed_at", "turn_count", F.lit("processed").alias("status"), F.lit(now).cast("timestamp").alias("processed_at"))
-            self.store.write("preference_sessions", upsert.last_wins(stored, sessions, ["fingerprint"]))
+            with self.store.transaction() as change:
+                change.replace("preference_events", self._event_rows(events, now), changed.select("session_fingerprint"))
+                change.upsert("preference_sessions", sessions)
         changed.unpersist()
         return {"changed_sessions": n}
 
-    def _replace(self, events: DataFrame, sessions: DataFrame, now: str) -> None:
-        stored = self.store.read("preference_events")
-        rows = events.select(stable_id("pref", F.col("session_fingerprint"), F.col("kind"), F.lower("label")).alias("id"), "source", "session_fingerprint", "kind", "label", "context", "confidence", "explicitness", "observed_at", F.lit(now).cast("timestamp").alias("created_at"))
-        self.store.write("preference_events", upsert.cascade_delete(stored, sessions, ["session_fingerprint"]).unionByName(rows))
+    @staticmethod
+    def _event_rows(events: DataFrame, now: str) -> DataFrame:
+        return events.select(stable_id("pref", F.col("session_fingerprint"), F.col("kind"), F.lower("label")).alias("id"), "source", "session_fingerprint", "kind", "label", "context", "confidence", "explicitness", "observed_at", F.lit(now).cast("timestamp").alias("created_at"))
 
     def set_note(self, text: str, now: str, extract=None) -> dict:
         """The reader's own words. States: empty, ready, or pending where the model failed and plain parts of the note stand in."""
@@ -97,9 +98,10 @@ class Preferences:
             except Exception:  # noqa: BLE001  whatever the model does, the note counts
                 status, events = "pending", plain
         rows = (events if note else plain.limit(0)).withColumn("source", F.lit(profile.EXPLICIT_SOURCE)).withColumn("observed_at", F.lit(now).cast("timestamp"))
-        self._replace(rows, one, now)
-        head = self.store.read("explicit_interest_profile")
-        self.store.write("explicit_interest_profile", self.spark.range(1).select(F.lit(1).alias("singleton"), F.lit(note).alias("text"), F.lit(status).alias("extraction_status"), F.lit(now).cast("timestamp").alias("updated_at")).select(head.columns))
+        head = self.spark.range(1).select(F.lit(1).alias("singleton"), F.lit(note).alias("text"), F.lit(status).alias("extraction_status"), F.lit(now).cast("timestamp").alias("updated_at"))
+        with self.store.transaction() as change:
+            change.replace("preference_events", self._event_rows(rows, now), one.select("session_fingerprint"))
+            change.upsert("explicit_interest_profile", head)
         return {"status": status, "events": self.store.read("preference_events").filter(F.col("session_fingerprint") == NOTE_SESSION).count()}
 
     def current_profile(self, now: str, *, persist: bool = False) -> dict:
@@ -117,9 +119,8 @@ class Preferences:
         body = json.dumps(out, sort_keys=True, separators=(",", ":"))
         version = "profile_" + hashlib.sha256(body.encode()).hexdigest()[:20]
         if persist:
-            stored = self.store.read("preference_profile_versions")
             one = self.spark.range(1).select(F.lit(version).alias("id"), F.lit(body).alias("summary"), F.lit(out["active_for_ingestion"]).alias("active_for_ingestion"), F.lit(now).cast("timestamp").alias("created_at"))
-            self.store.write("preference_profile_versions", upsert.insert_or_ignore(stored, one, ["id"]))
+            self.store.upsert("preference_profile_versions", one, how="first")
         return out | {"profile_version_id": version}
 
     def prioritise(self, group: str, budget: int, now: str, *, primary_only: bool = True, shares: tuple[float, float, float] = (0.6, 0.2, 0.2)) -> dict:

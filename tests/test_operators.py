@@ -199,7 +199,7 @@ def test_store_versions(spark, tmp_path):
     assert len(tables.SCHEMAS) == 33
     assert store.read("papers").isEmpty() and all(store.spark.createDataFrame([], s).columns for s in tables.SCHEMAS.values())
     store.write("paper_favorites", spark.createDataFrame([("p",)], "paper_id string"))
-    store.write("paper_favorites", store.read("paper_favorites").unionByName(spark.createDataFrame([("p", None)], "paper_id string, created_at timestamp")))
+    store.write("paper_favorites", spark.createDataFrame([("p", None), ("p", None)], "paper_id string, created_at timestamp"))
     assert store.read("paper_favorites").count() == 2 and store.duplicates("paper_favorites").count() == 1
 
 
