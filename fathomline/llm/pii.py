@@ -164,6 +164,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, b: a + b)
 
 
+def _modulo_97(text: Column) -> Column:
+    """The remainder of the number that digits and letters (A is 10) make."""
+    value = lambda ch: F.when(ch.rlike("[0-9]"), F.ascii(ch) - 48).otherwise(F.ascii(ch) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, ch: (a * F.when(ch.rlike("[0-9]"), 10).otherwise(100) + value(ch)) % 97)
+
+
 def _bound(array: Column, **fields) -> Column:
     """``array`` (of structs) with fields added to each element. Each is worked out once, where a plain expression would repeat its inputs in full."""
 
@@ -204,9 +210,10 @@ def _surrogate_canonical(x: Column) -> Column:
     wrong = F.when(_luhn(canon) % 10 == 0, 0).otherwise(1 + _draw(s, F.lit(98)) % 9)
     card = F.concat(head, ((check + wrong) % 10).cast("string"))
     iban_body = _mapped(F.substring(canon, 5, 64), s)
-    number = F.array_join(F.transform(F.split(F.concat(iban_body, F.substring(canon, 1, 2), F.lit("00")), ""), lambda ch: F.when(ch.rlike("[0-9]"), ch).otherwise((F.ascii(ch) - 55).cast("string"))), "")
-    remainder = F.aggregate(F.split(number, ""), F.lit(0), lambda a, ch: (a * 10 + ch.cast("int")) % 97)
-    iban = F.concat(F.substring(canon, 1, 2), F.lpad((98 - remainder).cast("string"), 2, "0"), iban_body)
+    remainder = _modulo_97(F.concat(iban_body, F.substring(canon, 1, 2), F.lit("00")))
+    # right check digits stay right, wrong ones wrong: they count modulo 97
+    off = F.when(_modulo_97(F.concat(F.substring(canon, 5, 64), F.substring(canon, 1, 4))) == 1, 0).otherwise(1 + _draw(s, F.lit(97)) % 96)
+    iban = F.concat(F.substring(canon, 1, 2), F.lpad(((96 - remainder + off) % 97 + 2).cast("string"), 2, "0"), iban_body)
     return (
         F.when(kind == "mail", mail)
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4)))
@@ -265,7 +272,7 @@ def _in_format(x: Column, male: Column, female: Column) -> Column:
     entity, kind, new = x["entity"], x["kind"], x["units"][0]["new"]
     digits = F.regexp_replace(entity, "[^0-9]", "")
     prefix = F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)).cast("int"))
-    cased = F.array_join(F.transform(F.split(new, ""), lambda ch, i: F.when(F.substring(entity, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(ch)).otherwise(ch)), "")
+    cased = F.array_join(F.zip_with(F.split(new, ""), F.split(entity, ""), lambda ch, as_in: F.when(as_in.rlike(r"\p{Lu}"), F.upper(ch)).otherwise(ch)), "")
     return (
         F.when(F.size(x["units"]) == 0, entity)
         .when(kind == "name", _renamed(x, male, female))
