@@ -4,8 +4,9 @@ A profile is the ``profile_size`` most frequent letter n-grams (n = 1 to 3, word
 own ranked n-grams are compared with each profile: the out-of-place distance is the sum over the document's n-grams of the
 difference in rank, or ``profile_size`` where the profile lacks the n-gram. The nearest profile wins, ties to the smaller name.
 
-Profiles are fitted on at most ``rows_per_language`` labelled documents of each language, the ones with the smallest hash of
-their identifier (whole texts). Prediction reads every whole text. Word-edge marks never join into an n-gram across words.
+Profiles are fitted on ``rows_per_language`` labelled documents of each language (all, where there are fewer), the ones with the smallest hashes of
+identifier and whole text; equal rows count as often as they occur. Every label is learned, so that the profiles, ``profile_size`` codes a label, are what reaches the driver.
+Prediction reads every whole text. Word-edge marks never join into an n-gram across words.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; with no labelled rows everything is ``und``;
 null identifiers count as not held out and are never fitted on; other columns are ignored, but for input columns named like the two added, which those replace.
@@ -51,10 +52,14 @@ class Profiles:
 
     def __init__(self, tops: dict[str, np.ndarray], size: int) -> None:
         self.languages, self.size = sorted(tops), size
-        self.codes = np.unique(np.concatenate([tops[x] for x in self.languages])) if tops else np.empty(0, np.int64)
-        self.rank = np.full((len(self.languages), len(self.codes) + 1), -1, np.int64)
-        for k, name in enumerate(self.languages):
-            self.rank[k, np.searchsorted(self.codes, tops[name])] = np.arange(len(tops[name]))
+        every = np.concatenate([tops[x] for x in self.languages]) if tops else np.empty(0, np.int64)
+        sizes = [len(tops[x]) for x in self.languages]
+        order = np.argsort(every, kind="stable")
+        self.codes, self.start = np.unique(every[order], return_index=True)
+        self.start = np.append(self.start, len(every))
+        # which languages rank a code, and where: as many entries as the profiles have
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.rank = np.concatenate([np.arange(n) for n in sizes])[order] if sizes else np.empty(0, np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, and 1 minus its distance over the largest possible one."""
@@ -64,33 +69,42 @@ class Profiles:
         own = ranked(codes, counts, self.size)
         at = np.searchsorted(self.codes, own)
         at[at == len(self.codes)] = 0
-        at = np.where(self.codes[at] == own, at, len(self.codes))
-        rank = self.rank[:, at]
-        distance = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own)))).sum(axis=1)
+        place = np.flatnonzero(self.codes[at] == own)
+        first, counted = self.start[at[place]], np.diff(self.start)[at[place]]
+        ends = np.cumsum(counted)
+        entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counted), counted)
+        nearer = self.size - np.abs(self.rank[entry] - np.repeat(place, counted))
+        distance = self.size * len(own) - np.bincount(self.owner[entry], nearer, len(self.languages)).astype(np.int64)
         best = int(distance.argmin())
         return self.languages[best], 1.0 - float(distance[best]) / (self.size * len(own))
 
 
-def fit(labelled: DataFrame, *, rows_per_language: int = 1000, profile_size: int = 400, most_languages: int = 1000) -> Profiles:
-    """labelled(id, text, lang), all non-null. What reaches the driver is ``profile_size`` n-grams a language; of more than ``most_languages`` labels the most frequent are learned."""
-    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    share = known.select("lang", F.least(F.lit(1.0), F.lit(1.5 * rows_per_language + 50) / F.col("n")).alias("share"))
-    # at most most_languages rows, whatever the column holds
-    thin = labelled.withColumn("h", F.xxhash64("id")).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) <= F.col("share"))
+def fit(labelled: DataFrame, *, rows_per_language: int = 1000, profile_size: int = 400) -> Profiles:
+    """labelled(id, text, lang), all non-null. What reaches the driver is ``profile_size`` n-grams a language."""
+    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)))
+    # a bound on the hashes of each language that leaves rows_per_language rows at least, from counts by the hash's first bits
+    bins = hashed.groupBy("lang", F.shiftright("h", 28).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = bins.withColumn("before", before).filter(F.col("before") < rows_per_language).groupBy("lang").agg(F.max("bin").alias("last"))
+    thin = hashed.join(last, "lang").filter(F.shiftright("h", 28) <= F.col("last"))
+    # equal rows are one row with their number, so that no group of copies comes to one task
+    folded = thin.groupBy("lang", "h", "id", "text").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
-    sample = thin.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows_per_language).select("lang", "text")
+    taken = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = folded.withColumn("taken", taken).filter(F.col("taken") < rows_per_language).select("lang", "text", F.least("copies", F.lit(rows_per_language) - F.col("taken")).alias("copies"))
 
     def count(batches):
         for batch in batches:
             sums: dict[str, list] = {}
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                sums.setdefault(lang, []).append(grams(text))
+            for text, lang, copies in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), batch["copies"].to_pylist(), strict=True):
+                codes, counts = grams(text)
+                sums.setdefault(lang, []).append((codes, counts * copies))
             for lang, parts in sums.items():
                 codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
                 total = np.bincount(where, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(total)], names=["lang", "code", "n"])
 
-    totals = sample.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    totals = sample.select("text", "lang", "copies").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = totals.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("r") <= profile_size)
     tops: dict[str, list] = {}
     for row in best.orderBy("lang", "r").collect():
