@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,21 +13,23 @@ from fathomline.llm import bit_sliced, language_id, pii
 
 
 def brute_top(rows, k=5, every=50):
-    q = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    q = [(i, list(v)) for i, v in {(i, tuple(v)) for i, v in q}]
-    out = defaultdict(set)
-    for i, v in q:
+    """Each row whose identifier is divisible by ``every`` against every row but itself, in Python's integers."""
+    q = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (i, v) in enumerate(q):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i and len(w) == len(v))
-            out[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
-    return dict(out)
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, (j, w) in enumerate(q) if m != n and len(w) == len(v))
+            out += [(i, r + 1, j, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, j) in enumerate(scores[:k])]
+    return sorted(out, key=str)
 
 
 def answers(df):
-    got = defaultdict(list)
-    for r in df.orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    return dict(got)
+    return sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect()), key=str)
+
+
+def single(rows):
+    """The rows as a table of floats holds them."""
+    return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
 
 
 @pytest.mark.parametrize("block", [32 << 20, 64 * 12 * 8])
@@ -38,15 +41,14 @@ def test_top_k(spark, block):
     rows += [(301, None), (350, [float("nan")] * 12), (400, [1.0, None] * 6), (401, [float("inf")] * 12), (500, [0.5, 0.25]), (501, [0.5, 0.5]), (None, [0.1] * 12), (550, []), (600, [1.0] * 12)]
     rows += [(40, rows[40][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, dim string")
-    want = {k: v for k, v in brute_top(rows).items() if v}
-    assert answers(bit_sliced.top_k(df, block_bytes=block, query_rows=3)) == want
+    assert answers(bit_sliced.top_k(df, block_bytes=block, query_rows=3)) == brute_top(single(rows))
 
 
 def test_top_k_ties_and_few(spark):
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in (0, 9, 4, 100, 2, 1, 3)], "vec_id long, embedding array<float>")
-    assert answers(bit_sliced.top_k(df))[0] == [(r + 1, v, 131072) for r, v in enumerate([1, 2, 3, 4, 9])]
+    assert [a for a in answers(bit_sliced.top_k(df)) if a[0] == 0] == [(0, r + 1, v, 131072) for r, v in enumerate([1, 2, 3, 4, 9])]
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
-    assert answers(bit_sliced.top_k(one)) == {0: [(1, 1, 131072)]}
+    assert answers(bit_sliced.top_k(one)) == [(0, 1, 1, 131072)]
     assert bit_sliced.top_k(df.limit(0)).count() == 0
 
 
@@ -55,7 +57,28 @@ def test_top_k_large_components(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [*rng.normal(0, 1, 3).tolist(), x]) for i, x in enumerate([9.0e6, -9.0e6, 3.0e4, 1.0, 0.0, 2.0, 8.9e6] * 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert answers(bit_sliced.top_k(df)) == brute_top(rows)
+    assert answers(bit_sliced.top_k(df)) == brute_top(single(rows))
+
+
+@pytest.mark.parametrize("size", [1e7, 1e10, 1e17, 1e30, 1e300])
+def test_top_k_scores_past_64_bits(spark, size):
+    """Ranks are exact whatever the components; a score that passes 64 bits is null in its own row."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [*rng.normal(0, 1, 4).tolist(), float(x)]) for i, x in enumerate([0, 1, -1, size, -size, size / 3, 0.5] * 9)]
+    rows += [(50, rows[3][1]), (50, rows[3][1]), (100, [0.0] * 5), (100, [-0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = answers(bit_sliced.top_k(df, block_bytes=1000, query_rows=2))
+    assert found == brute_top(rows) and (size < 1e10 or any(s is None for *_, s in found)) and any(s is not None for *_, s in found)
+
+
+def test_top_k_repeated_rows(spark):
+    """Every row but the query's own is a candidate, equal ones included, and equal queries answer apart."""
+    df = spark.createDataFrame([(1, [3.0]), (1, [3.0]), (50, [1.0]), (50, [1.0]), (50, [1.0000001]), (0, [2.0])], "vec_id long, embedding array<double>")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    found = answers(bit_sliced.top_k(df))
+    assert found == brute_top(rows) and [a for a in found if a[0] == 0][:2] == [(0, 1, 1, 393216), (0, 2, 1, 393216)]
+    many = [(7, [1.0])] * 40 + [(50, [1.0])] * 3
+    assert answers(bit_sliced.top_k(spark.createDataFrame(many, "vec_id long, embedding array<double>"))) == brute_top(many)
 
 
 def test_top_k_query_is_its_sql(spark, tmp_path):
@@ -64,13 +87,15 @@ def test_top_k_query_is_its_sql(spark, tmp_path):
 
     from fathomline.llm import queries
 
-    rows = [(i % 60, [float(i % 7), 1.0, -0.5 * (i % 3)]) for i in range(130)] + [(50, None), (51, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (100, [1.0])]
+    rows = [(i % 60, [float(i % 7), 1.0, -0.5 * (i % 3)]) for i in range(130)] + [(50, [1.0, 1.0, 1.0])] * 3 + [(9, [5e7, 1.0, 1.0]), (9, [9e8, 1e15, 1.0]), (0, [1e15, 1e15, 0.0])] + [(50, None), (51, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (100, [1.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.execute(queries.ORACLE_SQL["op5_topk"])
     names = [d[0] for d in want.description]
-    assert sorted(tuple(r[n] for n in names) for r in queries.op5_topk(spark, str(tmp_path)).collect()) == sorted(want.fetchall())
+    found = queries.op5_topk(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r[n] for n in names) for r in found), key=str) == sorted(want.fetchall(), key=str)
+    assert any(r["score"] is None for r in found)
 
 
 # language
@@ -145,6 +170,26 @@ def test_language_bounded_sample(spark):
     assert language_id.fit_documents(docs, rows_per_language=20).languages == ["en"]
 
 
+def test_language_learns_every_label(spark):
+    """Rows that share an identifier, equal rows and rare labels are learned from as any other."""
+    rng = random.Random(11)
+    a, b = [i for i in range(2000, 2020) if not language_held_out(i)][:2]
+    rows = [(a, sentence(rng, "en"), "en") for _ in range(300)] + [(b, sentence(rng, "de"), "de")] * 300 + [(i, sentence(rng, "en"), f"l{i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if not language_held_out(r[0])]
+    found = language_id.fit_documents(df, rows_per_language=20)
+    assert found.languages == sorted({r[2] for r in learned}) and {"en", "de"} <= set(found.languages)
+    # of 300 equal rows 20 count, each with all its n-grams
+    one = language_id.fit(spark.createDataFrame([(1, "abab", "x")] * 300 + [(2, "cdcdcd", "x")], "id long, text string, lang string"), rows_per_language=1000)
+    assert one.predict("abab")[0] == "x"
+
+
+def language_held_out(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
 def test_language_edges(spark, docs, empty):
     none = language_id.fit_documents(empty)
     assert none.languages == [] and none.predict("abc") == ("und", 0.0)
@@ -209,6 +254,29 @@ def test_pii_text(replaced):
     assert re.search(r'token = "[0-9a-f]{40}" AKIA[A-Z0-9]{16} version 4\.0\.$', out)
 
 
+def test_pii_iban_stays_right_or_wrong(spark):
+    """Right check digits stay right and wrong ones wrong."""
+    ibans = ["GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "DE00 3704 0044 0532 0130 00"]
+    right = lambda x: int("".join(str(int(c, 36)) for c in (x.replace(" ", "")[4:] + x.replace(" ", "")[:4]))) % 97 == 1
+    out = renamed(spark, *[f"Pay {i} now" for i in ibans])
+    for k, iban in enumerate(ibans):
+        new = out[k].removeprefix("Pay ").removesuffix(" now")
+        assert new != iban and [len(w) for w in new.split(" ")] == [len(w) for w in iban.split(" ")] and new[:2] == iban[:2] and right(new) is right(iban)
+
+
+def test_pii_long_hexadecimal_run(spark):
+    """One secret of a megabyte takes time in proportion to its length."""
+    import time
+
+    took = []
+    for size in (100_000, 1_000_000):
+        began = time.time()
+        out = renamed(spark, "A1" * (size // 2))[0]
+        took.append(time.time() - began)
+        assert len(out) == size and out != "A1" * (size // 2) and out == out.upper()
+    assert took[1] < 10 * took[0] + 5
+
+
 def test_pii_edges(replaced, empty):
     assert replaced[1]["text"] == "" and replaced[2]["text"] is None and replaced[3]["text"] == "plain text, 12 of 4.0"
     assert [replaced[k]["n_entities"] for k in (1, 2, 3, 4)] == [0, 0, 0, 1]
