@@ -86,7 +86,8 @@ def fit(labelled: DataFrame, *, rows_per_language: int = 1000, profile_size: int
     bins = hashed.groupBy("lang", F.shiftright("h", 28).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = bins.withColumn("before", before).filter(F.col("before") < rows_per_language).groupBy("lang").agg(F.max("bin").alias("last"))
-    thin = hashed.join(last, "lang").filter(F.shiftright("h", 28) <= F.col("last"))
+    # a row a label, less than the profiles that reach the driver; a join that deals rows by label would bring most of the texts to one task
+    thin = hashed.join(F.broadcast(last), "lang").filter(F.shiftright("h", 28) <= F.col("last"))
     # equal rows are one row with their number, so that no group of copies comes to one task
     folded = thin.groupBy("lang", "h", "id", "text").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
