@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as t
 from fathomline.functions.vectors import dot
-from fathomline.operators import digest, evidence, fusion, upsert
+from fathomline.operators import digest, evidence, fusion
 from fathomline.plans.engine import Engine
 
 MOST_CANDIDATES = 40

@@ -15,6 +15,7 @@ from fathomline.functions.porter import query_phrases, stems
 from fathomline.functions.vectors import folded
 from fathomline.operators import catalog, cluster, evidence, fusion, lexical, parse, postings, upsert
 from fathomline.providers import IntelligenceProvider, embed_rows
+from fathomline.sources import files
 from fathomline.sources.tables import Store
 
 
@@ -33,10 +34,13 @@ class Engine:
     def ingest(self, texts: DataFrame, *, now: str | None = None) -> dict:
         """texts(title, text, authors, abstract, published_date, source_url, source_class) -> papers, versions, sections and passages.
 
+        A column ``pages`` (array of page and text) takes the place of ``text`` where there is one; ``content_hash`` and ``artifact_uri`` are then the file's.
         Rows with the same title are one paper; a content that a paper has already is left alone; new content becomes its current version."""
         at = F.lit(now or datetime.now(UTC).isoformat()).cast("timestamp")
         normal = t.normal_title(F.col("title"))
-        own = texts.withColumn("normalized_title", normal).withColumn("paper_id", t.stable_id("paper", normal)).withColumn("content_hash", F.sha2("text", 256))
+        if "pages" not in texts.columns:
+            texts = texts.withColumns({"pages": F.array(F.struct(F.lit(1).alias("page"), F.col("text").alias("text"))), "content_hash": F.sha2("text", 256), "artifact_uri": F.lit(None).cast("string")})
+        own = texts.withColumn("normalized_title", normal).withColumn("paper_id", t.stable_id("paper", normal))
         own = own.withColumn("version_id", t.stable_id("version", F.col("paper_id"), F.col("content_hash"))).dropDuplicates(["version_id"])
         versions, papers = self.store.read("paper_versions"), self.store.read("papers")
         fresh = own.join(versions.select(F.col("id").alias("version_id")), "version_id", "left_anti").persist()
@@ -45,10 +49,10 @@ class Engine:
             self.refresh_index()
             return {"status": "already_ingested", "versions": 0}
         incoming = fresh.select(F.col("paper_id").alias("id"), F.col("title").alias("canonical_title"), "normalized_title", "abstract", "authors", "published_date", "source_url", "source_class", at.alias("created_at"))
-        new = fresh.select(F.col("version_id").alias("id"), "paper_id", "content_hash", F.lit(None).cast("string").alias("artifact_uri"), at.alias("acquired_at"), F.lit(True).alias("is_current"))
+        new = fresh.select(F.col("version_id").alias("id"), "paper_id", "content_hash", "artifact_uri", at.alias("acquired_at"), F.lit(True).alias("is_current"))
         both = versions.join(new.select("paper_id").distinct(), "paper_id", "left_semi").unionByName(new)
         touched = upsert.flip_current(both, order=[F.desc("acquired_at"), F.desc("id")])
-        pages = fresh.select(F.col("version_id").alias("id"), F.lit(1).alias("page"), "text")
+        pages = fresh.select(F.col("version_id").alias("id"), F.inline("pages"))
         sections = parse.sections(pages)
         rows = parse.evidence_rows(sections, F.col("id")).join(fresh.select("version_id", "paper_id"), "version_id").persist()
         section_rows = sections.select(t.stable_id("sec", F.col("id"), F.col("ordinal"), F.col("heading")).alias("id"), F.col("id").alias("paper_version_id"), "heading", F.col("ordinal").cast("int").alias("ordinal"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), "text")
@@ -66,6 +70,28 @@ class Engine:
         self.refresh_index()
         return {"status": "ingested", "versions": added}
 
+    def ingest_pdfs(self, path: str, extract, *, about: DataFrame | None = None, now: str | None = None) -> dict:
+        """All PDF files below ``path``: each is stored by its content and taken in page by page; a file that fails is told of and stops no other.
+
+        extract(bytes) -> (page, text) pairs. about(uri, title, authors, abstract, published_date, source_url, source_class): what is known of a file by the end of its
+        path; elsewhere its name is the title."""
+        found = files.artifacts(self.spark, path).select("uri", "content")
+        with self.store.scratch() as at:
+            files.pdf_pages(found, extract).write.parquet(at)  # files are read by the extractor once
+            read = self.spark.read.parquet(at)
+            good = read.filter("error is null")
+            urls = files.put_artifacts(found.join(good.select("uri"), "uri", "left_semi").select("content"), f"{self.store.root}/_artifacts", "raw")
+            named = good.join(urls, "content_hash")
+            stem = F.regexp_extract("uri", r"([^/]+?)(?:\.[Pp][Dd][Ff])?$", 1)
+            plain = {"title": stem, "authors": F.array().cast("array<string>"), "abstract": F.lit(""), "published_date": F.lit(None).cast("string"), "source_url": F.col("uri"), "source_class": F.lit("preprint")}
+            if about is not None:
+                known = about.select(F.regexp_extract("uri", r"([^/]+)$", 1).alias("file"), F.struct(*plain).alias("k"))
+                named = named.withColumn("file", F.regexp_extract("uri", r"([^/]+)$", 1)).join(known, "file", "left")
+                plain = {c: F.coalesce(F.col(f"k.{c}"), v) for c, v in plain.items()}
+            out = self.ingest(named.select("pages", "content_hash", "artifact_uri", *[v.alias(c) for c, v in plain.items()]), now=now)
+            broken = [r.asDict() for r in read.filter("error is not null").select("uri", "error").orderBy("uri").limit(1000).collect()]
+        return out | {"failed": broken}
+
     def passage_index(self) -> postings.LexicalIndex:
         """The stored index of all passages ever taken in, with their papers' titles and abstracts as they were then."""
         layout = postings.Layout(tuple(PASSAGE_FIELDS), ("paper_id", "paper_version_id", "source_class"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as t
-from fathomline.operators import evidence, upsert
+from fathomline.operators import evidence
 from fathomline.plans.engine import Engine
 
 # The kinds of records.

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.operators import catalog, upsert
+from fathomline.functions.text import scholarly_id
+from fathomline.operators import catalog, citations
 from fathomline.plans.engine import Engine
 
 # Fixed value: results beyond which a source wants monthly segments.
 MOST_RESULTS = 30_000
+CITATIONS = "semantic_scholar"
 
 
 @dataclass(frozen=True)
@@ -189,38 +191,33 @@ class Ingestion:
         out = head.asDict() | {"runs": links.count()} | (counts.asDict() if counts else {"discovered": 0, "acquired": 0, "failed": 0, "primary_total": 0, "primary_pending": 0})
         return out | {"discovered_only": rows.filter("status = 'discovered'").count()}
 
-    def refresh_citations(self, provider, now: str, *, stale_days: int = 7, batch: int = 500) -> dict:
+    def refresh_citations(self, provider, now: str, *, stale_days: int = 7, batch: int = 500, writers: int = 1) -> dict:
         """Citation counts of papers that have none or old ones; answers that don't match are skipped, a failed batch doesn't stop the rest."""
-        from fathomline.functions.text import scholarly_id
-
-        metrics = self.store.read("paper_citation_metrics")
+        if stale_days < 0:
+            raise ValueError("stale_days cannot be negative")
         at = F.lit(now).cast("timestamp")
-        fresh = metrics.filter(F.datediff(at, "fetched_at") < stale_days).select(F.col("paper_id").alias("id"))
-        rows = self.store.read("papers").join(fresh, "id", "left_anti").select("id", scholarly_id(F.col("source_url")).alias("key")).filter("key is not null").orderBy("id").toLocalIterator()
-        found, failed, part = [], 0, []
-
-        def ask(part):
-            nonlocal failed
-            try:
-                for (paper, _), answer in zip(part, provider.lookup([k for _, k in part]), strict=True):
-                    counts = [answer.get(k) for k in ("citationCount", "influentialCitationCount", "referenceCount")] if answer else []
-                    if counts and all(isinstance(c, int) and not isinstance(c, bool) and c >= 0 for c in counts):
-                        found.append((paper, answer.get("paperId"), *counts))
-            except Exception:  # noqa: BLE001  counts are an extra; a failed batch is reported, not raised
-                failed += 1
-
-        for row in rows:
-            part.append((row["id"], row["key"]))
-            if len(part) == batch:
-                ask(part)
-                part = []
-        if part:
-            ask(part)
-        if found:
-            new = self.spark.createDataFrame(found, "paper_id string, provider_work_id string, citation_count int, influential_citation_count int, reference_count int")
-            new = new.withColumn("provider", F.lit("semantic_scholar")).withColumn("match_method", F.lit("id")).withColumn("match_confidence", F.lit(1.0)).withColumn("fetched_at", at)
-            self.store.write("paper_citation_metrics", upsert.last_wins(metrics, new.select(metrics.columns), ["paper_id", "provider"]))
-        return {"updated": len(found), "failed_batches": failed}
+        fresh = self.store.read("paper_citation_metrics").filter((F.col("provider") == CITATIONS) & (F.datediff(at, "fetched_at") < stale_days)).select(F.col("paper_id").alias("id"))
+        rows = self.store.read("papers").join(fresh, "id", "left_anti").select("id", scholarly_id(F.col("source_url")).alias("key")).filter("key is not null")
+        return self._counts("paper_citation_metrics", "paper_id", rows, provider, at, batch, writers)
+
+    def refresh_discovery_citations(self, group: str, provider, now: str, *, batch: int = 500, writers: int = 1) -> dict:
+        """Citation counts of a group's open discoveries that have none yet: signals for the priorities, before anything is fetched."""
+        links = self.store.read("ingestion_group_runs").filter(F.col("group_id") == group).select("run_id")
+        known = self.store.read("discovery_citation_metrics").filter(F.col("provider") == CITATIONS).select(F.col("discovery_id").alias("id"))
+        open_rows = self.store.read("discovery_records").join(links, "run_id", "left_semi").filter(F.col("status").isin("discovered", "failed")).join(known, "id", "left_anti")
+        rows = open_rows.select("id", F.concat(F.lit("ARXIV:"), F.regexp_replace("source_id", "v[0-9]+$", "")).alias("key"))
+        return self._counts("discovery_citation_metrics", "discovery_id", rows, provider, F.lit(now).cast("timestamp"), batch, writers)
+
+    def _counts(self, table: str, key: str, rows: DataFrame, provider, at, batch: int, writers: int) -> dict:
+        with self.store.scratch() as path:
+            citations.asked(rows, provider, batch=batch, writers=writers).write.parquet(path)  # the service is asked once
+            answers = self.spark.read.parquet(path)
+            told = citations.tally(answers).first().asDict()
+            if told["refreshed"]:
+                new = answers.filter("state = 'ok'").withColumnsRenamed({"id": key, "work_id": "provider_work_id"})
+                self.store.upsert(table, new.withColumn("provider", F.lit(CITATIONS)).withColumn("match_method", F.lit("id")).withColumn("match_confidence", F.lit(1.0)).withColumn("fetched_at", at))
+            warnings = [r["message"] for r in answers.filter("message is not null").select("message").distinct().orderBy("message").limit(20).collect()]
+        return told | {"updated": told["refreshed"], "failed_batches": -(-told["failed"] // batch), "warnings": warnings}
 
 
 def look_back(today: str, days: int = 3) -> tuple[str, str]:

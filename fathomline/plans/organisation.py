@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as t
-from fathomline.operators import cluster, evidence, ranking, upsert
+from fathomline.operators import cluster, evidence, ranking
 from fathomline.plans.engine import Engine
 
 BATCH = 40  # papers a provider looks at together

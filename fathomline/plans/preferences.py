@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import stable_id
-from fathomline.operators import history, profile, upsert
+from fathomline.functions.vectors import cosine
+from fathomline.operators import history, profile, relevance
 from fathomline.plans.engine import Engine
+from fathomline.providers import embed_rows
 
 # Sources and kinds that are known.
 SOURCES = ["claude", "codex"]
@@ -123,28 +125,94 @@ class Preferences:
             self.store.upsert("preference_profile_versions", one, how="first")
         return out | {"profile_version_id": version}
 
+    def _group_rows(self, group: str) -> DataFrame:
+        links = self.store.read("ingestion_group_runs").filter(F.col("group_id") == group).select("run_id")
+        return self.store.read("discovery_records").join(links, "run_id", "left_semi")
+
+    def _semantic(self, rows: DataFrame, positive: list[str], now: str) -> DataFrame | None:
+        """(id, semantic): how near each discovery is to the profile's labels, 0 at least; None where the model fails. Texts that have a vector of this model are not embedded again."""
+        provider, model = self.engine.provider, self.engine.model
+        if provider is None or not positive:
+            return None
+        try:
+            mine = provider.embed(["; ".join(positive)])[0]
+            known = self.store.read("discovery_vectors").filter(F.col("model") == model)
+            missing = rows.join(known.select(F.col("discovery_id").alias("id")), "id", "left_anti")
+            texts = missing.select("id", F.concat_ws("\n", "title", F.coalesce("abstract", F.lit(""))).alias("text"))
+            with self.store.scratch() as path:
+                embed_rows(texts, provider, "id", "text", batch=64).write.parquet(path)
+                fresh = self.spark.read.parquet(path).select(F.col("record_id").alias("discovery_id"), F.lit(model).alias("model"), "vector", F.lit(now).cast("timestamp").alias("created_at"))
+                if not fresh.isEmpty():
+                    self.store.append("discovery_vectors", fresh)
+        except Exception:  # noqa: BLE001  whatever the model does, the words count
+            return None
+        near = cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in mine]), mismatch=0.0)
+        return self.store.read("discovery_vectors").filter(F.col("model") == model).select(F.col("discovery_id").alias("id"), F.greatest(F.lit(0.0), near).alias("semantic"))
+
+    def _judged(self, rows: DataFrame, own: dict, now: str) -> DataFrame:
+        """(id, relevance) by the model for this profile; only rows without an answer are asked about."""
+        model = self.engine.model
+        mine = (F.col("profile_version_id") == own["profile_version_id"]) & (F.col("model") == model)
+        known = self.store.read("discovery_relevance").filter(mine).select(F.col("discovery_id").alias("id"))
+        missing = rows.join(known, "id", "left_anti")
+        with self.store.scratch() as path:
+            relevance.judged(missing, self.engine.provider, own["positive_labels"], own["negative_labels"]).write.parquet(path)
+            fresh = self.spark.read.parquet(path)
+            if not fresh.isEmpty():
+                tags = [F.lit(own["profile_version_id"]).alias("profile_version_id"), F.lit(model).alias("model"), F.lit(now).cast("timestamp").alias("created_at")]
+                self.store.append("discovery_relevance", fresh.select(F.col("id").alias("discovery_id"), "relevance", "reason", *tags))
+        return self.store.read("discovery_relevance").filter(mine).select(F.col("discovery_id").alias("id"), "relevance")
+
     def prioritise(self, group: str, budget: int, now: str, *, primary_only: bool = True, shares: tuple[float, float, float] = (0.6, 0.2, 0.2)) -> dict:
-        """Score the group's open discoveries, fill the lanes and keep all scores."""
+        """Score the group's open discoveries by words, vectors and the model, fill the lanes and keep all scores."""
         own = self.current_profile(now, persist=True)
         head = self.store.read("ingestion_groups").filter(F.col("id") == group).first()
-        links = self.store.read("ingestion_group_runs").filter(F.col("group_id") == group).select("run_id")
-        rows = self.store.read("discovery_records").join(links, "run_id", "left_semi").filter(F.col("status").isin("discovered", "failed"))
+        rows = self._group_rows(group).filter(F.col("status").isin("discovered", "failed"))
         if primary_only and head:
             rows = rows.filter(F.col("primary_category") == head["category"])
         counts = self.store.read("discovery_citation_metrics").filter("provider = 'semantic_scholar'").select(F.col("discovery_id").alias("id"), "citation_count")
         words = [w for label in own["positive_labels"] for w in _tokens(label)]
-        scores = profile.priority_scores(rows.join(counts, "id", "left"), words, now[:10]).persist()
-        lanes = profile.lanes(scores, budget, shares=shares, active=own["active_for_ingestion"]).persist()
-        stored = self.store.read("paper_priority_scores")
-        why = F.when(F.col("lane") == "preference", "Matches the research profile").when(F.col("lane") == "frontier", "Trending or unusually novel within today's paper surplus").when(F.col("lane") == "exploration", "Deliberately broadens the current research profile").when(F.col("lane") == "deferred", "Retained as lightweight metadata for possible future promotion").otherwise("Selected by broad editorial ranking")
-        kept = lanes.select(F.col("id").alias("discovery_id"), F.lit(own["profile_version_id"]).alias("profile_version_id"), F.col("affinity").alias("affinity_score"), F.col("frontier").alias("frontier_score"), F.col("exploration").alias("exploration_score"), "final_score", "lane", why.alias("explanation"), F.lit(now).cast("timestamp").alias("created_at"))
-        picked = lanes.filter("lane <> 'deferred'").select("id", "lane").orderBy("id").collect()
-        self.store.write("paper_priority_scores", upsert.last_wins(stored, kept, ["discovery_id", "profile_version_id"]))
-        counted: dict[str, int] = {}
-        for r in picked:
-            counted[r["lane"]] = counted.get(r["lane"], 0) + 1
-        scores.unpersist(), lanes.unpersist()
-        return {"selected_discovery_ids": [r["id"] for r in picked], "lane_counts": counted, "profile": own, "budget": budget}
+        active = own["active_for_ingestion"]
+        signals, names = rows.join(counts, "id", "left"), {}
+        if (near := self._semantic(rows, own["positive_labels"], now)) is not None:
+            signals, names["semantic"] = signals.join(near, "id", "left"), "semantic"
+        if active and self.engine.provider is not None:
+            signals, names["model"] = signals.join(self._judged(rows, own, now), "id", "left"), "relevance"
+        with self.store.scratch() as path:
+            profile.priority_scores(signals, words, now[:10], **names).write.parquet(path)  # read once for each lane
+            scores = self.spark.read.parquet(path)
+            lanes = profile.lanes(scores, budget, shares=shares, active=active)
+            why = F.when(F.col("lane") == "preference", "Matches the research profile").when(F.col("lane") == "frontier", "Trending or unusually novel within today's paper surplus").when(F.col("lane") == "exploration", "Deliberately broadens the current research profile").when(F.col("lane") == "deferred", "Retained as lightweight metadata for possible future promotion").otherwise("Selected by broad editorial ranking")
+            kept = lanes.select(F.col("id").alias("discovery_id"), F.lit(own["profile_version_id"]).alias("profile_version_id"), F.col("affinity").alias("affinity_score"), F.col("frontier").alias("frontier_score"), F.col("exploration").alias("exploration_score"), "final_score", "lane", why.alias("explanation"), F.lit(now).cast("timestamp").alias("created_at"))
+            # all scores of a profile are of one moment, whatever an earlier run left
+            gone = self._group_rows(group).select(F.col("id").alias("discovery_id"), F.lit(own["profile_version_id"]).alias("profile_version_id"))
+            self.store.replace("paper_priority_scores", kept, gone)
+        return self._selection(group, own["profile_version_id"]) | {"profile": own, "budget": budget}
+
+    def selected(self, group: str, version: str) -> DataFrame:
+        """(discovery_id, lane, final_score, status) of what a profile selected from a group, the best first."""
+        scores = self.store.read("paper_priority_scores").filter((F.col("profile_version_id") == version) & (F.col("lane") != "deferred"))
+        rows = self._group_rows(group).select(F.col("id").alias("discovery_id"), "status")
+        return scores.join(rows, "discovery_id").select("discovery_id", "lane", "final_score", "status").orderBy(F.desc("final_score"), "discovery_id")
+
+    def _selection(self, group: str, version: str) -> dict:
+        """Identifiers up to 10,000 (all are in :meth:`selected`), and the counts of all."""
+        own = self.selected(group, version)
+        counts = {r["lane"]: r["count"] for r in own.groupBy("lane").count().collect()}
+        return {"selected_discovery_ids": [r["discovery_id"] for r in own.limit(10_000).collect()], "lane_counts": counts, "selected_count": sum(counts.values())}
+
+    def resumed(self, group: str, now: str) -> dict | None:
+        """The selection of an earlier run of the group that broke off after it had acquired something; None where there is none to go on with."""
+        rows = self._group_rows(group).select(F.col("id").alias("discovery_id"), "status")
+        mine = self.store.read("paper_priority_scores").join(rows, "discovery_id")
+        last = mine.filter("lane <> 'deferred'").orderBy(F.desc("created_at"), "profile_version_id").select("profile_version_id").first()
+        if last is None:
+            return None
+        version = last["profile_version_id"]
+        if self.selected(group, version).filter("status = 'acquired'").isEmpty():
+            return None
+        out = self._selection(group, version)
+        return out | {"profile": self.current_profile(now, persist=True), "candidate_count": mine.filter(F.col("profile_version_id") == version).count(), "budget": out["selected_count"], "resumed": True}
 
 
 def _tokens(label: str) -> list[str]:

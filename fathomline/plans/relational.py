@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import text as t
 from fathomline.operators import catalog, evidence, history, parse, profile, ranking, upsert
 from fathomline.plans.views import TODAY, discoveries, events, papers, table, vectors
+from fathomline.sources.shared import staged
 
 CATEGORY = "1-URGENT"
 LIKES = ["the", "thly", "tion", "ering", "und", "que"]
@@ -212,7 +213,8 @@ def priority_scores(spark, sf_dir):
 
 
 def priority_lanes(spark, sf_dir):
-    return profile.lanes(_scored(spark, sf_dir), 40).select(F.col("id").alias("paper_id"), "lane", "final_score")
+    scores = staged(_scored(spark, sf_dir), "scores")  # each lane reads them
+    return profile.lanes(scores, 40).select(F.col("id").alias("paper_id"), "lane", "final_score")
 
 
 # parsing

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,18 @@ def fingerprint(rows: DataFrame, *more: object) -> str:
         s = files.system(name).getFileStatus(files.path(name))
         told.append(f"{name}\t{s.getLen()}\t{s.getModificationTime()}")
     return hashlib.sha256("\n".join([*told, *map(repr, more)]).encode()).hexdigest()[:20]
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read again: what is read several times is worked out once, and a lost executor costs no recomputation. The table goes when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files = Files(spark)
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            files.delete(path)
+
+    atexit.register(clear)
+    return spark.read.schema(df.schema).parquet(path)

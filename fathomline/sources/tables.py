@@ -52,7 +52,17 @@ SCHEMAS = {
     "ingestion_group_runs": "group_id string, run_id string, ordinal int",
 }
 
+#: Tables of the engine's own, beside the 33.
+OWN_SCHEMAS = {
+    "discovery_vectors": "discovery_id string, model string, vector array<double>, created_at timestamp",
+    "discovery_relevance": "discovery_id string, profile_version_id string, model string, relevance double, reason string, created_at timestamp",
+    "workflow_steps": "workflow string, step string, inputs string, result string, finished_at timestamp",
+}
+
 KEYS = {
+    "discovery_vectors": ["discovery_id", "model"],
+    "discovery_relevance": ["discovery_id", "profile_version_id", "model"],
+    "workflow_steps": ["workflow", "step"],
     "snapshot_papers": ["snapshot_id", "paper_id"],
     "embeddings": ["record_id", "model"],
     "record_evidence": ["record_id", "evidence_id"],
@@ -72,6 +82,10 @@ KEYS = {
 }
 
 
+def schema_of(table: str) -> str:
+    return SCHEMAS[table] if table in SCHEMAS else OWN_SCHEMAS[table]
+
+
 def keys(table: str) -> list[str]:
     return KEYS.get(table, ["id"])
 
@@ -234,7 +248,7 @@ class Store:
 
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         """The table's columns; those that the rows lack are null."""
-        wanted = self.spark.createDataFrame([], SCHEMAS[table])
+        wanted = self.spark.createDataFrame([], schema_of(table))
         return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) if f.name in rows.columns else _null(f) for f in wanted.schema])
 
     def _read(self, state: State, table: str, parts: set[int] | None = None) -> DataFrame:
@@ -242,13 +256,13 @@ class Store:
         for folder, x in state.live.items():
             if x["table"] == table and (wanted := [p for p in x["parts"] if parts is None or p in parts]):
                 own.append((x["v"], x["kind"], [f"{self.root}/{folder}/_part={p}" for p in wanted]))
-        schema = SCHEMAS[table] + ", _gone boolean"
+        schema = schema_of(table) + ", _gone boolean"
         scan = lambda paths: self.spark.read.schema(schema).parquet(*paths)
         key = keys(table)
         base = [paths for _, kind, paths in own if kind == "base"]
         deltas = [(v, paths) for v, kind, paths in own if kind == "delta"]
         # parts of several base folders are disjoint, and older than all deltas
-        rows = scan([p for paths in base for p in paths]).drop("_gone") if base else self.spark.createDataFrame([], SCHEMAS[table])
+        rows = scan([p for paths in base for p in paths]).drop("_gone") if base else self.spark.createDataFrame([], schema_of(table))
         if not deltas:
             return rows
         latest = None
@@ -287,7 +301,7 @@ class Store:
                     paths += [f"{self.root}/{folder}/_part={p}" for p in x["parts"]]
         if not paths:
             return None, now.version
-        rows = self.spark.read.schema(SCHEMAS[table] + ", _gone boolean").parquet(*paths)
+        rows = self.spark.read.schema(schema_of(table) + ", _gone boolean").parquet(*paths)
         return rows.filter("not _gone").drop("_gone"), now.version
 
     @contextlib.contextmanager
