@@ -77,11 +77,7 @@ class Digest:
     # runs
 
     def _mark(self, run_id: str, **fields) -> None:
-        stored = self.store.read("daily_digest_runs")
-        old = stored.filter(F.col("id") == run_id).first()
-        values = (old.asDict() if old else dict.fromkeys(stored.columns)) | {"id": run_id} | fields
-        one = self.spark.createDataFrame([tuple(values[c] for c in stored.columns)], stored.schema)
-        self.store.upsert("daily_digest_runs", one)
+        self.store.set("daily_digest_runs", run_id, **fields)
 
     def generate(self, snapshot_id: str, paper_ids: list[str], client: str, *, run_date: str, now, profile: dict | None = None, most: int = 3) -> dict:
         """Ask the provider for ``most`` articles on the candidates, check every rule and store them with the run.

@@ -60,10 +60,7 @@ class Ingestion:
         return self.engine.store
 
     def _set(self, table: str, **row) -> None:
-        stored = self.store.read(table)
-        old = stored.filter(F.col("id") == row["id"]).first()
-        full = (old.asDict() if old else {f: None for f in stored.columns}) | row
-        self.store.upsert(table, self.spark.createDataFrame([tuple(full[c] for c in stored.columns)], stored.schema))
+        self.store.set(table, row.pop("id"), **row)
 
     def discover(self, config: Harvest) -> dict:
         """Take in the pages from where the run stopped; a run that is through returns at once."""

@@ -114,24 +114,38 @@ class Transaction:
         known = self.reads.get(table, set())
         self.reads[table] = None if parts is None or known is None else known | parts
 
-    def _put(self, table: str, rows: DataFrame, kind: str = "delta", dealt: bool = False) -> int:
-        """Write rows (with ``_gone``) below a folder of their own; the number of parts that got any."""
+    def _put(self, table: str, rows: DataFrame, kind: str = "delta", few: bool = False) -> list[int]:
+        """Write rows (with ``_gone``) below a folder of their own; the parts that got any."""
         folder = f"{table}/{kind}-{uuid.uuid4().hex}"
         path = f"{self.store.root}/{folder}"
-        out = rows if dealt else rows.withColumn("_part", self.store._part(table))
+        out = rows.withColumn("_part", self.store._part(table))
         # as many files as the rows call for, however they are spread over the parts
-        out.hint("rebalance", "_part").write.partitionBy("_part").parquet(path)
+        (out.coalesce(1) if few else out.hint("rebalance", "_part")).write.partitionBy("_part").parquet(path)
         parts = sorted(int(n.removeprefix("_part=")) for n in self.store.log.files.names(path) if n.startswith("_part="))
         if parts:
             self.add[folder] = {"table": table, "kind": kind, "parts": parts}
         else:
             self.store.log.files.delete(path)
-        return len(parts)
+        return parts
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Rows with keys of their own; nothing stored is read. A key that is stored has its row replaced."""
         self._put(table, self.store._shaped(table, rows).dropDuplicates(keys(table)).withColumn("_gone", F.lit(False)))
 
+    def lookup(self, table: str, ids: list[str]) -> DataFrame:
+        return self.store.lookup(table, ids, self.base)
+
+    def set(self, table: str, id: str, **fields) -> None:
+        """One row, by its identifier: these fields change, or it comes in with them. A row that is so already is left alone."""
+        found = self.lookup(table, [id]).limit(1).first()
+        old = found.asDict() if found else None
+        wanted = self.store.spark.createDataFrame([], schema_of(table)).schema
+        new = (old or dict.fromkeys(wanted.names)) | {keys(table)[0]: id} | fields
+        if new == old:
+            return
+        row = self.store.spark.createDataFrame([tuple(new[c] for c in wanted.names)], wanted)
+        self._seen(table, set(self._put(table, row.withColumn("_gone", F.lit(False)), few=True)))
+
     def upsert(self, table: str, rows: DataFrame, *, how: str = "last", fill: list[str] | None = None, order: Column | None = None) -> None:
         """Incoming rows against the stored ones of their keys.
 
@@ -282,14 +296,14 @@ class Store:
         """The table as the latest commit left it, or an earlier one; columns that stored rows lack (they are older than the schema) come as null."""
         return self._read(self.log.state(version), table)
 
-    def lookup(self, table: str, ids: list[str]) -> DataFrame:
+    def lookup(self, table: str, ids: list[str], state: State | None = None) -> DataFrame:
         """The rows with these identifiers, from the parts that can hold them."""
         key = keys(table)
         if len(key) != 1:
             raise ValueError(f"{table} has no single key")
         wanted = self.spark.createDataFrame([(i,) for i in ids], f"{key[0]} string")
         parts = {r[0] for r in wanted.select(self._part(table)).distinct().collect()}
-        return self._read(self.log.state(), table, parts).filter(F.col(key[0]).isin(ids))
+        return self._read(state or self.log.state(), table, parts).filter(F.col(key[0]).isin(ids))
 
     def changes(self, table: str, since: int) -> tuple[DataFrame | None, int]:
         """(rows that commits after ``since`` wrote to a table, the latest commit); merging parts changes no row. None where nothing was written, or all of it has been cleared away."""
@@ -335,6 +349,9 @@ class Store:
     def upsert(self, table: str, rows: DataFrame, *, how: str = "last", fill: list[str] | None = None, order: Column | None = None, name: str | None = None) -> None:
         self._again(lambda t: t.upsert(table, rows, how=how, fill=fill, order=order), name)
 
+    def set(self, table: str, id: str, **fields) -> None:
+        self._again(lambda t: t.set(table, id, **fields))
+
     def delete(self, table: str, gone: DataFrame) -> None:
         self._again(lambda t: t.delete(table, gone))
 

@@ -74,7 +74,8 @@ def test_citations(engine):
             return [{"paperId": "x", "citationCount": 4, "influentialCitationCount": 1, "referenceCount": 9}, None, *[{"citationCount": -1}] * (len(ids) - 2)]
 
     flow = Ingestion(engine, Catalog())
-    assert flow.refresh_citations(Counts(), "2026-03-01") == {"updated": 1, "failed_batches": 0}
+    told = flow.refresh_citations(Counts(), "2026-03-01")
+    assert (told["updated"], told["failed_batches"]) == (1, 0)
     assert engine.store.read("paper_citation_metrics").first()["citation_count"] == 4
 
     class Broken:
@@ -82,7 +83,8 @@ def test_citations(engine):
             assert len(ids) == 5
             raise OSError
 
-    assert flow.refresh_citations(Broken(), "2026-03-02") == {"updated": 0, "failed_batches": 1}
+    told = flow.refresh_citations(Broken(), "2026-03-02")
+    assert (told["updated"], told["failed_batches"], told["warnings"]) == (0, 1, ["OSError: "])
 
 
 def extract(turns):
