@@ -8,11 +8,13 @@ works them out again."""
 from __future__ import annotations
 
 import contextlib
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.sources.log import CommitLog, Conflict, State
 
@@ -139,7 +141,7 @@ class Transaction:
         """One row, by its identifier: these fields change, or it comes in with them. A row that is so already is left alone."""
         found = self.lookup(table, [id]).limit(1).first()
         old = found.asDict() if found else None
-        wanted = self.store.spark.createDataFrame([], schema_of(table)).schema
+        wanted = _struct(schema_of(table))
         new = (old or dict.fromkeys(wanted.names)) | {keys(table)[0]: id} | fields
         if new == old:
             return
@@ -262,8 +264,7 @@ class Store:
 
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         """The table's columns; those that the rows lack are null."""
-        wanted = self.spark.createDataFrame([], schema_of(table))
-        return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) if f.name in rows.columns else _null(f) for f in wanted.schema])
+        return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) if f.name in rows.columns else _null(f) for f in _struct(schema_of(table))])
 
     def _read(self, state: State, table: str, parts: set[int] | None = None) -> DataFrame:
         own = []
@@ -276,9 +277,9 @@ class Store:
         base = [paths for _, kind, paths in own if kind == "base"]
         deltas = [(v, paths) for v, kind, paths in own if kind == "delta"]
         # parts of several base folders are disjoint, and older than all deltas
-        rows = scan([p for paths in base for p in paths]).drop("_gone") if base else self.spark.createDataFrame([], schema_of(table))
+        rows = scan([p for paths in base for p in paths]).drop("_gone") if base else None
         if not deltas:
-            return rows
+            return rows if base else self.spark.createDataFrame([], _struct(schema_of(table)))
         latest = None
         for v, paths in deltas:
             one = scan(paths).withColumn("_v", F.lit(v))
@@ -301,8 +302,8 @@ class Store:
         key = keys(table)
         if len(key) != 1:
             raise ValueError(f"{table} has no single key")
-        wanted = self.spark.createDataFrame([(i,) for i in ids], f"{key[0]} string")
-        parts = {r[0] for r in wanted.select(self._part(table)).distinct().collect()}
+        # worked out by the planner, without a job
+        parts = set(self.spark.sql(f"SELECT transform(:ids, i -> pmod(xxhash64(i), {self.parts}))", args={"ids": F.array(*map(F.lit, ids))}).first()[0])
         return self._read(state or self.log.state(), table, parts).filter(F.col(key[0]).isin(ids))
 
     def changes(self, table: str, since: int) -> tuple[DataFrame | None, int]:
@@ -401,5 +402,10 @@ class Store:
         return self.read(table).groupBy(*keys(table)).count().filter("count > 1")
 
 
+@functools.lru_cache(maxsize=None)
+def _struct(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
+
+
 def _null(field):
     return F.lit(None).cast(field.dataType).alias(field.name)
