@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from fathomline.functions.text import words
 from fathomline.operators.lexical import B, FLOOR, K1, idf
 from fathomline.sources.log import CommitLog, State
+from fathomline.sources.shared import shuffles_dropped
 
-#: Positions of a field start at its number times this.
-FIELD = 1 << 32
+#: Positions of a field start at its number times this; a text of more words is refused.
+FIELD = 1 << 27
 PLACE = ["seg", "window", "doc"]
 #: Windows that are scored to find what the others have to reach.
 FIRST_WINDOWS = 8
@@ -74,7 +75,8 @@ class LexicalIndex:
         windows = -(-n // self.layout.window_docs)
         tokens = [self.analyzer(F.col(f)).alias(f"__t{k}") for k, f in enumerate(self.layout.fields)]
         own = rows.select(F.col(self.id).alias("id"), *self.layout.keep, *tokens)
-        own = own.withColumn("len", reduce(lambda a, b: a + b, [F.size(f"__t{k}") for k in range(len(tokens))]))
+        size = lambda k: F.when(F.size(f"__t{k}") <= FIELD, F.size(f"__t{k}")).otherwise(F.raise_error(F.lit("a text has more words than the index can hold")).cast("int"))
+        own = own.withColumn("len", reduce(lambda a, b: a + b, [size(k) for k in range(len(tokens))]))
         own = own.withColumn("window", F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int")).repartition("window")
         # numbered after the one exchange by window, which all that follows keeps to
         own = own.withColumn("doc", F.row_number().over(Window.partitionBy("window").orderBy("id")) - 1)
@@ -82,8 +84,9 @@ class LexicalIndex:
         found = own.select("window", "doc", "len", F.explode(F.concat(*each)).alias("x")).select("window", "doc", "len", "x.term", "x.at")
         by_doc = found.groupBy("window", "doc", "len", "term").agg(F.sort_array(F.collect_list("at")).alias("pos"))
         segment = uuid.uuid4().hex
-        self._write_docs(own.select("window", "doc", "id", "len", *self.layout.keep), segment)
-        self._write_postings(by_doc, segment, windows)
+        with shuffles_dropped(self.spark):
+            self._write_docs(own.select("window", "doc", "id", "len", *self.layout.keep), segment)
+            self._write_postings(by_doc, segment, windows)
         self._commit(segment, n, state, name, [], settings)
         return {"segment": segment, "documents": n}
 
@@ -229,7 +232,7 @@ class LexicalIndex:
         whole = reduce(lambda a, b: a | b, [F.size(F.array_intersect("has", F.array(*map(F.lit, set(i))))) == len(set(i)) for i in items])
         near = blocks.join(inside.filter(whole).select("seg", "window"), ["seg", "window"], "left_semi")
         docs = self._exploded(near, ["pos"]).groupBy(*PLACE, "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "pos"))).alias("m"))
-        none = F.array().cast("array<bigint>")
+        none = F.array().cast("array<int>")
 
         def count(item: list[str]) -> Column:
             at = [F.coalesce(F.element_at("m", F.lit(w)), none) for w in item]
@@ -279,7 +282,7 @@ class LexicalIndex:
 
 def _placed(tokens: str, field: int) -> Column:
     """Terms of a field with their positions."""
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("term"), (F.lit(field * FIELD).cast("long") + i).alias("at")))
+    return F.transform(tokens, lambda t, i: F.struct(t.alias("term"), (F.lit(field * FIELD) + i).alias("at")))
 
 
 def _in_field(positions: Column, field: int) -> Column:

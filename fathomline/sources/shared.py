@@ -8,6 +8,7 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,21 @@ def fingerprint(rows: DataFrame, *more: object) -> str:
     return hashlib.sha256("\n".join([*told, *map(repr, more)]).encode()).hexdigest()[:20]
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind; without it they stay until the driver's next full collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written below the shared folder and read again: what is read several times is worked out once, and a lost executor costs no recomputation. The table goes when the program ends."""
     spark = df.sparkSession
