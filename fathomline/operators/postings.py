@@ -18,10 +18,15 @@ Defined cases: null texts are empty; identifiers are distinct and not null; an i
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +40,9 @@ FIELD = 1 << 27
 PLACE = ["seg", "window", "doc"]
 #: Windows that are scored to find what the others have to reach.
 FIRST_WINDOWS = 8
+#: Documents that are handed to Python at once, and words that are inverted at once.
+BATCH, MOST_WORDS = 256, 1 << 22
+BLOCK = "term string, window int, n int, top array<int>, short int, doc array<int>, len array<int>, tf array<array<int>>, pos array<array<int>>"
 
 
 @dataclass(frozen=True)
@@ -73,20 +81,22 @@ class LexicalIndex:
         if not n:
             return {"segment": None, "documents": 0}
         windows = -(-n // self.layout.window_docs)
-        tokens = [self.analyzer(F.col(f)).alias(f"__t{k}") for k, f in enumerate(self.layout.fields)]
-        own = rows.select(F.col(self.id).alias("id"), *self.layout.keep, *tokens)
+        texts = [F.col(f).alias(f"__t{k}") for k, f in enumerate(self.layout.fields)]
+        window = F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int")
+        terms = [self.analyzer(F.col(f"__t{k}")).alias(f"__t{k}") for k in range(len(texts))]
         size = lambda k: F.when(F.size(f"__t{k}") <= FIELD, F.size(f"__t{k}")).otherwise(F.raise_error(F.lit("a text has more words than the index can hold")).cast("int"))
-        own = own.withColumn("len", reduce(lambda a, b: a + b, [size(k) for k in range(len(tokens))]))
-        own = own.withColumn("window", F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int")).repartition("window")
-        # numbered after the one exchange by window, which all that follows keeps to
-        own = own.withColumn("doc", F.row_number().over(Window.partitionBy("window").orderBy("id")) - 1)
-        each = [_placed(f"__t{k}", k) for k in range(len(tokens))]
-        found = own.select("window", "doc", "len", F.explode(F.concat(*each)).alias("x")).select("window", "doc", "len", "x.term", "x.at")
-        by_doc = found.groupBy("window", "doc", "len", "term").agg(F.sort_array(F.collect_list("at")).alias("pos"))
+        length = reduce(lambda a, b: a + b, [size(k) for k in range(len(texts))])
+        docs = rows.select(F.col(self.id).alias("id"), *self.layout.keep, *texts).select("id", *self.layout.keep, *terms).select("id", *self.layout.keep, length.alias("len")).withColumn("window", window)
+        # numbered by identifier inside a window, here and where the postings are made: only the texts travel, once, and no row for a word
+        docs = docs.repartition("window").withColumn("doc", F.row_number().over(Window.partitionBy("window").orderBy("id")) - 1)
+        own = rows.select(F.col(self.id).alias("id"), *texts).withColumn("window", window).repartition("window").sortWithinPartitions("window", "id").select("window", *terms)
         segment = uuid.uuid4().hex
         with shuffles_dropped(self.spark):
-            self._write_docs(own.select("window", "doc", "id", "len", *self.layout.keep), segment)
-            self._write_postings(by_doc, segment, windows)
+            self._write_docs(docs.select("window", "doc", "id", "len", *self.layout.keep), segment)
+            with _set(self.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)), _set(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(self.layout.buckets)):
+                # a window's blocks come by term; a file for each bucket stays open, so that nothing is sorted for the writing
+                blocks = own.mapInArrow(partial(_inverted, fields=len(texts)), BLOCK).withColumn("bucket", self._bucket(F.col("term")))
+                blocks.write.partitionBy("bucket").parquet(f"{self.root}/postings/seg={segment}")
         self._commit(segment, n, state, name, [], settings)
         return {"segment": segment, "documents": n}
 
@@ -203,7 +213,7 @@ class LexicalIndex:
         factor = F.element_at(value, F.col("term"))
         saturated = lambda f, length: f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
         highest = of(F.col("top"))
-        bounds = blocks.filter(highest > 0).select("seg", "window", "term", (factor * saturated(highest, F.col("short"))).alias("bound")).groupBy("seg", "window").agg(F.sum("bound").alias("bound"), F.count(F.lit(1)).alias("terms"))
+        bounds = blocks.filter(highest > 0).select("seg", "window", "term", (factor * saturated(highest, F.col("short"))).alias("bound")).groupBy("seg", "window").agg(F.sum("bound").alias("bound"), F.count_distinct("term").alias("terms"))
         if every:
             bounds = bounds.filter(F.col("terms") == len(asked))
 
@@ -271,18 +281,138 @@ class LexicalIndex:
         terms = asked.select("term", self._bucket(F.col("term")).alias("bucket")).distinct()
         blocks = self._table("postings", list(state.live)).join(terms, ["bucket", "term"], "left_semi").filter(F.col("top")[k] > 0)
         df = blocks.groupBy("term").agg(F.sum("n").alias("df")) if len(self.layout.fields) == 1 else self._exploded(blocks, ["tf"]).filter(F.col("tf")[k] > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        f = F.col("tf")[k]
-        part = idf(F.lit(n), F.col("df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / average))
-        each = self._exploded(blocks, ["tf"]).filter(f > 0).join(df, "term").select("term", *PLACE, part.alias("part"))
-        total = each.join(asked, "term").groupBy("query_id", *PLACE).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+        # a window's blocks meet in one place, where each query adds up its words; the best of each window are all that leaves it
+        who = asked.groupBy("term").agg(F.collect_list("query_id").alias("queries"), F.collect_list("times").alias("times"))
+        weighed = blocks.join(df.withColumn("idf", idf(F.lit(n), F.col("df"))), "term").join(who, "term")
+        weighed = weighed.select("seg", "window", "doc", "len", F.transform("tf", _item(k)).alias("f"), "idf", "queries", "times")
+        kind = queries.schema[query_id].dataType.simpleString()
+        total = weighed.groupBy("seg", "window").applyInArrow(lambda part: _best_of_window(part, average, top), f"query_id {kind}, seg string, window int, doc int, score double")
+        total = total.withColumn("score", F.round("score", 6))
         shown = total.join(self._table("docs", list(state.live)).select(*PLACE, "id"), PLACE)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return shown.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "id", "score", "rank")
 
 
-def _placed(tokens: str, field: int) -> Column:
-    """Terms of a field with their positions."""
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("term"), (F.lit(field * FIELD) + i).alias("at")))
+@contextlib.contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _inverted(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.RecordBatch]:
+    """Documents (window, terms of each field), ordered by window and identifier -> blocks. A window of very many words has several blocks of a term, each of documents of its own."""
+    window, docs, held, numbers, parts, lengths = None, 0, 0, {}, [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held, numbers, parts
+        if held:
+            yield _blocks(window, fields, list(numbers), *(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(lengths))
+        held, numbers, parts = 0, {}, []
+
+    for batch in batches:
+        places = batch.column(0).to_numpy()
+        ends = [np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1 + k)), 0).to_numpy())]) for k in range(fields)]
+        words = [batch.column(1 + k).flatten().dictionary_encode() for k in range(fields)]
+        at = 0
+        while at < len(places):
+            if places[at] != window:
+                yield from flush()
+                window, docs, lengths = places[at], 0, []
+            # as many documents as the window has here and as a block should hold
+            end = at + int(np.searchsorted(places[at:], window, side="right"))
+            sizes = sum(np.diff(e) for e in ends)[at:end]
+            fits = int(np.searchsorted(np.cumsum(sizes), MOST_WORDS - held, side="right"))
+            end = at + max(min(fits, end - at), 0 if held else 1)
+            if end == at:
+                yield from flush()
+                continue
+            lengths.append(sizes[: end - at].astype(np.int32))
+            for k in range(fields):
+                lo, hi = ends[k][at], ends[k][end]
+                if lo == hi:
+                    continue
+                own = words[k].indices.to_numpy()[lo:hi]
+                used, own = np.unique(own, return_inverse=True)
+                terms = words[k].dictionary.take(pa.array(used)).to_pylist()
+                known = np.array([numbers.setdefault(t, len(numbers)) for t in terms], np.int32)
+                each = np.diff(ends[k][at : end + 1])
+                doc = np.repeat(np.arange(docs, docs + end - at, dtype=np.int32), each)
+                pos = np.arange(lo, hi) - np.repeat(ends[k][at:end], each) + k * FIELD
+                parts.append((known[own], doc, pos.astype(np.int32)))
+                held += int(hi - lo)
+            docs, at = docs + end - at, end
+    yield from flush()
+
+
+def _blocks(window: int, fields: int, terms: list[str], term: np.ndarray, doc: np.ndarray, pos: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    """One block for each term; a row of the arrays is a word of a document."""
+    names = pa.array(terms, pa.string())
+    ordered = pc.sort_indices(names)
+    rank = np.empty(len(terms), np.int32)
+    rank[ordered.to_numpy()] = np.arange(len(terms), dtype=np.int32)
+    term = rank[term]
+    order = np.lexsort((pos, doc, term))
+    term, doc, pos = term[order], doc[order], pos[order]
+    pairs = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]))
+    of_pair, doc = term[pairs], doc[pairs]
+    first = np.flatnonzero(np.concatenate([[True], of_pair[1:] != of_pair[:-1]]))
+    field = pos // FIELD
+    tf = np.stack([np.add.reduceat((field == k).astype(np.int32), pairs) for k in range(fields)], axis=1)
+    length = lengths[doc]
+    edges = pa.array(np.concatenate([first, [len(pairs)]]).astype(np.int32))
+    lists = lambda values: pa.ListArray.from_arrays(edges, values)
+    fixed = lambda table: pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * fields), pa.array(table.astype(np.int32).ravel()))
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate([pairs, [len(pos)]]).astype(np.int32)), pa.array(pos))
+    return pa.RecordBatch.from_pydict(
+        {
+            "term": names.take(ordered),
+            "window": pa.array(np.full(len(first), window, np.int32)),
+            "n": pa.array(np.diff(np.concatenate([first, [len(pairs)]])).astype(np.int32)),
+            "top": fixed(np.maximum.reduceat(tf, first, axis=0)),
+            "short": pa.array(np.minimum.reduceat(length, first).astype(np.int32)),
+            "doc": lists(pa.array(doc)),
+            "len": lists(pa.array(length)),
+            "tf": lists(fixed(tf)),
+            "pos": lists(places),
+        }
+    )
+
+
+def _best_of_window(blocks: pa.Table, average: float, top: int) -> pa.Table:
+    """Blocks of one window with their weight and the queries that ask for them -> of each query the documents that may be among its best ``top``."""
+    parts, asks = [], {}
+    docs = 0
+    queries, times = blocks.column("queries").to_pylist(), blocks.column("times").to_pylist()
+    for i, weight in enumerate(blocks.column("idf").to_pylist()):
+        doc, length, f = (blocks.column(c)[i].values.to_numpy() for c in ("doc", "len", "f"))
+        doc, length, f = doc[f > 0], length[f > 0], f[f > 0].astype(float)
+        parts.append((doc, weight * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))))
+        docs = max(docs, int(doc.max()) + 1 if len(doc) else 0)
+        for q, n in zip(queries[i], times[i], strict=True):
+            asks.setdefault(q, []).append((i, n))
+    out = []
+    for q, wanted in asks.items():
+        score, met = np.zeros(docs), np.zeros(docs, bool)
+        for i, n in wanted:
+            doc, part = parts[i]
+            score[doc] += part * n
+            met[doc] = True
+        hits = np.flatnonzero(met)
+        if len(hits) > top:
+            # what is as good as the last of the best after rounding stays
+            reach = -np.partition(-score[hits], top - 1)[top - 1]
+            hits = hits[score[hits] >= reach - 1.1e-6]
+        out.append((q, hits.astype(np.int32), score[hits]))
+    size = [len(h) for _, h, _ in out]
+    place = blocks.slice(0, 1)
+    names = pa.array([q for q, _, _ in out], blocks.schema.field("queries").type.value_type).take(pa.array(np.repeat(np.arange(len(out)), size)))
+    fill = lambda c: pa.array([place.column(c)[0].as_py()] * sum(size), blocks.schema.field(c).type)
+    doc, score = (pa.array(np.concatenate([x[c] for x in out])) for c in (1, 2))
+    return pa.table({"query_id": names, "seg": fill("seg").cast(pa.string()), "window": fill("window").cast(pa.int32()), "doc": doc, "score": score})
 
 
 def _in_field(positions: Column, field: int) -> Column:
