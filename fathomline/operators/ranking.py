@@ -16,6 +16,11 @@ def age_days(date: Column, today: str) -> Column:
     return F.when(days.isNotNull(), F.greatest(F.lit(0), days))  # greatest() alone would turn null into 0
 
 
+def six_places(value: Column) -> Column:
+    """Rounded to six places as the double it is: what lies just under a half goes down, where F.round(value, 6) takes its shortest decimal form for it and goes up."""
+    return F.round(value * 1e6) / 1e6
+
+
 def recency(date: Column, today: str) -> Column:
     return F.pow(F.lit(2.0), -age_days(date, today) / HALF_LIFE)
 
@@ -57,7 +62,7 @@ def ranked_groups(rows: DataFrame, *, today: str, positive: list[str], negative:
     weights = {"similarity": 0.30, "affinity": 0.30, "recency": 0.25, "citation": 0.15} if personal else {"similarity": 0.50, "recency": 0.35, "citation": 0.15}
     total = sum((F.when(F.col(c).isNotNull(), w * F.col(c)).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
     parts = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
-    held = held.withColumn("score", F.round(total / parts, 6))
+    held = held.withColumn("score", six_places(total / parts))
 
     def reason(condition: Column, strength: Column, label: str) -> Column:
         return F.when(condition, F.struct((-strength).alias("s"), F.lit(label).alias("label")))
@@ -74,5 +79,5 @@ def ranked_groups(rows: DataFrame, *, today: str, positive: list[str], negative:
     day = F.coalesce(F.datediff(F.try_to_date(F.substring("published_date", 1, 10), "yyyy-MM-dd"), F.lit("0001-01-01").cast("date")), F.lit(-1))
     order = Window.partitionBy(*groups).orderBy(F.desc("score"), day.desc(), F.desc("similarity"), F.lower("title"), F.col("paper_id").cast("string"))
     for c in ("affinity", "recency", "citation"):
-        held = held.withColumn(c, F.round(c, 6))
+        held = held.withColumn(c, six_places(F.col(c)))
     return held.withColumn("position", F.row_number().over(order)).withColumn("similarity", F.round("similarity", 6))

@@ -185,7 +185,7 @@ def ranked_groups_neutral(spark, sf_dir):
 
 
 def citation_percentile(spark, sf_dir):
-    return ranking.with_citation_percentile(papers(spark, sf_dir), TODAY, ["lang"]).select("paper_id", F.round("citation", 6).alias("citation"))
+    return ranking.with_citation_percentile(papers(spark, sf_dir), TODAY, ["lang"]).select("paper_id", ranking.six_places(F.col("citation")).alias("citation"))
 
 
 # profile and lanes
