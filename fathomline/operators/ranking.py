@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal, localcontext
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import RANKING_STOP, token_set
 
-HALF_LIFE = 180.0
+HALF_LIFE = 180
 
 
 def age_days(date: Column, today: str) -> Column:
@@ -21,8 +25,22 @@ def six_places(value: Column) -> Column:
     return F.round(value * 1e6) / 1e6
 
 
+@cache
+def _halving() -> list[list[float]]:
+    """For each day of a half-life the share of it that has gone and 2 to its negative, as two doubles each that add up to it."""
+    with localcontext(prec=60):
+        pairs = [(Decimal(2) ** -share, share) for share in (Decimal(day) / HALF_LIFE for day in range(HALF_LIFE))]
+        return [[x for value in pair for x in (float(value), float(value - Decimal(float(value))))] for pair in pairs]
+
+
 def recency(date: Column, today: str) -> Column:
-    return F.pow(F.lit(2.0), -age_days(date, today) / HALF_LIFE)
+    """2 to the negative number of half-lives, to the last bit: pow() may be one bit off, and strengths that are equal, as an affinity and a recency of 2 ** -1.5, would not be so."""
+    days = age_days(date, today)
+    whole = F.floor(days / HALF_LIFE)
+    table = F.element_at(F.lit(_halving()), F.pmod(days, F.lit(HALF_LIFE)).cast("int") + 1)
+    value, rest, share, below = (table[k] for k in range(4))
+    over = days / float(HALF_LIFE) - whole - share - below  # of the quotient as a double, over the share itself
+    return (value + (rest - value * (math.log(2) * over))) * F.pow(F.lit(2.0), -whole)
 
 
 def affinity(tokens: Column, positive: list[str], negative: list[str]) -> Column:
@@ -77,7 +95,7 @@ def ranked_groups(rows: DataFrame, *, today: str, positive: list[str], negative:
     )
     held = held.withColumn("reasons", F.concat_ws("; ", F.transform(F.slice(F.array_sort(candidates), 1, 2), lambda r: r["label"])))
     day = F.coalesce(F.datediff(F.try_to_date(F.substring("published_date", 1, 10), "yyyy-MM-dd"), F.lit("0001-01-01").cast("date")), F.lit(-1))
-    order = Window.partitionBy(*groups).orderBy(F.desc("score"), day.desc(), F.desc("similarity"), F.lower("title"), F.col("paper_id").cast("string"))
+    order = Window.partitionBy(*groups).orderBy(F.desc("score"), day.desc(), F.desc("similarity"), F.asc_nulls_last(F.lower("title")), F.col("paper_id").cast("string"))
     for c in ("affinity", "recency", "citation"):
         held = held.withColumn(c, six_places(F.col(c)))
     return held.withColumn("position", F.row_number().over(order)).withColumn("similarity", F.round("similarity", 6))
