@@ -270,14 +270,14 @@ class LexicalIndex:
         return shown.select("id", *self.layout.keep, "score")
 
     def search_many(self, queries: DataFrame, query_id: str, query: str, *, field: str, top: int) -> DataFrame:
-        """For each row of ``queries`` its ``top`` documents by one field: query_id, id, score, rank. Blocks of words that no query has are left out where they are read."""
+        """For each row of ``queries`` its ``top`` documents by one field, all words of the query counted: query_id, id, score, rank. Blocks of words that no query has are left out where they are read."""
         state = self.log.state()
         if not state.live:
             return self.spark.createDataFrame([], "query_id string, id string, score double, rank int")
         n = sum(x["documents"] for x in state.live.values())
         average = sum(x["length"] for x in state.live.values()) / n
         k = self.layout.fields.index(field)
-        asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.slice(self.analyzer(F.col(query)), 1, 20)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+        asked = queries.select(F.col(query_id).alias("query_id"), F.explode(self.analyzer(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
         terms = asked.select("term", self._bucket(F.col("term")).alias("bucket")).distinct()
         blocks = self._table("postings", list(state.live)).join(terms, ["bucket", "term"], "left_semi").filter(F.col("top")[k] > 0)
         df = blocks.groupBy("term").agg(F.sum("n").alias("df")) if len(self.layout.fields) == 1 else self._exploded(blocks, ["tf"]).filter(F.col("tf")[k] > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -168,20 +168,26 @@ _RELATED = """rel AS (
         WHERE t NOT IN ('this', 'that', 'with', 'from', 'using', 'paper', 'based', 'their') GROUP BY paper_id, t QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY min(i)) <= 12)
     GROUP BY paper_id)"""
 
-ORACLE_SQL = {
-    "bm25_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 3}, _words(0, 20), 20, keep='''r.source_class <> 'synthetic' ''')} SELECT * FROM hits",
-    "bm25_and_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 4, 'abstract': 1}, _words(0, 3), 20, every=True)} SELECT * FROM hits",
-    "bm25_phrase_search": f"WITH {_bm25('documents', 'doc_id', {'text': 1}, f'''SELECT i AS k, [w[i], w[i + 1]] AS item FROM (SELECT {W.format('text')} AS w FROM benchmark ORDER BY item_id LIMIT 1), (SELECT unnest([1, 3, 5]) AS i)''', 20, phrases=True)} SELECT * FROM hits",
-    "catalog_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 2, 'lang': 0.2}, _words(0, 8), 20, keep='''r.lang = 'en' AND r.published_date >= '2024-02-01' AND r.published_date <= '2025-06-30' ''', extra=', r.published_date')} SELECT * FROM hits",
-    "batch_search": f"""
-        WITH asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_slice({W.format('text')}, 1, 20)) AS term FROM benchmark) GROUP BY ALL),
+
+def _batch(asked: str) -> str:
+    """SQL of a search for each benchmark text. asked: its words that count."""
+    return f"""
+        WITH asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({asked}) AS term FROM benchmark) GROUP BY ALL),
         base AS (SELECT doc_id, {W.format('text')} AS w FROM documents),
         stats AS (SELECT count(*) AS n, avg(len(w)) AS av FROM base),
         post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM base) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
         df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
         part AS (SELECT doc_id, term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / av)) AS s FROM post JOIN df USING (term), stats),
         total AS (SELECT item_id, doc_id, round(sum(s * times), 6) AS score FROM part JOIN asked USING (term) GROUP BY ALL)
-        SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM total) WHERE rank <= 10""",
+        SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM total) WHERE rank <= 10"""
+
+
+ORACLE_SQL = {
+    "bm25_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 3}, _words(0, 20), 20, keep='''r.source_class <> 'synthetic' ''')} SELECT * FROM hits",
+    "bm25_and_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 4, 'abstract': 1}, _words(0, 3), 20, every=True)} SELECT * FROM hits",
+    "bm25_phrase_search": f"WITH {_bm25('documents', 'doc_id', {'text': 1}, f'''SELECT i AS k, [w[i], w[i + 1]] AS item FROM (SELECT {W.format('text')} AS w FROM benchmark ORDER BY item_id LIMIT 1), (SELECT unnest([1, 3, 5]) AS i)''', 20, phrases=True)} SELECT * FROM hits",
+    "catalog_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 2, 'lang': 0.2}, _words(0, 8), 20, keep='''r.lang = 'en' AND r.published_date >= '2024-02-01' AND r.published_date <= '2025-06-30' ''', extra=', r.published_date')} SELECT * FROM hits",
+    "batch_search": _batch(f"list_slice({W.format('text')}, 1, 20)"),
     "related_terms": f"WITH {PAPERS}, {_RELATED} SELECT p.paper_id, coalesce(array_to_string(w, ' '), '') AS terms FROM papers p LEFT JOIN rel USING (paper_id)",
     "related_papers": f"WITH {PAPERS}, {_RELATED}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 2}, f'SELECT i AS k, [w[i]] AS item FROM (SELECT w FROM rel WHERE paper_id = 1), (SELECT unnest(range(1, 13)) AS i) WHERE i <= len(w)', 15)} SELECT * FROM hits WHERE paper_id <> 1 ORDER BY score DESC, paper_id LIMIT 10",
     "cosine_topk": f"WITH {VECTORS} SELECT a.vec_id, round({_COS}, 6) AS similarity FROM vec a, (SELECT v FROM vec WHERE vec_id = 0) q ORDER BY similarity DESC, a.vec_id LIMIT 25",

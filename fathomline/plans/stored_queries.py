@@ -7,8 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.operators import citations, evidence_ids, postings
-from fathomline.plans.search import _bm25, _items, _words
-from fathomline.plans.search import ORACLE_SQL as _SEARCH
+from fathomline.plans.search import _batch, _bm25, _items, _words
 from fathomline.plans.search import W as WORDS
 from fathomline.plans.views import PAPERS, papers, table
 from fathomline.sources.shared import fingerprint, shared_dir
@@ -129,7 +128,7 @@ QUERIES = {f.__name__: f for f in (stored_search, stored_and_search, stored_filt
 _PHRASES = f"SELECT i AS k, [w[i], w[i + 1]] AS item FROM (SELECT {WORDS.format('text')} AS w FROM benchmark ORDER BY item_id LIMIT 1), (SELECT unnest([1, 3, 5]) AS i)"
 
 ORACLE_SQL = {
-    "stored_batch_search": _SEARCH["batch_search"],
+    "stored_batch_search": _batch(WORDS.format("text")),
     "stored_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 3}, _words(0, 20), 20, keep='''r.source_class <> 'synthetic' ''')} SELECT * FROM hits",
     "stored_and_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 4, 'abstract': 1}, _words(0, 3), 20, every=True)} SELECT * FROM hits",
     "stored_filtered_search": f"WITH {PAPERS}, {_bm25('papers', 'paper_id', {'title': 5, 'abstract': 2}, _words(0, 8), 20, keep='''r.lang = 'en' AND r.published_date >= '2024-02-01' AND r.published_date <= '2025-06-30' ''', extra=', r.published_date')} SELECT * FROM hits",
