@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.components import connected_components
-from fathomline.llm.storage import discard, stage
+from fathomline.llm.storage import batches_of, discard, stage
+from fathomline.operators.cluster import blocks, compared
 
 BITS, DISTANCE, SEED = 64, 3, 42
 
@@ -216,6 +217,8 @@ SIGN_BITS = 1024
 SAMPLE, MOST_FREQUENT, FREQUENT = 10_000, 100_000, 3
 #: Shingle buckets up to this size give all their pairs at once.
 SMALL_BUCKET = 32
+#: Bits of the map that tells which rows are no candidates, and sets that are held while others are compared with them.
+MAP_BITS, BLOCK = 1 << 23, 256
 #: Against rounding in products of the threshold.
 EPSILON = 1e-9
 
@@ -234,6 +237,20 @@ def _sign(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount(hashes & (SIGN_BITS - 1), minlength=SIGN_BITS) & 1 == 1).tobytes()
 
 
+def _fine_sign(hashes: np.ndarray) -> bytes:
+    """A sign of as many cells as there are shingles, for sets of more than SIGN_BITS: of such sets that one says little."""
+    bits = 1 << (len(hashes) - 1).bit_length() if len(hashes) > SIGN_BITS else 0
+    return np.packbits(np.bincount(hashes & (bits - 1), minlength=bits) & 1 == 1).tobytes() if bits else b""
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two fine signs differ; the halves of the longer one are laid on one another."""
+    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def prefix(hashes: np.ndarray, jaccard: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first n - ceil(jaccard * n) + 1 shingles, frequent ones last: two sets of this similarity share one in both prefixes."""
     n = len(hashes)
@@ -344,27 +361,43 @@ def _pairs_between(jaccard: float):
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """pairs(u, v) of nodes -> those whose shingle sets are as similar as asked, staged. Only candidates' texts are read into sets again."""
+    """pairs(u, v) of nodes, u < v -> those whose shingle sets are as similar as asked, staged. Only candidates' texts are read into sets again."""
 
     def signs(batches):
         for batch in batches:
             n, m = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "m"))
             a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("su", "sv"))
-            ok = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (n + m) * (1 - jaccard) / (1 + jaccard) + EPSILON
+            most = (n + m) * (1 - jaccard) / (1 + jaccard) + EPSILON
+            ok = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
+            large = np.flatnonzero(ok & (np.minimum(n, m) > SIGN_BITS))
+            fine = (batch[c].take(pa.array(large)).to_pylist() for c in ("fu", "fv"))
+            ok[large] = [_apart(x, y) <= z for x, y, z in zip(*fine, most[large].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(ok)) for c in ("u", "v")], names=["u", "v"])
 
     def sets(batches):
         for batch in batches:
+            at = batch["at"].to_numpy()
+            batch = batch.filter(pa.array((asked_bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             own = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["node", "h"])
-
-    of_u, of_v = classes.select(F.col("node").alias("u"), "n", F.col("sign").alias("su")), classes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sign").alias("sv"))
-    left = stage(pairs.distinct().join(of_u, "u").join(of_v, "v").select("u", "v", "n", "m", "su", "sv").mapInArrow(signs, "u long, v long"), "near-pairs")
-    asked = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "least"), "node").select("least.id", "least.h")
-    own = stage(docs.join(asked, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("text").mapInArrow(sets, "node long, h array<long>"), "near-sets")
-    both = left.join(own.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
-    close = F.size(F.array_intersect("a", "b")) >= F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.size("a") + F.size("b")) - EPSILON)
-    out = stage(both.filter(close).select("u", "v").distinct(), "near-links")
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array([_node(h) for h in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["id", "h", "node", "t"])
+
+    def close(both, n, m):
+        return np.where(both >= np.ceil(jaccard / (1 + jaccard) * (n + m) - EPSILON), 1.0, -1.0)
+
+    of_u, of_v = classes.select(F.col("node").alias("u"), "n", F.col("sign").alias("su"), F.col("fine").alias("fu")), classes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sign").alias("sv"), F.col("fine").alias("fv"))
+    left = stage(pairs.distinct().join(of_u, "u").join(of_v, "v").select("u", "v", "n", "m", "su", "sv", "fu", "fv").mapInArrow(signs, "u long, v long"), "near-pairs")
+    asked = stage(left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "least"), "node").select("least.id", "least.h"), "near-asked")
+    # texts don't travel: a map of bounded size leaves few rows besides those asked for, and their sets are joined
+    place = F.pmod(F.xxhash64("id", "h"), F.lit(MAP_BITS)).cast("int")
+    words = asked.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63))).alias("bits")).toPandas()
+    asked_bits = np.zeros(MAP_BITS >> 6, np.uint64)
+    asked_bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    with batches_of(docs.sparkSession, 500):
+        drawn = docs.select("id", "h", place.alias("at"), "text").mapInArrow(sets, "id long, h long, node long, t array<long>")
+        own = stage(drawn.join(asked, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select(F.col("node").alias("id"), "t"), "near-sets")
+        dealt = blocks(left.select(F.col("u").alias("a"), F.col("v").alias("b")), own, BLOCK)
+        out = stage(dealt.mapInArrow(lambda batches: compared(batches, close), "a long, b long, jaccard double").select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+    discard(asked)
     discard(left, own)
     return out
 
@@ -418,10 +451,10 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id: str = "doc_id"
             prints = np.array([voted(h) for h in hashes], dtype=np.uint64).view(np.int64)
             sets = [np.unique(h.view(np.int64)) for h in hashes]
             own = [prefix(h, jaccard, frequent, counts) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(prints, pa.int64()), pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([_sign(h) for h in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["id", "h", "fp", "node", "n", "sign", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(prints, pa.int64()), pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([_sign(h) for h in sets], pa.binary()), pa.array([_fine_sign(h) for h in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["id", "h", "fp", "node", "n", "sign", "fine", "prefix"])
 
-    own = stage(docs.mapInArrow(prefixes, "id long, h long, fp long, node long, n int, sign binary, prefix array<long>"), "near")
-    classes = stage(own.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sign").alias("sign")), "near-nodes")
+    own = stage(docs.mapInArrow(prefixes, "id long, h long, fp long, node long, n int, sign binary, fine binary, prefix array<long>"), "near")
+    classes = stage(own.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("fine").alias("fine")), "near-nodes")
     members = connected_components(similar_links(own, classes, docs, shingle=shingle, jaccard=jaccard))
     labelled = classes.select("node", "least").join(members.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     named = labelled.groupBy("part").agg(F.min("least").alias("keep"))
